@@ -77,3 +77,14 @@ def release_tokens(
     text = strip_files(scannable_files(files.select(*keep))).drop("path")
     tokens = extract_tokens(text, kinds)
     return tokens.where(may_signal(F.col("kind"), F.col("token")))
+
+
+def release_text(files: DataFrame) -> DataFrame:
+    """The comment-free text of a whole release, files in order, each ended by a line feed.
+
+    A view for reading single releases; no other operator needs the text in one piece.
+    """
+    text = strip_files(scannable_files(files))
+    in_order = F.sort_array(F.collect_list(F.struct("file_ord", "content")))
+    joined = F.array_join(F.transform(in_order, lambda f: F.concat(f["content"], F.lit("\n"))), "")
+    return text.groupBy("ecosystem", "name", "version").agg(joined.alias("text"))

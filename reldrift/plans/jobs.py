@@ -31,8 +31,8 @@ def detect_changes(
 def unpacked_tokens(packed: DataFrame) -> DataFrame:
     """(source_url, content) archives -> evidence candidates per archive.
 
-    Long rows (file texts) never leave the task that unpacked them.  Every archive
-    keeps at least one row, with a NULL token, to carry its status.
+    Long rows (file texts) never leave the task that unpacked them.  A damaged archive
+    leaves one row with a NULL token to tell of it.
     """
     files = archives.unpack(packed.select("source_url", "content"))
     text = files.withColumn("content", strip_comments(F.col("path"), F.col("content"))).drop("path")
@@ -46,9 +46,9 @@ def unpacked_tokens(packed: DataFrame) -> DataFrame:
     rows = text.select(*rest, F.explode(found).alias("k")).select(
         *rest, F.col("k.kind").alias("kind"), F.posexplode_outer("k.found").alias("pos", "token")
     )
-    is_marker = F.col("token").isNull() & (F.col("kind") == "url")
+    damaged = (F.col("archive_status") == archives.ERROR) & (F.col("kind") == "url")
     candidate = F.col("token").isNotNull() & tokens.may_signal(F.col("kind"), F.col("token"))
-    return rows.where(is_marker | candidate)
+    return rows.where(damaged | candidate)
 
 
 @dataclass
