@@ -14,7 +14,11 @@ URL_TOKEN = r"https?://[^" + WHITESPACE + r"\"'`)]+"
 
 # risky words, matched as whole ASCII words
 RISKY_WORDS = ("child_process", "subprocess", "os/exec", "socket", "eval", "vm", "net")
-RISKY_WORD_TOKEN = r"(?<![0-9A-Za-z_])(?:" + "|".join(RISKY_WORDS) + r")(?![0-9A-Za-z_])"
+# the first-letter test only saves the look-behind at most positions
+RISKY_WORD_TOKEN = (
+    "(?=[" + "".join(sorted({w[0] for w in RISKY_WORDS})) + "])"
+    r"(?<![0-9A-Za-z_])(?:" + "|".join(RISKY_WORDS) + r")(?![0-9A-Za-z_])"
+)
 
 # double-quoted literal of at least 20 characters on one line
 LITERAL_TOKEN = r'"[^"\n]{20,}+"'

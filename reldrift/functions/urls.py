@@ -15,6 +15,8 @@ _BAD_HOST = (
     r"[\x00-\x7F&&[^A-Za-z0-9\-._~!$&'()*+,;=<>\"\[\]:%]]"
     r"|%(?!25|[89A-Fa-f][0-9A-Fa-f])"
 )
+# nothing to validate: no user, escape, bracket or control character
+_SIMPLE_URL = r"\Ahttps?://([A-Za-z0-9._\-]*+)(?::[0-9]*+)?(?:[/?#][^%\x00-\x1F\x7F]*+)?\z"
 
 
 def _any_of(words) -> str:
@@ -27,6 +29,11 @@ def url_host(url: Column) -> Column:
     Escapes inside the host are validated but not decoded: they stand for
     non-ASCII bytes only, which no rule here looks at.
     """
+    simple = F.lower(F.regexp_extract(url, _SIMPLE_URL, 1))
+    return F.when(url.rlike(_SIMPLE_URL), simple).otherwise(_general_host(url))
+
+
+def _general_host(url: Column) -> Column:
     before_fragment = F.regexp_extract(url, r"\A([^#]*)", 1)
     fragment = F.regexp_extract(url, r"\A[^#]*#?([\s\S]*)", 1)
     after_scheme = F.regexp_extract(url, r"\Ahttps?://([^?#]*)", 1)

@@ -69,8 +69,11 @@ def diff_pairs(pairs: DataFrame, archive_tokens: DataFrame) -> Diff:
     failed = (
         archive_tokens.where(F.col("archive_status") == archives.ERROR).select("source_url").distinct()
     )
-    analysed = pairs.join(failed, "source_url", "left_anti").join(
-        failed.withColumnRenamed("source_url", "prev_source_url"), "prev_source_url", "left_anti"
+    analysed = materialize(
+        pairs.join(failed, "source_url", "left_anti")
+        .join(failed.withColumnRenamed("source_url", "prev_source_url"), "prev_source_url", "left_anti")
+        .distinct(),
+        "analysed",
     )
     new_side = analysed.select(*S.RELEASE, "source_url")
     old_side = analysed.select(
@@ -79,8 +82,8 @@ def diff_pairs(pairs: DataFrame, archive_tokens: DataFrame) -> Diff:
     )
     sides = new_side.unionByName(old_side).where(F.col("source_url") != "").distinct()
     found = archive_tokens.where(F.col("token").isNotNull()).drop("archive_status")
-    by_release = sides.join(found, "source_url").drop("source_url")
-    compared = analysed.select(*S.PAIR).distinct()
+    by_release = materialize(sides.join(found, "source_url").drop("source_url"), "release-tokens")
+    compared = analysed.select(*S.PAIR)
     return Diff(compared, diffing.new_tokens(by_release, compared), by_release)
 
 

@@ -1,9 +1,7 @@
 """Release archives: landed tar.gz and zip files as rows of scannable files.
 
 Unpacking is the one step without a Spark expression, so it runs as Arrow batches:
-one archive in, its scannable files out.  Members are read twice (once to learn
-whether the archive is sound, once to emit them) instead of being held in memory
-together.
+one archive in, its scannable files out, with a bound on what a task holds at a time.
 """
 
 import gzip
@@ -33,6 +31,7 @@ _BROKEN = (tarfile.TarError, zipfile.BadZipFile, zlib.error, EOFError, OSError,
 _CAP = P.ARCHIVE_CAP_BYTES
 _ENDINGS = tuple("." + e for e in SOURCE_EXTENSIONS)
 _EXCLUDED = EXCLUDED.replace(r"\z", r"\Z")
+_BLOCK, _HELD_BYTES = 1 << 20, 16 << 20
 _BATCH_ROWS, _BATCH_CHARS = 1000, 8 << 20
 
 
@@ -99,29 +98,46 @@ def _reader(content: bytes):
     return None
 
 
-def _is_sound(members, content: bytes) -> bool:
+def _read_all(members, content: bytes):
+    """(sound, files): every member read to its end; files is None if they are too many to hold."""
+    files, size = [], 0
     try:
-        for _, _, data in members(content):
-            while data.read(1 << 20):
-                pass
+        for ordinal, name, data in members(content):
+            blocks = []
+            while block := data.read(_BLOCK):
+                size += len(block)
+                if size > _HELD_BYTES:
+                    files = None
+                    blocks.clear()
+                else:
+                    blocks.append(block)
+            if files is not None:
+                files.append((ordinal, name, b"".join(blocks)))
     except _BROKEN:
-        return False
-    return True
+        return False, None
+    return True, files
 
 
 def _files(content: bytes) -> Iterator[tuple]:
-    """(status, file_ord, path, content) rows of one archive; one row without a file if none."""
+    """(status, file_ord, path, content) rows of one archive; one row without a file if none.
+
+    Damage anywhere spoils the whole archive, so nothing is given out before the end
+    is reached; a large archive is then read a second time.
+    """
     members = _reader(content)
     if members is None:
         yield EMPTY, None, None, None
         return
-    if not _is_sound(members, content):
+    sound, files = _read_all(members, content)
+    if not sound:
         yield ERROR, None, None, None
         return
+    if files is None:
+        files = ((ordinal, name, data.read()) for ordinal, name, data in members(content))
     found = False
-    for ordinal, name, data in members(content):
+    for ordinal, name, data in files:
         found = True
-        yield OK, ordinal, name, data.read().decode("utf-8", errors="replace")
+        yield OK, ordinal, name, data.decode("utf-8", errors="replace")
     if not found:
         yield OK, None, None, None
 
