@@ -404,7 +404,9 @@ ORACLE = {
     "allowlist_roundtrip": _TOP,
     "archive_files": _with(RELEASES, FILES, select=f"SELECT ecosystem, name, version, file_ord, path, content FROM release_files WHERE {_SCANNABLE}"),
     "stored_findings": _diff(_FLAT + "findings"),
+    "recent_stored_findings": _diff(_FLAT + _NEWEST),
     "stored_scan_log": _with(RELEASES, PAIRS, select="SELECT ecosystem, count(*) AS versions_scanned FROM pairs GROUP BY ecosystem"),
     "stream_version_changes": _with(POLLS, SEEN, select=_CHANGES),
+    "stream_changes_stateful": _with(POLLS, SEEN, select=_CHANGES),
     "stream_findings": _diff(_FLAT + "findings"),
 }

@@ -16,6 +16,7 @@ from reldrift.plans import jobs
 from reldrift.schemas import PAIR, RELEASE
 from reldrift.session import materialize, new_path
 from reldrift.sources import allowlists, archives, derived, tables
+from reldrift.streaming.changes import stream_changes_by_batch
 from reldrift.streaming.changes import stream_version_changes as changes_stream
 from reldrift.streaming.findings import stream_findings as findings_stream
 
@@ -354,6 +355,13 @@ def stored_findings(spark, sf):
     return _flat(tables.read_findings(spark, root))
 
 
+def recent_stored_findings(spark, sf):
+    """The newest findings picked out of a stored table."""
+    root = new_path(spark, "state")
+    tables.write_findings(_findings(spark, sf), root, "one")
+    return _flat(tables.recent_stored_findings(spark, root, 50))
+
+
 def stored_scan_log(spark, sf):
     """Every compared pair is counted once, clean or flagged."""
     root = new_path(spark, "state")
@@ -364,18 +372,29 @@ def stored_scan_log(spark, sf):
     return tables.read_scan_log(spark, root).groupBy("ecosystem").agg(F.count("*").alias("versions_scanned"))
 
 
-def stream_version_changes(spark, sf):
+def _poll_stream(spark, sf):
     batch = derived.table(spark, sf, "events")
     events = (
         spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     )
-    polls = events.select(
+    return events.select(
         F.lit("npm").alias("ecosystem"), F.col("user_id").cast("string").alias("name"),
         F.col("event_type").alias("latest"), F.col("ts").alias("polled_at"), "event_id",
     )
+
+
+def stream_version_changes(spark, sf):
+    """Micro-batches through the batch operators, last-seen table kept as snapshots."""
+    root = new_path(spark, "stream-changes")
+    stream_changes_by_batch(_poll_stream(spark, sf), root, f"{root}/checkpoint").awaitTermination()
+    return _change_columns(spark.read.parquet(f"{root}/changes"))
+
+
+def stream_changes_stateful(spark, sf):
+    """The same with the last version as operator state."""
     out = new_path(spark, "stream-changes")
     query = (
-        changes_stream(polls).writeStream.format("parquet").option("path", f"{out}/rows")
+        changes_stream(_poll_stream(spark, sf)).writeStream.format("parquet").option("path", f"{out}/rows")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -442,7 +461,9 @@ QUERIES = {
     "allowlist_roundtrip": allowlist_roundtrip,
     "archive_files": archive_files,
     "stored_findings": stored_findings,
+    "recent_stored_findings": recent_stored_findings,
     "stored_scan_log": stored_scan_log,
     "stream_version_changes": stream_version_changes,
+    "stream_changes_stateful": stream_changes_stateful,
     "stream_findings": stream_findings,
 }

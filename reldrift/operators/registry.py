@@ -163,13 +163,21 @@ def artifact_url(version: Column) -> Column:
     )
 
 
-def resolve_changes(changed: DataFrame) -> DataFrame:
-    """Parsed rows with latest and last_seen -> release pairs with both addresses."""
-    return changed.select(
+def with_addresses(latest: DataFrame) -> DataFrame:
+    """Parsed rows with latest and last_seen -> the same rows with both archive addresses."""
+    return latest.select(
         "ecosystem",
         "name",
-        F.col("latest").alias("version"),
+        "latest",
+        "last_seen",
         artifact_url(F.col("latest")).alias("source_url"),
-        F.col("last_seen").alias("prev_version"),
         artifact_url(F.col("last_seen")).alias("prev_source_url"),
     )
+
+
+def resolve_changes(changed: DataFrame) -> DataFrame:
+    """Changed rows -> release pairs with both addresses."""
+    return with_addresses(changed).select(
+        "ecosystem", "name", F.col("latest").alias("version"), "source_url",
+        F.col("last_seen").alias("prev_version"), "prev_source_url",
+    )

@@ -24,8 +24,13 @@ def detect_changes(
     if allowlist is not None:
         docs = changes.restrict_to_watchlist(docs, allowlist)
     latest = changes.look_up_last_seen(registry.with_latest(docs), watched)
-    pairs = registry.resolve_changes(changes.changed_only(latest))
-    return pairs, changes.upsert_watched(watched, latest, now)
+    # documents are parsed once; both results read the few columns that come out
+    polled = materialize(registry.with_addresses(latest), "polled")
+    pairs = changes.changed_only(polled).select(
+        "ecosystem", "name", F.col("latest").alias("version"), "source_url",
+        F.col("last_seen").alias("prev_version"), "prev_source_url",
+    )
+    return pairs, changes.upsert_watched(watched, polled, now)
 
 
 def unpacked_tokens(packed: DataFrame) -> DataFrame:
@@ -96,8 +101,7 @@ def findings_of(new_tokens: DataFrame, now: datetime) -> DataFrame:
 def publish(diff: Diff, root: str, cycle: str, now: datetime) -> None:
     """Store the findings, their evidence in long form, and the scan log of one cycle."""
     stamp = F.lit(now).cast("timestamp")
-    findings = tables.with_finding_id(findings_of(diff.new_tokens, now))
-    tables.write_cycle(findings, root, "findings", cycle)
+    tables.write_findings(findings_of(diff.new_tokens, now), root, cycle)
     tables.write_cycle(diffing.evidence(diff.tokens, diff.analysed), root, "evidence", cycle)
     tables.write_cycle(diff.analysed.withColumn("analyzed_at", stamp), root, "scan_log", cycle)
 
@@ -119,7 +123,6 @@ def run_cycle(
     """
     watched = tables.read_watched(spark, root, previous_cycle)
     pairs, watched_after = detect_changes(docs, watched, now, allowlist)
-    pairs = materialize(pairs, "pairs")
     archive_tokens = materialize(unpacked_tokens(packed), "archive-tokens")
     publish(diff_pairs(pairs, archive_tokens), root, cycle, now)
     tables.write_watched(watched_after, root, cycle)

@@ -3,8 +3,10 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..operators.readmodels import recent_findings
 
 
 def with_finding_id(findings: DataFrame) -> DataFrame:
@@ -26,17 +28,38 @@ def _cycle_path(root: str, table: str, cycle: str) -> str:
     return f"{root}/{table}/cycle={cycle}"
 
 
-def write_cycle(df: DataFrame, root: str, table: str, cycle: str) -> None:
+def write_cycle(df: DataFrame, root: str, table: str, cycle: str, *partition_by: str) -> None:
     """Write one cycle's rows of an append-only table.
 
     The cycle owns its folder, so a repeated cycle replaces its own rows and no
     others: a rerun neither loses nor doubles anything.
     """
-    df.write.mode("overwrite").parquet(_cycle_path(root, table, cycle))
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(_cycle_path(root, table, cycle))
+
+
+def write_findings(findings: DataFrame, root: str, cycle: str) -> None:
+    """Findings with their ids, in one folder per day."""
+    dated = with_finding_id(findings).withColumn("analyzed_date", F.to_date("analyzed_at"))
+    write_cycle(dated, root, "findings", cycle, "analyzed_date")
+
+
+_STORED_FINDINGS = T.StructType([*S.FINDINGS.fields, T.StructField("id", T.StringType())])
 
 
 def read_findings(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, f"{root}/findings", S.T.StructType([*S.FINDINGS.fields, S.T.StructField("id", S.T.StringType())])).drop("cycle")
+    """All stored findings; a condition on ``analyzed_date`` prunes folders."""
+    return _read(spark, f"{root}/findings", _STORED_FINDINGS).drop("cycle")
+
+
+def recent_stored_findings(spark: SparkSession, root: str, limit: int = 0) -> DataFrame:
+    """Newest stored findings, newest first.
+
+    The newest are chosen on times and names alone; the wide signals are then read for
+    those few (at most 200, so they may be broadcast).
+    """
+    stored = read_findings(spark, root)
+    newest = recent_findings(stored.select(*S.PAIR, "analyzed_at", "id"), limit).select("id")
+    return recent_findings(stored.join(F.broadcast(newest), "id", "left_semi"), limit)
 
 
 def read_scan_log(spark: SparkSession, root: str) -> DataFrame:

@@ -1,13 +1,25 @@
-"""Version changes on a stream of polls: last version kept as state per package."""
+"""Version changes on a stream of polls, in two forms.
+
+:func:`stream_changes_by_batch` runs the batch operators on each micro-batch and keeps
+the last-seen table as a snapshot per batch: no package's polls are gathered, whatever
+its share.  :func:`stream_version_changes` keeps the last version as operator state: it
+answers sooner and rewrites nothing, and holds one package's polls of one micro-batch
+in its task.
+"""
 
 import sys
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import changes
 from ..operators.changes import KEY
+from ..session import materialize
+from ..sources import tables
 
 # tasks carry this module's code with them
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -53,3 +65,40 @@ def stream_version_changes(polls: DataFrame) -> DataFrame:
     return polls.groupBy(*_KEY).applyInPandasWithState(
         _changes_of_package, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def stream_changes_by_batch(polls: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Streaming polls -> ``<root>/changes``, with the last-seen table under ``<root>/watched``.
+
+    A batch reads the snapshot of the batch before it and writes its own folders, so a
+    repeated batch gives the same result.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = f"batch-{batch_id - 1}" if batch_id else None
+        watched = tables.read_watched(spark, root, before)
+        seen = materialize(changes.with_last_seen(batch), "polls")
+        found = changes.look_up_last_seen(seen, watched).withColumn(
+            "prev_version", F.coalesce("prev_version", F.nullif("last_seen", F.lit("")))
+        )
+        changed = found.where(F.col("latest") != F.col("prev_version")).select(
+            *KEY, F.col("latest").alias("version"), "prev_version", "polled_at", "event_id"
+        )
+        tables.write_cycle(changed, root, "changes", f"batch-{batch_id}")
+        moved = found.where(F.col("prev_version").isNull() | (F.col("latest") != F.col("prev_version")))
+        newest = moved.groupBy(*KEY).agg(F.max(F.struct("polled_at", "event_id", "latest")).alias("m"))
+        set_now = newest.select(*KEY, F.col("m.latest").alias("_version"), F.col("m.polled_at").cast("timestamp").alias("_at"))
+        after = watched.join(set_now, list(KEY), "full").select(
+            *KEY,
+            F.coalesce("_version", "last_version").alias("last_version"),
+            F.coalesce("_at", "updated_at").alias("updated_at"),
+        )
+        tables.write_watched(after, root, f"batch-{batch_id}")
+
+    return (
+        polls.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )

@@ -27,6 +27,7 @@ def samples():
     yield from ["", " ", "ab cd ef", "héé hé", "a.b-c,d;e<f>g@h", "漢字漢字 abcdef"]
     for _ in range(300):
         yield "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 90)))
+    yield "".join(chr(0x4E00 + i % 700) for i in range(1500))  # more characters than are counted singly
     wide = [chr(c) for c in range(0x2B, 0x7F)]
     for _ in range(100):
         yield "".join(rng.choice(wide[: rng.randint(20, 84)]) for _ in range(rng.randint(20, 200)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reldrift.operators import diffing, readmodels, tokens
 from reldrift.plans import jobs
 from reldrift.sources import allowlists, tables
-from reldrift.streaming.changes import stream_version_changes
+from reldrift.streaming.changes import stream_changes_by_batch, stream_version_changes
 from reldrift.streaming.findings import stream_findings
 
 T1 = datetime(2024, 5, 1, 12, tzinfo=timezone.utc)
@@ -145,8 +145,14 @@ def test_lists_round_trip_and_bad_lists_are_empty(spark, tmp_path):
     assert allowlists.read_allowlists(spark, str(tmp_path / "absent")).count() == 0
 
 
-def test_stream_of_polls_over_several_batches_equals_the_batch(spark, tmp_path):
-    from reldrift.operators.changes import version_changes
+def test_newest_stored_findings(spark, root):
+    assert [r.name for r in tables.recent_stored_findings(spark, root, 1).collect()] == ["bad"]
+    assert [r.name for r in tables.recent_stored_findings(spark, root).collect()] == ["bad", "fresh"]
+
+
+@pytest.mark.parametrize("form", ["stateful", "by batch"])
+def test_stream_of_polls_over_several_batches_equals_the_batch(spark, tmp_path, form):
+    from reldrift.operators.changes import version_changes, watched_versions
 
     schema = "ecosystem string, name string, latest string, polled_at timestamp_ntz, event_id bigint"
     start = datetime(2024, 1, 1)
@@ -156,15 +162,23 @@ def test_stream_of_polls_over_several_batches_equals_the_batch(spark, tmp_path):
         piece = rows[part * 100 : (part + 1) * 100]
         spark.createDataFrame(piece, schema).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-        query = (
-            stream_version_changes(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-            .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
-        )
+        if form == "by batch":
+            query = stream_changes_by_batch(stream, str(tmp_path), str(tmp_path / "checkpoint"))
+        else:
+            query = (
+                stream_version_changes(stream).writeStream.format("parquet").option("path", str(tmp_path / "changes"))
+                .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+            )
         query.awaitTermination()
     columns = ["name", "version", "prev_version", "event_id"]
-    streamed = spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()
-    batch = version_changes(spark.createDataFrame(rows, schema)).select(*columns).collect()
+    streamed = spark.read.parquet(str(tmp_path / "changes")).select(*columns).collect()
+    whole = spark.createDataFrame(rows, schema)
+    batch = version_changes(whole).select(*columns).collect()
     assert len(batch) > 50 and sorted(streamed) == sorted(batch)
+    if form == "by batch":
+        micros = [F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"), "name", "last_version"]
+        kept = tables.read_watched(spark, str(tmp_path), "batch-2").select(*micros).collect()
+        assert sorted(kept) == sorted(watched_versions(whole).select(*micros).collect())
 
 
 def test_stream_of_pairs_stores_each_finding_once(spark, packed, tmp_path):
