@@ -30,9 +30,12 @@ def with_previous(
     ``bucket`` must not decrease along ``order_by`` within a key.  Rows are compared
     with their predecessor inside (key, bucket); the first row of a bucket takes the
     last value of the key's preceding non-empty bucket, found on one row per bucket.
-    ``value`` must not be NULL.
+    Rows without a key, a place or a value stand for no release and are left out.
     """
+    # the same condition on both branches lets them share one shuffle
     bucketed = df.withColumn("_bucket", bucket)
+    for column in (*keys, value, "_bucket"):
+        bucketed = bucketed.where(F.col(column).isNotNull())
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_by)
     across = Window.partitionBy(*keys).orderBy("_bucket")
 

@@ -24,7 +24,10 @@ def test_every_query_has_its_sql():
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, connection, name):
-    columns, rows = spark_rows(QUERIES[name](spark, SF))
+    df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    columns, rows = spark_rows(df)
     expected_columns, expected = oracle_rows(connection, ORACLE[name])
     assert columns == expected_columns
     assert rows == expected
