@@ -249,7 +249,7 @@ def rejected_documents(spark, sf):
 
 
 def _resolved(spark, sf):
-    latest = registry.with_latest(derived.registry_docs(spark, sf))
+    latest = registry.registry_latest(derived.registry_docs(spark, sf))
     return registry.resolve_changes(changes.changed_only(latest))
 
 

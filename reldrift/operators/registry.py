@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import patterns as P
+from ..functions.binding import let
 
 
 def _parse(body: Column, schema) -> Column:
@@ -17,12 +18,7 @@ def _or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def _for(ecosystem: str, value: Column) -> Column:
-    """The value for rows of one ecosystem, so a document is parsed in its own shape only."""
-    return F.when(F.col("ecosystem") == ecosystem, value)
-
-
-_PARSED = {
+_SHAPES = {
     "npm": S.NPM_DOC,
     "pypi": S.PYPI_DOC,
     "cargo": S.CARGO_DOC,
@@ -42,61 +38,53 @@ _LATEST = {
 }
 
 
-def parse_documents(docs: DataFrame) -> DataFrame:
-    """Replace ``body`` by one parsed column per ecosystem."""
-    parsed = [_for(e, _parse(F.col("body"), schema)).alias(f"_{e}") for e, schema in _PARSED.items()]
-    return docs.select("*", *parsed).drop("body")
-
-
 def _pick(values: dict[str, Column]) -> Column:
+    """The value for the row's ecosystem, so a document is parsed in its own shape only."""
     expr = F
     for ecosystem, value in values.items():
         expr = expr.when(F.col("ecosystem") == ecosystem, value)
     return expr
 
 
-def _latest() -> Column:
-    return _pick(
-        {
-            e: F.when(F.col(f"_{e}._corrupt").isNull(), latest(F.col(f"_{e}")))
-            for e, latest in _LATEST.items()
-        }
+def _outcome(body: Column, ecosystem: str) -> Column:
+    latest = _LATEST[ecosystem]
+    return let(
+        _parse(body, _SHAPES[ecosystem]),
+        lambda d: F.struct(
+            d["_corrupt"].isNotNull().alias("corrupt"),
+            F.when(d["_corrupt"].isNull(), latest(d)).alias("latest"),
+        ),
     )
 
 
-def with_latest(docs: DataFrame) -> DataFrame:
-    """Parsed documents with ``latest``; broken, empty and malformed ones are dropped.
+def _with_outcome(docs: DataFrame) -> DataFrame:
+    """Add ``_o`` (corrupt, latest).  Generated, so that filters on it do not parse again."""
+    outcome = _pick({e: _outcome(F.col("body"), e) for e in _SHAPES})
+    return docs.select("*", F.explode(F.array(outcome)).alias("_o"))
+
+
+def registry_latest(docs: DataFrame) -> DataFrame:
+    """Add ``latest``; broken, empty and malformed documents are dropped.
 
     A package coordinate of the group:artifact kind needs its colon.
     """
     usable = (F.col("ecosystem") != "maven") | F.col("name").contains(":")
     return (
-        parse_documents(docs.where(usable))
-        .withColumn("latest", _latest())
-        .where(F.col("latest") != "")
+        _with_outcome(docs.where(usable))
+        .where(F.col("_o.latest") != "")
+        .withColumn("latest", F.col("_o.latest"))
+        .drop("_o")
     )
 
 
-def registry_latest(docs: DataFrame) -> DataFrame:
-    """(ecosystem, name, body, ...) -> (ecosystem, name, ..., latest)."""
-    parsed = with_latest(docs)
-    return parsed.drop(*[f"_{e}" for e in _PARSED])
-
-
 def rejected_documents(docs: DataFrame) -> DataFrame:
     """Documents without a usable latest version, with the reason: nothing vanishes silently."""
-    parsed = parse_documents(docs)
-    corrupt = _pick({e: F.col(f"_{e}._corrupt").isNotNull() for e in _PARSED})
     reason = (
         F.when((F.col("ecosystem") == "maven") & ~F.col("name").contains(":"), "bad coordinate")
-        .when(corrupt, "malformed document")
-        .when(F.coalesce(_latest(), F.lit("")) == "", "no latest version")
-    )
-    return (
-        parsed.withColumn("reason", reason)
-        .where(F.col("reason").isNotNull())
-        .drop(*[f"_{e}" for e in _PARSED])
+        .when(F.col("_o.corrupt"), "malformed document")
+        .when(F.coalesce(F.col("_o.latest"), F.lit("")) == "", "no latest version")
     )
+    return _with_outcome(docs).withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("_o")
 
 
 # --- artifact addresses ------------------------------------------------------
@@ -148,36 +136,38 @@ def nuget_url(package: Column, version: Column) -> Column:
     )
 
 
-def artifact_url(version: Column) -> Column:
-    """Address of a version's archive, from a parsed document row; '' if it lists none."""
-    name = F.col("name")
-    return _pick(
-        {
-            "npm": _or_empty(F.try_element_at(F.col("_npm.versions"), version)["dist"]["tarball"]),
-            "pypi": pick_source_file(F.try_element_at(F.col("_pypi.releases"), version)),
-            "cargo": cargo_url(F.col("_cargo.versions"), version),
-            "maven": maven_url(name, version),
-            "go": go_url(name, version),
-            "nuget": nuget_url(name, version),
-        }
-    )
+def _addresses(ecosystem: str) -> Column:
+    """Both archive addresses of a row, its document parsed once; '' where it lists none."""
+    name, versions = F.col("name"), ("latest", "last_seen")
 
+    def both(address) -> Column:
+        return F.struct(*[address(F.col(v)).alias(v) for v in versions])
 
-def with_addresses(latest: DataFrame) -> DataFrame:
-    """Parsed rows with latest and last_seen -> the same rows with both archive addresses."""
-    return latest.select(
-        "ecosystem",
-        "name",
-        "latest",
-        "last_seen",
-        artifact_url(F.col("latest")).alias("source_url"),
-        artifact_url(F.col("last_seen")).alias("prev_source_url"),
-    )
+    if ecosystem == "maven":
+        return both(lambda v: maven_url(name, v))
+    if ecosystem == "go":
+        return both(lambda v: go_url(name, v))
+    if ecosystem == "nuget":
+        return both(lambda v: nuget_url(name, v))
+    listed = {
+        "npm": lambda d, v: _or_empty(F.try_element_at(d["versions"], v)["dist"]["tarball"]),
+        "pypi": lambda d, v: pick_source_file(F.try_element_at(d["releases"], v)),
+        "cargo": lambda d, v: cargo_url(d["versions"], v),
+    }[ecosystem]
+    document = _parse(F.col("body"), _SHAPES[ecosystem])
+    return let(document, lambda d: both(lambda v: listed(d, v)))
 
 
 def resolve_changes(changed: DataFrame) -> DataFrame:
-    """Changed rows -> release pairs with both addresses."""
-    return with_addresses(changed).select(
-        "ecosystem", "name", F.col("latest").alias("version"), "source_url",
-        F.col("last_seen").alias("prev_version"), "prev_source_url",
+    """(ecosystem, name, body, latest, last_seen) -> release pairs with both addresses."""
+    addresses = _pick({e: _addresses(e) for e in _SHAPES})
+    return changed.select(
+        "ecosystem", "name", "latest", "last_seen", F.explode(F.array(addresses)).alias("_a")
+    ).select(
+        "ecosystem",
+        "name",
+        F.col("latest").alias("version"),
+        F.col("_a.latest").alias("source_url"),
+        F.col("last_seen").alias("prev_version"),
+        F.col("_a.last_seen").alias("prev_source_url"),
     )

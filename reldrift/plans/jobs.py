@@ -23,14 +23,12 @@ def detect_changes(
     """
     if allowlist is not None:
         docs = changes.restrict_to_watchlist(docs, allowlist)
-    latest = changes.look_up_last_seen(registry.with_latest(docs), watched)
-    # documents are parsed once; both results read the few columns that come out
-    polled = materialize(registry.with_addresses(latest), "polled")
-    pairs = changes.changed_only(polled).select(
-        "ecosystem", "name", F.col("latest").alias("version"), "source_url",
-        F.col("last_seen").alias("prev_version"), "prev_source_url",
-    )
-    return pairs, changes.upsert_watched(watched, polled, now)
+    # documents are wide and few of them changed: look up on names and versions alone,
+    # then go back to the documents of the changed packages for their addresses
+    latest = materialize(registry.registry_latest(docs).select(*changes.KEY, "latest"), "latest")
+    changed = changes.changed_only(changes.look_up_last_seen(latest, watched))
+    pairs = registry.resolve_changes(docs.select(*changes.KEY, "body").join(changed, list(changes.KEY)))
+    return pairs, changes.upsert_watched(watched, latest, now)
 
 
 def unpacked_tokens(packed: DataFrame) -> DataFrame:
@@ -123,6 +121,7 @@ def run_cycle(
     """
     watched = tables.read_watched(spark, root, previous_cycle)
     pairs, watched_after = detect_changes(docs, watched, now, allowlist)
+    pairs = materialize(pairs, "pairs")
     archive_tokens = materialize(unpacked_tokens(packed), "archive-tokens")
     publish(diff_pairs(pairs, archive_tokens), root, cycle, now)
     tables.write_watched(watched_after, root, cycle)

@@ -124,7 +124,10 @@ def _files(content: bytes) -> Iterator[tuple]:
     Damage anywhere spoils the whole archive, so nothing is given out before the end
     is reached; a large archive is then read a second time.
     """
-    members = _reader(content)
+    members = None if content is None else _reader(content)
+    if content is None:
+        yield ERROR, None, None, None
+        return
     if members is None:
         yield EMPTY, None, None, None
         return
@@ -147,7 +150,7 @@ def unpack(archives: DataFrame) -> DataFrame:
 
     Every archive gives at least one row: ``file_ord`` is NULL where it holds no
     scannable file.  Status is 'ok', 'empty' (unknown format, or not the format its
-    first bytes announce: an empty text) or 'error' (damaged inside: no result at all).
+    first bytes announce: an empty text) or 'error' (damaged or too large: no result at all).
     Only the first 40 MiB of an archive are looked at.
     """
     keys = [c for c in archives.columns if c != "content"]
@@ -169,7 +172,7 @@ def unpack(archives: DataFrame) -> DataFrame:
         rows, size = [], 0
         for batch in batches:
             for *key, content in zip(*[batch[k] for k in keys], batch["content"]):
-                for row in _files(bytes(content or b"")):
+                for row in _files(None if content is None else bytes(content)):
                     rows.append((*key, *row))
                     size += len(row[-1] or "")
                     if len(rows) >= _BATCH_ROWS or size >= _BATCH_CHARS:
@@ -182,14 +185,22 @@ def unpack(archives: DataFrame) -> DataFrame:
 
 
 def scan_archives(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Archives below a folder: (source_path, length, content)."""
-    return (
+    """Archives below a folder: (source_path, length, content).
+
+    A file too large for one value is listed with NULL content, which unpacks as
+    damaged; its bytes are not read.  Empty files are passed over.
+    """
+    files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
         .select(F.col("path").alias("source_path"), "length", "content")
     )
+    largest = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    readable = files.where(F.col("length") <= largest)
+    too_large = files.where(F.col("length") > largest)
+    return readable.unionByName(too_large.withColumn("content", F.lit(None).cast("binary")))
 
 
 def archive_status(unpacked: DataFrame, keys: list[str]) -> DataFrame:

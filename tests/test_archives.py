@@ -101,3 +101,18 @@ def test_only_the_first_bytes_of_an_archive_are_read(spark, monkeypatch):
         [("t", bytearray(tar_gz([("a.js", NOISE)]))), ("z", bytearray(zipped([("a.js", NOISE)])))], "name string, content binary"
     )
     assert {r.name: r.archive_status for r in archives.unpack(df).collect()} == {"t": "error", "z": "empty"}
+
+
+def test_a_file_too_large_to_read_is_an_error_and_not_a_failure(spark, tmp_path):
+    (tmp_path / "large.tgz").write_bytes(tar_gz([("a.js", NOISE)]) + b"\0" * 500)
+    (tmp_path / "small.tgz").write_bytes(tar_gz([("a.js", b"x")]))
+    setting = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "400")
+    try:
+        scanned = archives.scan_archives(spark, str(tmp_path))
+        name = F.regexp_extract("source_path", r"([^/]*)\z", 1)
+        rows = archives.unpack(scanned.select(name.alias("name"), "content")).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert {r.name: r.archive_status for r in rows} == {"large.tgz": "error", "small.tgz": "ok"}

@@ -35,7 +35,7 @@ def documents(spark, rows):
 
 def test_six_shapes(spark):
     docs = documents(spark, [(e, n, json.dumps(d)) for (e, n), d in DOCS.items()])
-    parsed = registry.with_latest(docs).withColumn("last_seen", F.lit("1"))
+    parsed = registry.registry_latest(docs).withColumn("last_seen", F.lit("1"))
     rows = registry.resolve_changes(changes.changed_only(parsed)).collect()
     assert {r.name: (r.version, r.source_url, r.prev_source_url) for r in rows} == EXPECTED
 
