@@ -114,7 +114,8 @@ def release_pairs(spark, sf):
 
 def _new_tokens(spark, sf, kinds=tuple(P.SIGNALS)) -> DataFrame:
     found = materialize(tokens.release_tokens(derived.release_files(spark, sf), kinds), "tokens")
-    return diffing.new_tokens(found, diffing.release_pairs(derived.releases(spark, sf)))
+    new = diffing.new_tokens(found, diffing.release_pairs(derived.releases(spark, sf)))
+    return materialize(new, "new-tokens")
 
 
 def _lines(column) -> Column:
@@ -129,14 +130,14 @@ def _signal_rows(findings: DataFrame) -> DataFrame:
 
 def _new(kind):
     def query(spark, sf):
-        return _signal_rows(diffing.collect_findings(_new_tokens(spark, sf, (kind,))))
+        return _signal_rows(diffing.find(_new_tokens(spark, sf, (kind,))))
 
     return query
 
 
 def _findings(spark, sf) -> DataFrame:
     """Scored findings; the time of analysis is derived from the release."""
-    found = diffing.collect_findings(_new_tokens(spark, sf))
+    found = diffing.find(_new_tokens(spark, sf))
     seconds = F.regexp_extract("version", r"\A1\.([0-9]+)\z", 1).cast("long") + BASE_SECONDS
     return found.withColumn("analyzed_at", F.timestamp_seconds(seconds))
 
@@ -155,7 +156,7 @@ def _flat(findings: DataFrame) -> DataFrame:
 
 
 def signals(spark, sf):
-    return _signal_rows(diffing.collect_findings(_new_tokens(spark, sf)))
+    return _signal_rows(diffing.find(_new_tokens(spark, sf)))
 
 
 def findings(spark, sf):
@@ -163,9 +164,7 @@ def findings(spark, sf):
 
 
 def evidence(spark, sf):
-    found = materialize(tokens.release_tokens(derived.release_files(spark, sf)), "tokens")
-    pairs = diffing.release_pairs(derived.releases(spark, sf))
-    return diffing.evidence(found, pairs).select(*PAIR, "kind", "file_ord", "token")
+    return diffing.evidence(_new_tokens(spark, sf)).select(*PAIR, "kind", "file_ord", "token")
 
 
 def severity_score(spark, sf):

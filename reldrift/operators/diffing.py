@@ -40,8 +40,8 @@ def new_tokens(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def evidence(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per piece of evidence, ordered within (pair, kind) by file_ord, pos.
+def evidence(new: DataFrame) -> DataFrame:
+    """New tokens -> one row per piece of evidence, ordered within (pair, kind) by file_ord, pos.
 
     The long form of the result: nothing is gathered per release, so its size per
     release is unlimited.  Risky words appear once per pair, at their first place.
@@ -49,12 +49,12 @@ def evidence(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     is_word = F.col("kind") == "import"
     columns = [*PAIR, "kind", "file_ord", "pos", "token"]
     words = (
-        new_tokens(tokens.where(is_word), pairs)
+        new.where(is_word)
         .groupBy(*PAIR, "kind", "token")
         .agg(F.min(F.struct("file_ord", "pos")).alias("_at"))
         .select(*PAIR, "kind", "_at.file_ord", "_at.pos", "token")
     )
-    return new_tokens(tokens.where(~is_word), pairs).select(*columns).unionByName(words)
+    return new.where(~is_word).select(*columns).unionByName(words)
 
 
 def token_weight(kind: Column, token: Column) -> Column:
@@ -107,13 +107,35 @@ def score_releases(new: DataFrame) -> DataFrame:
     )
 
 
+# a release with more new tokens than this keeps its evidence in long form only
+NESTED_ITEMS = 100_000
+
+
+def find(new: DataFrame, nested_items: int = NESTED_ITEMS) -> DataFrame:
+    """New tokens, as a written table -> one scored finding per release pair.
+
+    The evidence of a release is nested in its row up to ``nested_items`` tokens.  A
+    larger release has the same severity, signals and weights with empty evidence
+    lists; its evidence is whole in :func:`evidence`, which gathers nothing.
+    """
+    large = (
+        new.groupBy(*PAIR).agg(F.count("*").alias("_items")).where(F.col("_items") > nested_items).select(*PAIR)
+    )
+    if large.isEmpty():
+        return collect_findings(new)
+    nested = collect_findings(new.join(large, list(PAIR), "left_anti"))
+    unnested = _findings(
+        _weighed(new.join(large, list(PAIR), "left_semi")).groupBy(*PAIR).agg(*_kind_weights()),
+        {kind: F.array().cast("array<string>") for kind in P.SIGNALS},
+    )
+    return nested.unionByName(unnested)
+
+
 def collect_findings(new: DataFrame) -> DataFrame:
-    """New tokens -> one finding per release pair, with its signals nested.
+    """New tokens of releases of bounded size -> findings with all evidence nested.
 
     One shuffle on the pair.  Risky words are a closed list, so their first places are
-    minima and no list is gathered for them.  A finding carries the whole evidence of
-    one release, whose text the archive cap bounds; where that is too much for a row,
-    :func:`evidence` and :func:`score_releases` give the same content in long form.
+    minima and no list is gathered for them.
     """
     item = F.struct(*_ITEM)
     lists = [
@@ -132,7 +154,15 @@ def collect_findings(new: DataFrame) -> DataFrame:
         .agg(*_kind_weights(), *lists, *first_places)
         .withColumn("_import", F.filter(words, lambda w: w.isNotNull()))
     )
-    found = F.array(*[_signal(kind) for kind in P.SIGNALS])
+    in_order = {
+        kind: F.transform(F.sort_array(F.col(f"_{kind}")), lambda i: i["token"]) for kind in P.SIGNALS
+    }
+    return _findings(grouped, in_order)
+
+
+def _findings(grouped: DataFrame, evidence_of: dict[str, Column]) -> DataFrame:
+    """Grouped weights and evidence per kind -> severity and signals, in the fixed order of kinds."""
+    found = F.array(*[_signal(kind, evidence_of[kind]) for kind in P.SIGNALS])
     return grouped.select(
         *PAIR,
         severity(_total_weight()).alias("severity"),
@@ -140,15 +170,14 @@ def collect_findings(new: DataFrame) -> DataFrame:
     )
 
 
-def _signal(kind: str) -> Column:
+def _signal(kind: str, evidence_list: Column) -> Column:
     _, signal_kind, description, _ = P.SIGNALS[kind]
-    in_order = F.sort_array(F.col(f"_{kind}"))
     return F.when(
         F.col(f"_{kind}_weight").isNotNull(),
         F.struct(
             F.lit(signal_kind).alias("kind"),
             F.lit(description).alias("description"),
-            F.transform(in_order, lambda i: i["token"]).alias("evidence"),
+            evidence_list.alias("evidence"),
             F.col(f"_{kind}_weight").alias("weight"),
         ),
     )

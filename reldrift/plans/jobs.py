@@ -59,8 +59,7 @@ class Diff:
     """What a diff of release pairs yields."""
 
     analysed: DataFrame    # pairs that were compared, clean or not
-    new_tokens: DataFrame  # evidence candidates found in the new release only
-    tokens: DataFrame      # candidates of both sides, by release
+    new_tokens: DataFrame  # evidence candidates found in the new release only, written
 
 
 def diff_pairs(pairs: DataFrame, archive_tokens: DataFrame) -> Diff:
@@ -87,20 +86,19 @@ def diff_pairs(pairs: DataFrame, archive_tokens: DataFrame) -> Diff:
     found = archive_tokens.where(F.col("token").isNotNull()).drop("archive_status")
     by_release = materialize(sides.join(found, "source_url").drop("source_url"), "release-tokens")
     compared = analysed.select(*S.PAIR)
-    return Diff(compared, diffing.new_tokens(by_release, compared), by_release)
+    return Diff(compared, materialize(diffing.new_tokens(by_release, compared), "new-tokens"))
 
 
 def findings_of(new_tokens: DataFrame, now: datetime) -> DataFrame:
     """Scored findings of one cycle; releases without a signal do not appear."""
-    found = diffing.collect_findings(new_tokens)
-    return found.withColumn("analyzed_at", F.lit(now).cast("timestamp"))
+    return diffing.find(new_tokens).withColumn("analyzed_at", F.lit(now).cast("timestamp"))
 
 
 def publish(diff: Diff, root: str, cycle: str, now: datetime) -> None:
     """Store the findings, their evidence in long form, and the scan log of one cycle."""
     stamp = F.lit(now).cast("timestamp")
     tables.write_findings(findings_of(diff.new_tokens, now), root, cycle)
-    tables.write_cycle(diffing.evidence(diff.tokens, diff.analysed), root, "evidence", cycle)
+    tables.write_cycle(diffing.evidence(diff.new_tokens), root, "evidence", cycle)
     tables.write_cycle(diff.analysed.withColumn("analyzed_at", stamp), root, "scan_log", cycle)
 
 
