@@ -131,36 +131,37 @@ class Codec:
         new, self.pieces.new = self.pieces.new, []
         if not new:
             return
-        ids = self.encode_pieces([p.encode() for p in new])
-        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        ids, length = self.encode_pieces([p.encode() for p in new])
         start = len(self.piece_ids) + np.cumsum(length) - length
         self.piece_start = np.concatenate([self.piece_start, start])
         self.piece_length = np.concatenate([self.piece_length, length])
-        self.piece_ids = np.concatenate([self.piece_ids, *ids])
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece."""
-        out: list = [None] * len(pieces)
-        buckets: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            rank = self.ranks.get(piece)
-            if rank is not None:
-                out[i] = np.array([rank], dtype=np.int32)
-            elif len(piece) > BUCKETS[-1]:
-                out[i] = self._merge_long(piece)
-            else:
-                buckets.setdefault(int(np.searchsorted(BUCKETS, len(piece))), []).append(i)
-        for bucket, members in buckets.items():
-            rows = max(1, MATRIX_CELLS // BUCKETS[bucket])
+        self.piece_ids = np.concatenate([self.piece_ids, ids])
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces one after another, ids per piece)."""
+        rank = np.fromiter((self.ranks.get(p, -1) for p in pieces), dtype=np.int32, count=len(pieces))
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        whole = np.flatnonzero(rank >= 0)
+        blocks = [(whole, np.ones(len(whole), dtype=np.int64), rank[whole])]  # owners, lengths, ids
+        for i in np.flatnonzero((rank < 0) & (size > BUCKETS[-1])):
+            ids = self._merge_long(pieces[i])
+            blocks.append((np.array([i]), np.array([len(ids)]), ids))
+        bucket = np.where((rank < 0) & (size <= BUCKETS[-1]), np.searchsorted(BUCKETS, size), -1)
+        for b in np.unique(bucket[bucket >= 0]):
+            members = np.flatnonzero(bucket == b)
+            rows = max(1, MATRIX_CELLS // BUCKETS[b])
             for at in range(0, len(members), rows):
-                self._merge_rows(pieces, members[at : at + rows], BUCKETS[bucket], out)
-        return out
-
-    def _merge_rows(self, pieces, members, width, out) -> None:
-        owner = np.array(members)
-        data = np.frombuffer(b"".join(pieces[i] for i in members), dtype=np.uint8)
-        length = np.fromiter((len(pieces[i]) for i in members), dtype=np.int64, count=len(members))
-        ids = np.full((len(members), width), -1, dtype=np.int32)
+                self._merge_rows(pieces, members[at : at + rows], BUCKETS[b], blocks)
+        owner, length = (np.concatenate([block[k] for block in blocks]) for k in (0, 1))
+        start = np.cumsum(length) - length
+        order = np.argsort(owner)
+        ids = np.concatenate([block[2] for block in blocks])
+        return ids[ragged_index(start[order], length[order])], length[order]
+
+    def _merge_rows(self, pieces, owner, width, blocks) -> None:
+        data = np.frombuffer(b"".join(pieces[i] for i in owner), dtype=np.uint8)
+        length = np.fromiter((len(pieces[i]) for i in owner), dtype=np.int64, count=len(owner))
+        ids = np.full((len(owner), width), -1, dtype=np.int32)
         ids[np.arange(width) < length[:, None]] = self.byte_id[data]
         rank = self.table.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
         while len(ids):
@@ -169,8 +170,8 @@ class Codec:
             best = rank[row, at] if rank.shape[1] else np.full(len(ids), NONE)
             done = best == NONE
             if done.any():
-                for i, ids_of, n in zip(owner[done], ids[done], length[done]):
-                    out[i] = ids_of[:n]
+                ready, n = ids[done], length[done]
+                blocks.append((owner[done], n, ready[np.arange(ready.shape[1]) < n[:, None]]))
                 keep = ~done
                 owner, ids, rank, length, at, best = (x[keep] for x in (owner, ids, rank, length, at, best))
                 row = np.arange(len(ids))
