@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat
+from . import bpe, chat, pii, secrets
 from .common import table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -69,7 +69,17 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+def op9_pii_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.report(pii.scan(table(spark, sf, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op9_pii_spans": op9_pii_spans,
     "op6_chat_format": op6_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
 }

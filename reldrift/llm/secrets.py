@@ -1,0 +1,122 @@
+"""Secret scanning: strong patterns, and weak parts that count only beside their complement.
+
+Strong spans (an assignment to a secret's name, an access id, a long hex string) are always
+reported.  Weak parts (a login or short access id; a short assigned secret or short hex
+string; an address) are reported only when an identifier and a secret stand within
+``REACH`` code points of each other in one document; an address joins them when it is that
+close to a linked secret.  The interval join runs on (row, block of ``REACH`` code points):
+spans of a pattern don't overlap and have a least length, so a block holds few of them and
+no block's pairs grow with the data.
+"""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..session import materialize
+from .spans import add_matches, joined, of_kind, only, redact
+
+REACH = 200
+
+_NAMES = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+ASSIGN = rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+STRONG = {
+    "assign": ASSIGN,
+    # a run that is too short holds no longer one, so the least length can stand in the pattern
+    "access": "AKIA[A-Z0-9]{12,}",
+    "hex": "[0-9a-f]{32,}",
+}
+WEAK = {
+    "ident": r"""(?<![A-Za-z])(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}|AKIA[A-Z0-9]{4,11}(?![A-Z0-9])""",
+    "weak": "(?<![0-9a-f])[0-9a-f]{16,31}(?![0-9a-f])",
+    "endpoint": r"""[a-z][a-z0-9+]{1,15}://[^\s"'<>]{3,}|(?<![A-Za-z])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{3,}""",
+}
+RANK = {kind: i for i, kind in enumerate((*STRONG, *WEAK))}
+SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+
+
+def _value_length(match: Column) -> Column:
+    return F.length(F.regexp_extract(match, ASSIGN, 2))
+
+
+def find_parts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns but the text, with ``_row``, ``base`` (strong spans) and ``parts`` (weak ones)."""
+    keyed = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    keyed = keyed.withColumn("_row", row_key(keyed, "_text"))
+    found = add_matches(keyed, "_text", {**STRONG, **WEAK})
+    spans = {k: of_kind(F.col(k), k, RANK[k]) for k in (*STRONG, *WEAK)}
+    spans["assign"] = of_kind(F.filter("assign", lambda s: _value_length(s["match"]) >= 8), "assign", RANK["assign"])
+    short = of_kind(F.filter("assign", lambda s: _value_length(s["match"]).between(4, 7)), "weak", RANK["weak"])
+    base = F.array_sort(F.concat(*[spans[k] for k in STRONG]))
+    parts = F.array_sort(F.concat(*[spans[k] for k in WEAK], short))
+    kept = [c for c in docs.columns if c != text]
+    return found.select(*kept, "_row", base.alias("base"), parts.alias("parts"))
+
+
+def row_key(df: DataFrame, text: str) -> Column:
+    """A key of a row by its id, if it has one, and its text; equal rows share it."""
+    ids = [F.col("doc_id")] if "doc_id" in df.columns else []
+    return F.struct(F.xxhash64(*ids, text).alias("a"), F.crc32(F.col(text).cast("binary")).alias("b"))
+
+
+def _near(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
+    """Pairs of spans of one row that are at most ``reach`` apart: (_row, l, r)."""
+    blocks = F.sequence(F.floor((F.col("s.start") - reach) / reach), F.floor((F.col("s.end") + reach) / reach))
+    wide = left.select("_row", F.col("s").alias("l"), F.explode(blocks).alias("_block"))
+    narrow = right.select("_row", F.col("s").alias("r"), F.floor(F.col("s.start") / reach).alias("_block"))
+    close = (F.col("r.start") <= F.col("l.end") + reach) & (F.col("l.start") <= F.col("r.end") + reach)
+    return wide.join(narrow, ["_row", "_block"]).where(close).select("_row", "l", "r")
+
+
+def link_parts(found: DataFrame, reach: int = REACH) -> DataFrame:
+    """(_row, linked): the weak spans of each row that a complement makes reportable."""
+    base = found.select("_row", F.explode("base").alias("s"))
+    parts = found.select("_row", "base", F.explode("parts").alias("s"))
+    free = ~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))
+    parts = parts.where(free).select("_row", "s").distinct()
+    kind = F.col("s.kind")
+    idents = parts.where(kind == "ident").unionByName(base.where(kind == "access").distinct())
+    secrets = parts.where(kind == "weak").unionByName(base.where(kind.isin("assign", "hex")).distinct())
+    pairs = _near(idents, secrets, reach)
+    endpoints = parts.where(kind == "endpoint")
+    joined_by = pairs.select("_row", F.col("r").alias("s")).distinct()
+    addresses = _near(joined_by, endpoints, reach).select("_row", F.col("r").alias("s"))
+    told = pairs.select("_row", F.explode(F.array("l", "r")).alias("s")).unionByName(addresses)
+    weak = told.where(F.col("s.kind").isin(*WEAK)).distinct()
+    return weak.groupBy("_row").agg(F.collect_list("s").alias("linked"))
+
+
+def scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
+    """Every row of ``docs`` without its text, with ``base`` and ``spans``, sorted by start.
+
+    A NULL text counts as empty; an empty text has no spans; repeated rows get equal spans.
+    Columns called ``base``, ``spans`` or ``parts`` are replaced.
+    """
+    docs = docs.drop("base", "spans", "parts", "_row", "linked")
+    found = materialize(find_parts(docs, text), "secret-parts")
+    linked = link_parts(found, reach)
+    done = found.join(linked, "_row", "left")
+    spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN))))
+    return done.withColumn("spans", spans).drop("_row", "parts", "linked")
+
+
+def redact_secrets(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
+    """``docs`` with every reported span of ``text`` replaced by its kind in brackets.
+
+    Rows without a secret keep their text; a NULL text stays NULL.
+    """
+    keyed = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    keyed = keyed.withColumn("_row", row_key(keyed, "_t")).drop("_t")
+    found = materialize(find_parts(docs, text).select("_row", "base", "parts").distinct(), "secret-parts")
+    spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN))))
+    told = (
+        found.join(link_parts(found, reach), "_row", "left").select("_row", spans.alias("_spans")).where(F.size("_spans") > 0)
+    )
+    return keyed.join(told, "_row", "left").withColumn(
+        text, F.when(F.col("_spans").isNotNull(), redact(F.col(text), F.col("_spans"))).otherwise(F.col(text))
+    ).select(*docs.columns)
+
+
+def report(scanned: DataFrame) -> DataFrame:
+    """Counts per strong kind, the digest of the strong spans, and all spans as one string."""
+    count = [F.size(only("base", k)).cast("long").alias(f"n_{k}") for k in STRONG]
+    return scanned.select("doc_id", *count, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
