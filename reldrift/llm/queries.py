@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, pii, secrets
-from .common import table
+from . import bpe, chat, pii, secrets, toxicity
+from .common import fold, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -73,12 +73,23 @@ def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf, "documents").select("doc_id", "text")))
 
 
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of a classifier that has seen no label of the fold it is judged on."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", "toxic").where(fold(5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", "score")
+    return scored.select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op9_pii_spans(spark: SparkSession, sf: str) -> DataFrame:
     return pii.report(pii.scan(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_toxicity": op3_toxicity,
     "op9_pii_spans": op9_pii_spans,
     "op6_chat_format": op6_chat_format,
     "op8_byte_bpe": op8_byte_bpe,
