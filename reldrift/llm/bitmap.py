@@ -1,0 +1,39 @@
+"""Membership bitmaps of fixed size, as Spark expressions: a filter before an exact join."""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BITS = 22  # 2**22 bits, or 512 KiB, whatever is put in
+
+
+def bitmap(keys: DataFrame, key: str, bits: int = BITS) -> Column:
+    """An array<bigint> constant that has two bits set for every value of the long column ``key``.
+
+    The bits are gathered in Spark; at most 2**(bits - 6) numbers come to the driver.  With
+    too many keys the bitmap fills up and lets more pass, so it must stand before a join.
+    """
+    marks = F.explode(F.array(*[place(F.col(key), k, bits) for k in (0, 1)]))
+    words = (
+        keys.where(F.col(key).isNotNull()).select(marks.alias("at"))
+        .groupBy(F.shiftright("at", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set"))
+        .collect()
+    )
+    values = ["0"] * (1 << (bits - 6))
+    for row in words:
+        values[row["word"]] = str(row["set"])
+    return F.split(F.lit(",".join(values)), ",").cast("array<bigint>")
+
+
+def place(key: Column, k: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(k)), F.lit(1 << bits))
+
+
+def may_hold(held: Column, key: Column, bits: int = BITS) -> Column:
+    """False only for keys that were not put in."""
+    def is_set(k: int) -> Column:
+        at = place(key, k, bits)
+        word = F.get(held, F.shiftright(at, 6).cast("int"))
+        return F.call_function("getbit", word, at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return is_set(0) & is_set(1)

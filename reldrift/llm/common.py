@@ -93,9 +93,10 @@ class WordHasher:
     def _powers(self, n: int) -> None:
         if len(self._power) >= n:
             return
-        with np.errstate(over="ignore"):
-            self._power = np.cumprod(np.concatenate([[1], np.full(n, self._BASE, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            self._inverse = np.cumprod(np.concatenate([[1], np.full(n, self._inverse_base, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        for name, factor in (("_power", self._BASE), ("_inverse", self._inverse_base)):
+            steps = np.full(n + 1, factor, dtype=np.uint64)
+            steps[0] = 1
+            setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
     def words(self, texts: list[bytes]):
         """(hashes, words per text, first byte, end byte, joined bytes) of all words of ``texts``, in order."""

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, pii, secrets, toxicity
+from . import bpe, chat, oddsketch, pii, secrets, toxicity
 from .common import fold, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -87,7 +87,12 @@ def op9_pii_spans(spark: SparkSession, sf: str) -> DataFrame:
     return pii.report(pii.scan(table(spark, sf, "documents").select("doc_id", "text")))
 
 
+def op10_odd_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    return oddsketch.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op10_odd_sketch": op10_odd_sketch,
     "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op9_pii_spans": op9_pii_spans,
