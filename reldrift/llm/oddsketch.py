@@ -25,6 +25,7 @@ from ..session import materialize
 from . import common
 from .bitmap import bitmap, may_hold
 from .components import components
+from .linking import group_links
 
 WORDS, PERCENT = 5, 75
 # a pair at 0.75 misses all bands with (1 - 0.75**4) ** 40 < 3e-7
@@ -188,7 +189,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         .groupBy(*own).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", *_SKETCH)]),
         "near-classes",
     )
-    links = _links(classes, docs, width, percent)
+    links = group_links(classes, ["n_shingles", *_SKETCH], _alike(percent), lambda pairs: confirm(pairs, docs, width, percent))
     # ids with several texts tie their classes together
     several = signed.where("n_shingles > 0").join(classes.select(*own, "rep"), own).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     ties = several.join(classes.select(F.col("rep").alias("b")).distinct(), "b", "left_semi")
@@ -201,31 +202,3 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         F.when(F.col("doc_id").isNotNull(), F.coalesce(least, "doc_id")).alias("component_id"),
         (F.col("doc_id").isNull() | (F.coalesce(least, "doc_id") == F.col("doc_id"))).alias("kept"),
     )
-
-
-def _links(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between class representatives that give the groups."""
-    banded = classes.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("_last")).where("hub <> _last").drop("_last")
-    members = materialize(banded.join(shared, "key"), "near-members")
-    side = classes.select("rep", "n_shingles", *_SKETCH)
-    x, y = side.alias("x"), side.alias("y")
-    starred = members.where("rep <> hub").select("rep", "hub").distinct().alias("p")
-    first = (
-        starred.join(x, F.col("p.rep") == F.col("x.rep")).join(y, F.col("p.hub") == F.col("y.rep")).where(_alike(percent))
-        .groupBy(F.col("p.rep").alias("b")).agg(F.min("p.hub").alias("a")).select("a", "b")
-    )
-    star = confirm(materialize(first, "near-first"), docs, width, percent)
-    groups = components(star, "near-star")
-    grouped = side.join(groups, side["rep"] == groups["node"], "left").select(*side.columns, F.coalesce("component", "rep").alias("g"))
-    grouped = materialize(grouped, "near-grouped")
-    placed = materialize(members.select("key", "rep").join(grouped.select("rep", "g"), "rep"), "near-placed")
-    mixed = placed.groupBy("key").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi")).where("_lo <> _hi").select("key")
-    open_ = placed.join(mixed, "key").select("key", "rep").join(grouped, "rep")
-    open_ = materialize(open_, "near-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.g") != F.col("y.g")) & _alike(percent))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    )
-    return star.unionByName(confirm(materialize(across, "near-across"), docs, width, percent))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .secrets import row_key
+from .secret_scan import row_key
 from .spans import add_matches, joined, of_kind, only, redact
 
 KINDS = ("email", "ip", "card", "phone")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, oddsketch, pii, secrets, toxicity
+from . import bpe, chat, fingerprint, oddsketch, pii, secret_scan, toxicity
 from .common import fold, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -70,7 +70,7 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return secrets.report(secrets.scan(table(spark, sf, "documents").select("doc_id", "text")))
+    return secret_scan.report(secret_scan.scan(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +91,12 @@ def op10_odd_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return oddsketch.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op7_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op7_fingerprint": op7_fingerprint,
     "op10_odd_sketch": op10_odd_sketch,
     "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
