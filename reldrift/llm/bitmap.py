@@ -7,7 +7,7 @@ BITS = 22  # 2**22 bits, or 512 KiB, whatever is put in
 
 
 def bitmap(keys: DataFrame, key: str, bits: int = BITS) -> Column:
-    """An array<bigint> constant that has two bits set for every value of the long column ``key``.
+    """An array<bigint> constant with two bits set for every value of ``key``, a 64-bit hash.
 
     The bits are gathered in Spark; at most 2**(bits - 6) numbers come to the driver.  With
     too many keys the bitmap fills up and lets more pass, so it must stand before a join.
@@ -26,14 +26,14 @@ def bitmap(keys: DataFrame, key: str, bits: int = BITS) -> Column:
 
 
 def place(key: Column, k: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(k)), F.lit(1 << bits))
+    return F.shiftrightunsigned(key, 24 * k).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
 def may_hold(held: Column, key: Column, bits: int = BITS) -> Column:
-    """False only for keys that were not put in."""
+    """False only for hashes that were not put in."""
     def is_set(k: int) -> Column:
         at = place(key, k, bits)
         word = F.get(held, F.shiftright(at, 6).cast("int"))
-        return F.call_function("getbit", word, at.bitwiseAND(F.lit(63)).cast("int")) == 1
+        return F.call_function("getbit", word, at.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
 
     return is_set(0) & is_set(1)

@@ -144,7 +144,7 @@ def _alike(percent: int) -> Column:
 def confirm(pairs: DataFrame, docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of ids whose full shingle sets are as similar as ``percent``."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.where(may_hold(bitmap(named, "doc_id"), F.col("doc_id")))
+    wanted = docs.where(may_hold(bitmap(named.select(F.xxhash64("doc_id").alias("h")), "h"), F.xxhash64("doc_id")))
     texts = wanted.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["doc_id"])
     texts = materialize(texts.join(named, "doc_id", "left_semi"), "near-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))

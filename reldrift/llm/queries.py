@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, oddsketch, pii, secret_scan, toxicity
+from . import bpe, chat, decontam, fingerprint, oddsketch, pii, secret_scan, toxicity
 from .common import fold, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -95,7 +95,14 @@ def op7_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op5_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a benchmark text, with the words they share."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    return decontam.find_leaks(docs, items).drop("_row")
+
+
 QUERIES = {
+    "op5_spaced_seeds": op5_spaced_seeds,
     "op7_fingerprint": op7_fingerprint,
     "op10_odd_sketch": op10_odd_sketch,
     "op2_secret_scan": op2_secret_scan,

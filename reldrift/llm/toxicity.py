@@ -111,9 +111,9 @@ def _sum_blocks(sample: DataFrame) -> np.ndarray:
         parts = np.split(total.reshape(-1), slices)
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
 
-    def add(key, stream):
-        total = sum(np.frombuffer(x.as_buffer(), "<i8") for batch in stream for x in batch.column("counts"))
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+    def add(key, group):
+        total = sum(np.frombuffer(x.as_buffer(), "<i8") for x in group.column("counts"))
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     parts = sample.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
     found = {r["slice"]: np.frombuffer(r["counts"], "<i8") for r in parts.collect()}  # BUCKETS numbers a class
