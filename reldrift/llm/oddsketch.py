@@ -202,3 +202,18 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         F.when(F.col("doc_id").isNotNull(), F.coalesce(least, "doc_id")).alias("component_id"),
         (F.col("doc_id").isNull() | (F.coalesce(least, "doc_id") == F.col("doc_id"))).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each group, the one of the smallest id; all columns stay.
+
+    Of rows that share an id one stays.  Rows without an id stay.  Rows whose id the bitmap of
+    dropped and repeated ids rules out pass without a shuffle.
+    """
+    found = materialize(near_duplicates(docs, width, percent).where("doc_id is not null"), "near-groups")
+    dropped = found.where("not kept").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    named = dropped.unionByName(repeated).select(F.xxhash64("doc_id").alias("h"))
+    suspect = F.col("doc_id").isNotNull() & may_hold(bitmap(named, "h"), F.xxhash64("doc_id"))
+    rest = docs.where(suspect).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return docs.where(~suspect).unionByName(rest.select(*docs.columns))

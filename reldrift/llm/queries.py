@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, oddsketch, pii, secret_scan, toxicity
+from . import bpe, chat, decontam, fingerprint, hpylm, oddsketch, pii, secret_scan, toxicity
 from .common import fold, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -69,6 +69,13 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op1_hpy_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of a model that learns from six sevenths of the documents; the rest is held out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = hpylm.score(docs, hpylm.train(docs.where(fold(7) != 2)))
+    return scored.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.report(secret_scan.scan(table(spark, sf, "documents").select("doc_id", "text")))
 
@@ -102,6 +109,7 @@ def op5_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_hpy_lm": op1_hpy_lm,
     "op5_spaced_seeds": op5_spaced_seeds,
     "op7_fingerprint": op7_fingerprint,
     "op10_odd_sketch": op10_odd_sketch,

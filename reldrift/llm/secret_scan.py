@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .bitmap import bitmap, may_hold
 from .spans import add_matches, joined, of_kind, only, redact
 
 REACH = 200
@@ -102,7 +103,7 @@ def scan(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
 def redact_secrets(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by its kind in brackets.
 
-    Rows without a secret keep their text; a NULL text stays NULL.
+    Rows without a secret keep their text and pass without a shuffle; a NULL text stays NULL.
     """
     keyed = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     keyed = keyed.withColumn("_row", row_key(keyed, "_t")).drop("_t")
@@ -111,9 +112,16 @@ def redact_secrets(docs: DataFrame, text: str = "text", reach: int = REACH) -> D
     told = (
         found.join(link_parts(found, reach), "_row", "left").select("_row", spans.alias("_spans")).where(F.size("_spans") > 0)
     )
-    return keyed.join(told, "_row", "left").withColumn(
+    told = materialize(told, "secret-spans")
+    suspect = may_hold(bitmap(told.select("_row.a"), "a"), F.col("_row.a"))
+    redacted = keyed.where(suspect).join(told, "_row", "left").withColumn(
         text, F.when(F.col("_spans").isNotNull(), redact(F.col(text), F.col("_spans"))).otherwise(F.col(text))
-    ).select(*docs.columns)
+    )
+    return docs_like(keyed.where(~suspect), docs).unionByName(docs_like(redacted, docs))
+
+
+def docs_like(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*docs.columns)
 
 
 def report(scanned: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ SIZES = (3, 5)
 BUCKETS = 1 << 18
 FEATURES = 1024
 FIT_ROWS = 8_000  # of either class
-SMOOTHING, PENALTY, STEPS = 1.0, 10.0, 120
+SMOOTHING, PENALTY, STEPS = 1.0, 1.0, 120
+EVIDENCE = 4.0  # standard errors between the classes' shares that a feature must show
 BLOCK_BYTES = 2 << 20
 
 
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     ratio = np.log(p) - np.log(q)
     evidence = np.abs(p - q) / np.sqrt(p * (1 - p) / size[1] + q * (1 - q) / size[0])
     chosen = np.argsort(-evidence, kind="stable")[:FEATURES]
-    chosen = chosen[have[:, chosen].sum(axis=0) > 0]
+    chosen = chosen[evidence[chosen] >= EVIDENCE]
     lookup[chosen] = np.arange(len(chosen))
     scale = ratio[chosen]
 
@@ -154,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     lists = [np.frombuffer(r["features"], "<i4") for r in found]
     label = np.array([r["toxic"] for r in found], dtype=float)
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    feature = np.concatenate(lists)
+    feature = np.concatenate(lists) if lists else np.zeros(0, np.int32)
     weight, bias = _logistic(owner, feature, scale[feature], label, len(scale))
     # the sample has other shares of the classes than all labelled rows
     bias += np.log(counts[1] / counts[0]) - np.log(max(label.sum(), 1) / max(len(label) - label.sum(), 1))
