@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fingerprint, hpylm, oddsketch, pii, secret_scan, toxicity
+from . import bpe, chat, decontam, fingerprint, hpylm, oddsketch, pii, repeats, secret_scan, toxicity
 from .common import fold, table
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -102,6 +102,15 @@ def op7_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without the strings it shares with earlier ones."""
+    cut = repeats.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return cut.select(
+        "doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a benchmark text, with the words they share."""
     docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
@@ -109,6 +118,7 @@ def op5_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op1_hpy_lm": op1_hpy_lm,
     "op5_spaced_seeds": op5_spaced_seeds,
     "op7_fingerprint": op7_fingerprint,
