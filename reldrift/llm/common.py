@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD_BLOCK_BYTES = 8 << 20  # texts are hashed together up to about this many bytes
+WORD_BLOCK_BYTES = 2 << 20  # texts are hashed together up to about this many bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from .bitmap import bitmap, may_hold
 
 SPAN, GRAM = 50, 24
 SIDE = SPAN - GRAM  # bytes left of an anchor that a string through it can reach
-CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 60_000
+CHUNK_BYTES, CHUNK_DOCS = 2 << 20, 60_000
 BUCKET_BYTES = 12 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
