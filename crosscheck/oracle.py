@@ -25,17 +25,17 @@ FILES = """release_files AS (
    CASE f.file_ord WHEN 0 THEN 'src/index.js' WHEN 1 THEN 'pkg/mod.py' WHEN 2 THEN 'package.json'
         WHEN 3 THEN 'README.md' ELSE 'dist/app.js' END AS path,
    CASE f.file_ord
-    WHEN 0 THEN concat('const v = 1', chr(10), '// see https://c', k, '.evil.io/x', chr(10),
-      CASE WHEN release_seq % 3 = 0 THEN concat('const cdn = "https://cdn', CAST(release_seq % 7 AS VARCHAR), '.vendor.io/lib.js";', chr(10)) ELSE '' END,
-      CASE WHEN release_seq % 11 = 0 THEN concat('fetch("http://185.220.101.', CAST(release_seq % 250 AS VARCHAR), '/collect")', chr(10)) ELSE '' END,
-      CASE WHEN release_seq % 5 = 0 THEN concat('const cp = require("child_process")', chr(10)) ELSE '' END,
-      CASE WHEN release_seq % 7 = 0 THEN concat('const blob = "', to_base64(unhex(concat(sha256(k), substring(sha256(concat('x', k)), 1, 48)))), '"', chr(10)) ELSE '' END)
-    WHEN 1 THEN concat('# https://doc.evil.io/', chr(10),
+    WHEN 0 THEN concat('const v = 1', chr(10), '// see https://c', k, '.lurk.zone/x', chr(10),
+      CASE WHEN release_seq % 3 = 0 THEN concat('let kit = "https://kit', CAST(release_seq % 7 AS VARCHAR), '.parcels.zone/kit.js";', chr(10)) ELSE '' END,
+      CASE WHEN release_seq % 11 = 0 THEN concat('send("http://198.51.100.', CAST(release_seq % 250 AS VARCHAR), '/in")', chr(10)) ELSE '' END,
+      CASE WHEN release_seq % 5 = 0 THEN concat('var w = require("worker_threads"), r = require("child_process")', chr(10)) ELSE '' END,
+      CASE WHEN release_seq % 7 = 0 THEN concat('let raw = "', to_base64(unhex(concat(sha256(k), substring(sha256(concat('x', k)), 1, 48)))), '"', chr(10)) ELSE '' END)
+    WHEN 1 THEN concat('# https://doc.lurk.zone/', chr(10),
       CASE WHEN release_seq % 13 = 0 THEN concat('import socket', chr(10)) ELSE '' END,
       'home = "https://example.com/"', chr(10))
     WHEN 2 THEN concat('{"repository": "https://github.com/o/r.git"',
-      CASE WHEN release_seq % 17 = 0 THEN concat(', "postinstall": "node s', k, '.js"') ELSE '' END, '}')
-    ELSE 'see https://skipped.evil.io/a' END AS content
+      CASE WHEN release_seq % 17 = 0 THEN concat(', "preinstall": "sh p', k, '.sh"') ELSE '' END, '}')
+    ELSE 'see https://skipped.lurk.zone/a' END AS content
   FROM releases r, (VALUES (0), (1), (2), (3), (4)) f(file_ord))"""
 
 _SCANNABLE = r"""regexp_matches(lower(path), '\.(js|ts|jsx|tsx|mjs|cjs|py|pyi|go|rs|java|kt|scala|cs|json|toml|yaml|yml|xml|sh|bash|ps1)$')
@@ -245,7 +245,9 @@ _LOOKUP = """SELECT n.ecosystem, n.name, n.latest, coalesce(w.last_version, '')
 REGISTRY = """docs AS (
   SELECT ecosystem, CASE ecosystem
       WHEN 'maven' THEN CASE WHEN release_seq % 19 = 0 THEN name ELSE concat('org.acme.', name, ':', name) END
-      WHEN 'go' THEN concat('Example.org/', name, '/Mod') WHEN 'nuget' THEN concat('Acme.', name) ELSE name END AS name,
+      WHEN 'go' THEN CASE WHEN release_seq % 31 = 0 THEN concat('Example.org/', name, '/Mod')
+        WHEN release_seq % 37 = 0 THEN concat('example.org/', name, '/v1') ELSE concat('example.org/', upper(name), '/Mod') END
+      WHEN 'nuget' THEN concat('Acme.', name) ELSE name END AS name,
     release_seq, last_seen,
     CASE WHEN release_seq % 23 = 0 THEN '{"broken' ELSE CASE ecosystem
       WHEN 'npm' THEN concat('{"dist-tags":{"latest":"', shown, '"},"versions":{',
@@ -274,7 +276,8 @@ PARSED = """parsed AS (
       WHEN 'maven' THEN json_extract_string(body, '$.response.docs[0].v')
       WHEN 'go' THEN json_extract_string(body, '$.Version')
       ELSE json_extract_string(body, '$.versions[#-1]') END END AS latest,
-    ecosystem = 'maven' AND NOT contains(name, ':') AS bad_coordinate
+    (ecosystem = 'maven' AND NOT contains(name, ':')) OR (ecosystem = 'go'
+      AND (NOT regexp_matches(name, '^[a-z0-9.-]+(/[-._~A-Za-z0-9]+)*$') OR regexp_matches(name, '/v[01]$'))) AS bad_coordinate
   FROM docs)"""
 
 
@@ -369,7 +372,7 @@ ORACLE = {
     "new_hooks": _signals(4),
     "signals": _diff(f"SELECT {_PAIR}, kind, description, evidence, weight FROM signals"),
     "findings": _diff(_FLAT + "findings"),
-    "evidence": _diff(f"SELECT {_PAIR}, kind, file_ord, token FROM evidence"),
+    "evidence": _diff(f"SELECT {_PAIR}, kind, file_ord, pos, token FROM evidence"),
     "severity_score": _diff(f"SELECT {_PAIR}, signal_count AS signals, total_weight, severity, label FROM findings"),
     "version_changes": _with(POLLS, SEEN, select=_CHANGES),
     "first_seen": _with(POLLS, SEEN, select="""SELECT ecosystem, name, latest AS version, epoch_us(polled_at) AS polled_us, event_id
@@ -389,6 +392,9 @@ ORACLE = {
   CASE WHEN bad_coordinate THEN 'bad coordinate' WHEN NOT json_valid(body) THEN 'malformed document' ELSE 'no latest version' END AS reason
   FROM parsed WHERE bad_coordinate OR coalesce(latest, '') = ''"""),
     "artifact_lookup": _with(RELEASES, REGISTRY, PARSED, _RESOLVED, select="SELECT * FROM resolved WHERE ecosystem IN ('npm', 'pypi', 'cargo')"),
+    "detect_changes": _with(RELEASES, REGISTRY, """newest_docs AS (SELECT * EXCLUDE (place) FROM (
+    SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY release_seq DESC) AS place FROM docs) WHERE place = 1)""",
+        PARSED.replace("FROM docs)", "FROM newest_docs)"), _RESOLVED, select="SELECT * FROM resolved"),
     "artifact_urls": _with(RELEASES, REGISTRY, PARSED, _RESOLVED, select="SELECT * FROM resolved"),
     "recent_findings": _diff(_FLAT + _NEWEST),
     "recent_activity": _with(POLLS, SEEN, WATCHED, select="""SELECT ecosystem, name, last_version AS version FROM watched

@@ -65,7 +65,7 @@ def _tokens(kind):
 
 
 def page_tokens(spark, sf):
-    pages = derived.spread(derived.table(spark, sf, "pages").select("page_id", "html"))
+    pages = derived.table(spark, sf, "pages").select("page_id", "html")
     return tokens.extract_tokens(pages, text="html").select("page_id", "kind", "pos", "token")
 
 
@@ -86,7 +86,7 @@ def url_classify(spark, sf):
 
 
 def string_entropy(spark, sf):
-    docs = derived.spread(derived.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = derived.table(spark, sf, "documents").select("doc_id", "text")
     run = docs.withColumn("run", entropy.longest_encoded_run(F.col("text")))
     return run.select(
         "doc_id",
@@ -164,7 +164,7 @@ def findings(spark, sf):
 
 
 def evidence(spark, sf):
-    return diffing.evidence(_new_tokens(spark, sf)).select(*PAIR, "kind", "file_ord", "token")
+    return diffing.evidence(_new_tokens(spark, sf)).select(*PAIR, "kind", "file_ord", "pos", "token")
 
 
 def severity_score(spark, sf):
@@ -260,6 +260,16 @@ def artifact_urls(spark, sf):
     return _resolved(spark, sf)
 
 
+def detect_changes(spark, sf):
+    """One poll cycle over all landed documents, several of a package among them."""
+    docs = derived.registry_docs(spark, sf).withColumn("landed_at", F.timestamp_seconds("release_seq"))
+    seen = docs.groupBy("ecosystem", "name").agg(F.max_by("last_seen", "release_seq").alias("last_version"))
+    watched = seen.where("last_version <> ''").withColumn("updated_at", F.timestamp_seconds(F.lit(0)))
+    now = datetime(2024, 2, 1, tzinfo=timezone.utc)
+    pairs, _ = jobs.detect_changes(docs.select("ecosystem", "name", "landed_at", "body"), watched, now)
+    return pairs
+
+
 # --- read models --------------------------------------------------------------------
 
 
@@ -447,6 +457,7 @@ QUERIES = {
     "watchlist_restrict": watchlist_restrict,
     "registry_latest": registry_latest,
     "rejected_documents": rejected_documents,
+    "detect_changes": detect_changes,
     "artifact_lookup": artifact_lookup,
     "artifact_urls": artifact_urls,
     "recent_findings": recent_findings,

@@ -17,43 +17,22 @@ def longest_encoded_run(text: Column) -> Column:
     return F.coalesce(F.array_max(ranked)["run"], F.lit(""))
 
 
-# up to here, counting each different character by its own scan is cheaper than sorting
-_FEW_CHARACTERS = 256
-
-
 def shannon_entropy(text: Column) -> Column:
     """Bits per character: character counts over the byte length of the text.
 
     With n characters of counts k over B bytes, H = (n*log2(B) - sum(k*log2(k))) / B.
     """
-    different = F.array_distinct(F.split(text, ""))
-    weighted = let(
-        different,
-        lambda chars: F.when(F.size(chars) <= _FEW_CHARACTERS, _weighted_by_scans(text, chars))
-        .otherwise(_weighted_by_sorting(text)),
-    )
     size = F.octet_length(text).cast("double")
     characters = F.char_length(text)
-    return F.when(size == 0, 0.0).otherwise((characters * F.log2(size) - weighted) / size)
+    return F.when(size == 0, 0.0).otherwise((characters * F.log2(size) - _weighted(text)) / size)
 
 
 def _k_log_k(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count)).otherwise(0.0)
 
 
-def _weighted_by_scans(text: Column, chars: Column) -> Column:
-    """sum(k*log2(k)): the count of a character is what the text loses without it."""
-    size = F.octet_length(text)
-
-    def count(char: Column) -> Column:
-        lost = size - F.octet_length(F.replace(text, char, F.lit("")))
-        return (lost / F.octet_length(char)).cast("double")
-
-    return F.aggregate(F.transform(chars, count), F.lit(0.0), lambda total, k: total + _k_log_k(k))
-
-
-def _weighted_by_sorting(text: Column) -> Column:
-    """The same sum as one fold over the sorted characters, whatever their variety."""
+def _weighted(text: Column) -> Column:
+    """sum(k*log2(k)) as one fold over the sorted characters."""
     start = F.struct(
         F.lit("").alias("char"), F.lit(0.0).alias("count"), F.lit(0.0).alias("weighted")
     )

@@ -120,7 +120,6 @@ MAVEN_BASE = "https://repo1.maven.org/maven2"
 NUGET_BASE = "https://api.nuget.org/v3-flatcontainer"
 
 # --- limits ----------------------------------------------------------------
-ARCHIVE_CAP_BYTES = 40 * 1024 * 1024
 LIST_SIZE = 1000
 RECENT_FINDINGS = (50, 200)   # default, largest accepted
 RECENT_ACTIVITY = (30, 100)

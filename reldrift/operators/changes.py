@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import DAY_SECONDS, time_bucket, with_previous
+from .ordering import with_previous
 
 KEY = ("ecosystem", "name")
 
 
-def with_last_seen(polls: DataFrame, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def with_last_seen(polls: DataFrame) -> DataFrame:
     """Each poll with the version of the poll before it (NULL at first sight)."""
     return with_previous(
         polls,
@@ -16,13 +16,12 @@ def with_last_seen(polls: DataFrame, bucket_seconds: int = DAY_SECONDS) -> DataF
         order_by=("polled_at", "event_id"),
         value="latest",
         out="prev_version",
-        bucket=time_bucket(F.col("polled_at"), bucket_seconds),
     )
 
 
-def version_changes(polls: DataFrame, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def version_changes(polls: DataFrame) -> DataFrame:
     """Polls that saw another version than the poll before: any difference, not only newer."""
-    seen = with_last_seen(polls, bucket_seconds)
+    seen = with_last_seen(polls)
     return seen.where(F.col("latest") != F.col("prev_version")).select(
         *KEY, F.col("latest").alias("version"), "prev_version", "polled_at", "event_id"
     )
@@ -37,13 +36,13 @@ def first_seen(polls: DataFrame) -> DataFrame:
     )
 
 
-def watched_versions(polls: DataFrame, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
+def watched_versions(polls: DataFrame) -> DataFrame:
     """Last version of each package and the time it was last set.
 
     The time moves only when the version changes, so it is the newest poll among the
     first sights and the changes.
     """
-    moved = with_last_seen(polls, bucket_seconds).where(
+    moved = with_last_seen(polls).where(
         F.col("prev_version").isNull() | (F.col("latest") != F.col("prev_version"))
     )
     newest = F.max(F.struct("polled_at", "event_id", "latest")).alias("m")
@@ -67,6 +66,16 @@ def changed_only(latest_with_last_seen: DataFrame) -> DataFrame:
     )
 
 
+def newest_documents(docs: DataFrame) -> DataFrame:
+    """One landed document per package: the one that landed last, or the greatest body of a tie.
+
+    Documents without ``landed_at`` count as landed first.
+    """
+    landed = F.col("landed_at") if "landed_at" in docs.columns else F.lit(None).cast("timestamp")
+    newest = F.max(F.struct(landed.alias("landed_at"), F.col("body"))).alias("_d")
+    return docs.groupBy(*KEY).agg(newest).select(*KEY, "_d.body")
+
+
 def upsert_watched(watched: DataFrame, latest: DataFrame, now) -> DataFrame:
     """The last-seen table after a poll: unchanged packages keep their row and time.
 

@@ -7,7 +7,7 @@ from ..functions import patterns as P
 from ..functions.severity import severity
 from ..functions.urls import is_payload_url, is_raw_ip_url
 from ..schemas import PAIR, RELEASE
-from .ordering import sequence_bucket, with_previous
+from .ordering import with_previous
 
 
 def release_pairs(releases: DataFrame, order: str = "release_seq") -> DataFrame:
@@ -18,7 +18,6 @@ def release_pairs(releases: DataFrame, order: str = "release_seq") -> DataFrame:
         order_by=(order,),
         value="version",
         out="prev_version",
-        bucket=sequence_bucket(F.col(order)),
     )
     return with_prev.where(F.col("prev_version").isNotNull()).select(*PAIR, order)
 
@@ -107,33 +106,11 @@ def score_releases(new: DataFrame) -> DataFrame:
     )
 
 
-# a release with more new tokens than this keeps its evidence in long form only
-NESTED_ITEMS = 100_000
-
-
-def find(new: DataFrame, nested_items: int = NESTED_ITEMS) -> DataFrame:
-    """New tokens, as a written table -> one scored finding per release pair.
-
-    The evidence of a release is nested in its row up to ``nested_items`` tokens.  A
-    larger release has the same severity, signals and weights with empty evidence
-    lists; its evidence is whole in :func:`evidence`, which gathers nothing.
-    """
-    large = (
-        new.groupBy(*PAIR).agg(F.count("*").alias("_items")).where(F.col("_items") > nested_items).select(*PAIR)
-    )
-    if large.isEmpty():
-        return collect_findings(new)
-    nested = collect_findings(new.join(large, list(PAIR), "left_anti"))
-    unnested = _findings(
-        _weighed(new.join(large, list(PAIR), "left_semi")).groupBy(*PAIR).agg(*_kind_weights()),
-        {kind: F.array().cast("array<string>") for kind in P.SIGNALS},
-    )
-    return nested.unionByName(unnested)
-
-
-def collect_findings(new: DataFrame) -> DataFrame:
-    """New tokens of releases of bounded size -> findings with all evidence nested.
+def find(new: DataFrame) -> DataFrame:
+    """New tokens -> one scored finding per release pair, with all its evidence nested.
 
+    A row holds the evidence of its release; :func:`score_releases` and :func:`evidence` give the
+    same result as narrow and as long rows and gather nothing.
     One shuffle on the pair.  Risky words are a closed list, so their first places are
     minima and no list is gathered for them.
     """
@@ -188,10 +165,3 @@ def signals(findings: DataFrame) -> DataFrame:
     return findings.select(*PAIR, F.explode("signals").alias("s")).select(
         *PAIR, "s.kind", "s.description", "s.evidence", "s.weight"
     )
-
-
-def score_signals(signal_rows: DataFrame) -> DataFrame:
-    """Severity of signal rows: (pair, weight) -> (pair, total_weight, severity)."""
-    return signal_rows.groupBy(*PAIR).agg(
-        F.sum("weight").alias("total_weight"), severity(F.sum("weight")).alias("severity")
-    )

@@ -5,51 +5,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_SECONDS = 24 * 60 * 60
-SEQUENCE_WIDTH = 1 << 20
+from ..session import materialize
 
 
-def time_bucket(ts: Column, seconds: int = DAY_SECONDS) -> Column:
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds)
-
-
-def sequence_bucket(seq: Column, width: int = SEQUENCE_WIDTH) -> Column:
-    return F.floor(seq / width)
-
-
-def with_previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    value: str,
-    out: str,
-    bucket: Column,
-) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str, out: str) -> DataFrame:
     """``lag(value)`` per key, without sending a whole key to one task.
 
-    ``bucket`` must not decrease along ``order_by`` within a key.  Rows are compared
-    with their predecessor inside (key, bucket); the first row of a bucket takes the
-    last value of the key's preceding non-empty bucket, found on one row per bucket.
-    Rows without a key, a place or a value stand for no release and are left out.
+    Rows are dealt out by ranges of (key, order), whose bounds follow the data, and written
+    with the number of their range.  A row is compared with its predecessor inside (key,
+    range); the first row of a range takes the last value of the key's preceding range,
+    found on one row per key and range.  Rows without a key, a place or a value stand for no
+    release and are left out; :func:`without_place` lists them.
     """
-    # the same condition on both branches lets them share one shuffle
-    bucketed = df.withColumn("_bucket", bucket)
-    for column in (*keys, value, "_bucket"):
-        bucketed = bucketed.where(F.col(column).isNotNull())
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_by)
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-
-    rows = bucketed.withColumn("_inside", F.lag(value).over(inside))
-    # both branches read the same shuffle of the rows by (key, bucket)
-    last_of_bucket = bucketed.withColumn("_next", F.lead(value).over(inside)).where(
-        F.col("_next").isNull()
-    )
-    carried = (
-        last_of_bucket.select(*keys, "_bucket", F.lag(value).over(across).alias("_carried"))
-        .where(F.col("_carried").isNotNull())
-    )
+    ranged = df.where(_placed(keys, order_by, value)).repartitionByRange(*keys, *order_by)
+    ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranged")
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order_by)
+    across = Window.partitionBy(*keys).orderBy("_range")
+    last = ranged.groupBy(*keys, "_range").agg(F.max_by(value, F.struct(*order_by)).alias("_last"))
+    carried = last.select(*keys, "_range", F.lag("_last").over(across).alias("_carried"))
     return (
-        rows.join(carried, [*keys, "_bucket"], "left")
+        ranged.withColumn("_inside", F.lag(value).over(inside))
+        .join(carried.where(F.col("_carried").isNotNull()), [*keys, "_range"], "left")
         .withColumn(out, F.coalesce("_inside", "_carried"))
-        .drop("_bucket", "_inside", "_carried")
+        .drop("_range", "_inside", "_carried")
     )
+
+
+def without_place(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str) -> DataFrame:
+    """The rows :func:`with_previous` leaves out."""
+    return df.where(~_placed(keys, order_by, value))
+
+
+def _placed(keys: Sequence[str], order_by: Sequence[str], value: str) -> Column:
+    known = F.lit(True)
+    for column in (*keys, order_by[0], value):
+        known = known & F.col(column).isNotNull()
+    return known

@@ -63,14 +63,40 @@ def _with_outcome(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.explode(F.array(outcome)).alias("_o"))
 
 
+def is_module_path(path: Column) -> Column:
+    """Whether a Go module path is well formed, by the documented rules for such paths.
+
+    The first element needs a dot and holds only lower-case letters, digits, dots and
+    dashes, with no leading dash.  No element is empty, begins or ends with a dot, is a
+    reserved file name or ends in a tilde and digits.  A last element v and a number must be
+    v2 or later without a leading zero, and a path on gopkg.in ends in a dot and a version.
+    """
+    shape = path.rlike(r"\A(?!-)(?=[^/]*\.)[a-z0-9.-]+(/[-._~A-Za-z0-9]+)*\z")
+    dots = path.rlike(r"(\A|/)\.|\.(/|\z)")
+    reserved = path.rlike(r"(?i)(\A|/)(con|com[1-9]|nul|prn|aux|lpt[1-9])(\.[^/]*)?(/|\z)")
+    tilde = path.rlike(r"(\A|/)[^/.]*~[0-9]+(\.[^/]*)?(/|\z)")
+    hosted = path.startswith("gopkg.in/")
+    major = path.rlike(r"/v(0[0-9.]*|1|[0-9]*\.[0-9.]*)\z")
+    version = F.when(hosted, path.rlike(r"\.v(0|[1-9][0-9]*)(-unstable)?\z")).otherwise(~major)
+    return shape & ~dots & ~reserved & ~tilde & version
+
+
+def _bad_coordinate() -> Column:
+    name = F.col("name")
+    return (
+        F.when(F.col("ecosystem") == "maven", ~name.contains(":"))
+        .when(F.col("ecosystem") == "go", ~is_module_path(name))
+        .otherwise(False)
+    )
+
+
 def registry_latest(docs: DataFrame) -> DataFrame:
     """Add ``latest``; broken, empty and malformed documents are dropped.
 
-    A package coordinate of the group:artifact kind needs its colon.
+    A package coordinate of the group:artifact kind needs its colon, a module path its form.
     """
-    usable = (F.col("ecosystem") != "maven") | F.col("name").contains(":")
     return (
-        _with_outcome(docs.where(usable))
+        _with_outcome(docs.where(~_bad_coordinate()))
         .where(F.col("_o.latest") != "")
         .withColumn("latest", F.col("_o.latest"))
         .drop("_o")
@@ -80,7 +106,7 @@ def registry_latest(docs: DataFrame) -> DataFrame:
 def rejected_documents(docs: DataFrame) -> DataFrame:
     """Documents without a usable latest version, with the reason: nothing vanishes silently."""
     reason = (
-        F.when((F.col("ecosystem") == "maven") & ~F.col("name").contains(":"), "bad coordinate")
+        F.when(_bad_coordinate(), "bad coordinate")
         .when(F.col("_o.corrupt"), "malformed document")
         .when(F.coalesce(F.col("_o.latest"), F.lit("")) == "", "no latest version")
     )

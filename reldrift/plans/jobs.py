@@ -10,7 +10,7 @@ from .. import schemas as S
 from ..functions import patterns as P
 from ..functions.comments import strip_comments
 from ..operators import changes, diffing, ranking, registry, tokens
-from ..session import materialize
+from ..session import materialize, work_folder
 from ..sources import allowlists, archives, tables
 
 
@@ -19,10 +19,12 @@ def detect_changes(
 ) -> tuple[DataFrame, DataFrame]:
     """One poll cycle: (release pairs, last-seen table after it).
 
-    ``docs`` holds one landed registry document per package.
+    ``docs`` holds landed registry documents; of several of one package the last one landed
+    counts.  ``watched`` has one row per package.
     """
     if allowlist is not None:
         docs = changes.restrict_to_watchlist(docs, allowlist)
+    docs = changes.newest_documents(docs)
     # documents are wide and few of them changed: look up on names and versions alone,
     # then go back to the documents of the changed packages for their addresses
     latest = materialize(registry.registry_latest(docs).select(*changes.KEY, "latest"), "latest")
@@ -32,13 +34,14 @@ def detect_changes(
 
 
 def unpacked_tokens(packed: DataFrame) -> DataFrame:
-    """(source_url, content) archives -> evidence candidates per archive.
+    """(source_url, source_path or content) archives -> evidence candidates per archive.
 
     Long rows (file texts) never leave the task that unpacked them.  A damaged archive
     leaves one row with a NULL token to tell of it.
     """
-    files = archives.unpack(packed.select("source_url", "content"))
-    text = files.withColumn("content", strip_comments(F.col("path"), F.col("content"))).drop("path")
+    given = "content" if "content" in packed.columns else "source_path"
+    files = archives.unpack(packed.select("source_url", given))
+    text = files.withColumn("content", strip_comments(F.col("path"), F.col("content"))).drop("path", "source_path")
     found = F.array(
         *[
             F.struct(F.lit(kind).alias("kind"), tokens.tokens_in(F.col("content"), kind).alias("found"))
@@ -114,15 +117,18 @@ def run_cycle(
 ) -> None:
     """One whole cycle: documents and archives in, state tables out.
 
-    The last-seen snapshot is written last, so a cycle that dies half-way is
-    repeated in full and no change is lost.
+    ``packed`` names landed archives: the address documents use (source_url) and the file
+    (source_path); only the archives of the cycle's pairs are opened.  The last-seen snapshot
+    is written last, so a cycle that dies half-way is repeated in full and no change is
+    lost.  Intermediate tables stand below ``<root>/_work`` and go when the cycle ends.
     """
-    watched = tables.read_watched(spark, root, previous_cycle)
-    pairs, watched_after = detect_changes(docs, watched, now, allowlist)
-    pairs = materialize(pairs, "pairs")
-    archive_tokens = materialize(unpacked_tokens(packed), "archive-tokens")
-    publish(diff_pairs(pairs, archive_tokens), root, cycle, now)
-    tables.write_watched(watched_after, root, cycle)
+    with work_folder(spark, f"{root}/_work/cycle={cycle}"):
+        watched = tables.read_watched(spark, root, previous_cycle)
+        pairs, watched_after = detect_changes(docs, watched, now, allowlist)
+        pairs = materialize(pairs, "pairs")
+        archive_tokens = materialize(unpacked_tokens(archives.wanted_archives(packed, pairs)), "archive-tokens")
+        publish(diff_pairs(pairs, archive_tokens), root, cycle, now)
+        tables.write_watched(watched_after, root, cycle)
 
 
 def build_lists(packages: DataFrame, folder: str, limit: int = P.LIST_SIZE) -> None:

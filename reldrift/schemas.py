@@ -12,14 +12,6 @@ def _struct(*fields) -> T.StructType:
 RELEASE = ("ecosystem", "name", "version")
 PAIR = ("ecosystem", "name", "version", "prev_version")
 
-RELEASE_FILES = _struct(
-    ("ecosystem", _S), ("name", _S), ("version", _S),
-    ("file_ord", _I), ("path", _S), ("content", _S),
-)
-TOKENS = _struct(
-    ("ecosystem", _S), ("name", _S), ("version", _S),
-    ("kind", _S), ("file_ord", _I), ("pos", _I), ("token", _S),
-)
 SIGNAL = _struct(
     ("kind", _S), ("description", _S), ("evidence", T.ArrayType(_S)), ("weight", _I),
 )
@@ -28,18 +20,9 @@ FINDINGS = _struct(
     ("severity", _I), ("signals", T.ArrayType(SIGNAL)), ("analyzed_at", _TS),
 )
 WATCHED = _struct(("ecosystem", _S), ("name", _S), ("last_version", _S), ("updated_at", _TS))
-RELEASE_PAIRS = _struct(
-    ("ecosystem", _S), ("name", _S), ("version", _S), ("source_url", _S),
-    ("prev_version", _S), ("prev_source_url", _S),
-)
-POLLS = _struct(
-    ("ecosystem", _S), ("name", _S), ("latest", _S), ("polled_at", _TS), ("event_id", _L),
-)
 SCAN_LOG = _struct(
     ("ecosystem", _S), ("name", _S), ("version", _S), ("prev_version", _S), ("analyzed_at", _TS),
 )
-REGISTRY_DOCS = _struct(("ecosystem", _S), ("name", _S), ("body", _S))
-
 # registry documents, one field set covering the six shapes (field names do not clash)
 _CORRUPT = ("_corrupt", _S)
 NPM_DOC = _struct(

@@ -1,11 +1,13 @@
 """Session settings and the shared folder for written intermediate tables."""
 
-import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
+_registered: set[str] = set()
+_work = threading.local()  # a stream's batches run in threads of their own
 
 
 def build_session(app_name: str = "reldrift", master: str | None = None, **conf) -> SparkSession:
@@ -25,20 +27,39 @@ def build_session(app_name: str = "reldrift", master: str | None = None, **conf)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder for written intermediate tables, which every executor can reach.
 
-    Only a local session may go without the setting; it gets a fresh temporary
-    folder, because there the driver and the tasks share one machine.
+    Inside :func:`work_folder` it is that folder.  Else it is a folder of this application
+    below ``spark.checkpoint.dir``, or below the warehouse where that is unset; it is
+    removed when the application's JVM ends.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="reldrift-")
-    return _local_folders[context.applicationId]
+    if getattr(_work, "folder", None):
+        return _work.folder
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{root.rstrip('/')}/work-{spark.sparkContext.applicationId}"
+    if folder not in _registered:
+        path, files = _hadoop_path(spark, folder)
+        files.deleteOnExit(path)
+        _registered.add(folder)
+    return folder
+
+
+@contextmanager
+def work_folder(spark: SparkSession, folder: str):
+    """Let :func:`materialize` write below ``folder``, emptied before and removed afterwards."""
+    path, files = _hadoop_path(spark, folder)
+    files.delete(path, True)
+    before, _work.folder = getattr(_work, "folder", None), folder.rstrip("/")
+    try:
+        yield
+    finally:
+        _work.folder = before
+        files.delete(path, True)
+
+
+def _hadoop_path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def new_path(spark: SparkSession, label: str) -> str:

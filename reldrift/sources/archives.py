@@ -1,7 +1,10 @@
 """Release archives: landed tar.gz and zip files as rows of scannable files.
 
-Unpacking is the one step without a Spark expression, so it runs as Arrow batches:
-one archive in, its scannable files out, with a bound on what a task holds at a time.
+Unpacking is the one step without a Spark expression, so it runs as batches of archives in
+tasks.  A task is given paths, opens the files itself and streams them, so no archive passes
+through Spark as a value and files nobody asks for are not opened.  Archives are read twice:
+damage anywhere spoils the whole archive, so the first reading looks for it and the second
+gives the files out, one member at a time.  Archives may also come as values (``content``).
 """
 
 import gzip
@@ -17,7 +20,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions.paths import EXCLUDED, SOURCE_EXTENSIONS
 
 # tasks carry the unpacking code with them, so executors need no installed package
@@ -28,10 +30,9 @@ OK, EMPTY, ERROR = "ok", "empty", "error"
 _BROKEN = (tarfile.TarError, zipfile.BadZipFile, zlib.error, EOFError, OSError,
            NotImplementedError, RuntimeError, ValueError)
 # plain values: task code must not refer to other modules of the package
-_CAP = P.ARCHIVE_CAP_BYTES
 _ENDINGS = tuple("." + e for e in SOURCE_EXTENSIONS)
 _EXCLUDED = EXCLUDED.replace(r"\z", r"\Z")
-_BLOCK, _HELD_BYTES = 1 << 20, 16 << 20
+_BLOCK = 1 << 20
 _BATCH_ROWS, _BATCH_CHARS = 1000, 8 << 20
 
 
@@ -52,113 +53,93 @@ class _StrictHeader(tarfile.TarInfo):
             raise tarfile.ReadError(str(e)) from e
 
 
-def _tar_members(content: bytes):
-    with tarfile.open(
-        fileobj=gzip.GzipFile(fileobj=io.BytesIO(content)), mode="r|", tarinfo=_StrictHeader
-    ) as archive:
+def _tar_members(source):
+    with tarfile.open(fileobj=gzip.GzipFile(fileobj=source), mode="r|", tarinfo=_StrictHeader) as archive:
         regular = (m for m in archive if m.type in (tarfile.REGTYPE, tarfile.AREGTYPE))
         for ordinal, member in enumerate(regular):
             if _wanted(member.name):
                 yield ordinal, member.name, archive.extractfile(member)
 
 
-def _zip_members(content: bytes):
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+def _zip_members(source):
+    with zipfile.ZipFile(source) as archive:
         regular = (m for m in archive.infolist() if not m.is_dir())
         for ordinal, member in enumerate(regular):
             if _wanted(member.filename):
                 with archive.open(member) as data:
-                    yield ordinal, member.filename, _Capped(data)
+                    yield ordinal, member.filename, data
 
 
-class _Capped:
-    """A zip member is cut at the cap."""
-
-    def __init__(self, data):
-        self._data, self._left = data, _CAP
-
-    def read(self, size: int = -1) -> bytes:
-        size = self._left if size < 0 else min(size, self._left)
-        block = self._data.read(size)
-        self._left -= len(block)
-        return block
-
-
-def _reader(content: bytes):
+def _reader(source):
     """The member reader for the archive's magic bytes; None for an unusable archive."""
-    if content[:2] == b"\x1f\x8b":
+    head = source.read(10)
+    source.seek(0)
+    if head[:2] == b"\x1f\x8b":
         # the format is settled by the header; damage behind it is an error
-        return _tar_members if len(content) >= 10 and content[2] == 8 else None
-    if content[:2] == b"PK":
+        return _tar_members if len(head) >= 10 and head[2] == 8 else None
+    if head[:2] == b"PK":
         try:
-            zipfile.ZipFile(io.BytesIO(content)).close()
+            zipfile.ZipFile(source).close()
         except _BROKEN:
             return None
+        source.seek(0)
         return _zip_members
     return None
 
 
-def _read_all(members, content: bytes):
-    """(sound, files): every member read to its end; files is None if they are too many to hold."""
-    files, size = [], 0
+def _sound(members, source) -> bool:
+    """Whether every member can be read to its end."""
     try:
-        for ordinal, name, data in members(content):
-            blocks = []
-            while block := data.read(_BLOCK):
-                size += len(block)
-                if size > _HELD_BYTES:
-                    files = None
-                    blocks.clear()
-                else:
-                    blocks.append(block)
-            if files is not None:
-                files.append((ordinal, name, b"".join(blocks)))
+        for _, _, data in members(source):
+            while data.read(_BLOCK):
+                pass
     except _BROKEN:
-        return False, None
-    return True, files
+        return False
+    return True
 
 
-def _files(content: bytes) -> Iterator[tuple]:
-    """(status, file_ord, path, content) rows of one archive; one row without a file if none.
+def _files(source) -> Iterator[tuple]:
+    """(status, file_ord, path, content) rows of an opened archive; one row without a file if none.
 
-    Damage anywhere spoils the whole archive, so nothing is given out before the end
-    is reached; a large archive is then read a second time.
+    A member is one value: one that no value can hold fails the job, and is never cut.
     """
-    members = None if content is None else _reader(content)
-    if content is None:
-        yield ERROR, None, None, None
-        return
+    members = _reader(source)
     if members is None:
         yield EMPTY, None, None, None
         return
-    sound, files = _read_all(members, content)
-    if not sound:
+    if not _sound(members, source):
         yield ERROR, None, None, None
         return
-    if files is None:
-        files = ((ordinal, name, data.read()) for ordinal, name, data in members(content))
+    source.seek(0)
     found = False
-    for ordinal, name, data in files:
+    for ordinal, name, data in members(source):
         found = True
-        yield OK, ordinal, name, data.decode("utf-8", errors="replace")
+        yield OK, ordinal, name, data.read().decode("utf-8", errors="replace")
     if not found:
         yield OK, None, None, None
 
 
+def _open(path: str):
+    """A landed file by its address, through the file system its scheme names."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return system.open_input_file(place)
+
+
 def unpack(archives: DataFrame) -> DataFrame:
-    """(keys..., content) -> (keys..., archive_status, file_ord, path, content).
+    """(keys..., content or source_path) -> (keys..., archive_status, file_ord, path, content).
 
-    Every archive gives at least one row: ``file_ord`` is NULL where it holds no
-    scannable file.  Status is 'ok', 'empty' (unknown format, or not the format its
-    first bytes announce: an empty text) or 'error' (damaged or too large: no result at all).
-    Only the first 40 MiB of an archive are looked at.
+    With ``content`` the archive is the value, else the file at ``source_path`` is opened by
+    the task.  Every archive gives at least one row: ``file_ord`` is NULL where it holds no
+    scannable file.  Status is 'ok', 'empty' (unknown format, or not the format its first
+    bytes announce: an empty text) or 'error' (damaged, or no value: no result at all).
     """
+    by_value = "content" in archives.columns
     keys = [c for c in archives.columns if c != "content"]
-    capped = archives.select(
-        *keys, F.expr(f"substring(content, 1, {P.ARCHIVE_CAP_BYTES})").alias("content")
-    )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in capped.select(*keys).schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in archives.select(*keys).schema)
     schema += ", archive_status string, file_ord int, path string, content string"
+    where = "content" if by_value else "source_path"
 
     def unpack_batches(batches):
         import pandas as pd
@@ -171,41 +152,38 @@ def unpack(archives: DataFrame) -> DataFrame:
 
         rows, size = [], 0
         for batch in batches:
-            for *key, content in zip(*[batch[k] for k in keys], batch["content"]):
-                for row in _files(None if content is None else bytes(content)):
-                    rows.append((*key, *row))
-                    size += len(row[-1] or "")
-                    if len(rows) >= _BATCH_ROWS or size >= _BATCH_CHARS:
-                        yield frame(rows)
-                        rows, size = [], 0
+            for *key, archive in zip(*[batch[k] for k in keys], batch[where]):
+                if archive is None:
+                    rows.append((*key, ERROR, None, None, None))
+                    continue
+                with io.BytesIO(bytes(archive)) if by_value else _open(archive) as source:
+                    for row in _files(source):
+                        rows.append((*key, *row))
+                        size += len(row[-1] or "")
+                        if len(rows) >= _BATCH_ROWS or size >= _BATCH_CHARS:
+                            yield frame(rows)
+                            rows, size = [], 0
         if rows:
             yield frame(rows)
 
-    return capped.mapInPandas(unpack_batches, schema)
+    return archives.mapInPandas(unpack_batches, schema)
 
 
 def scan_archives(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Archives below a folder: (source_path, length, content).
-
-    A file too large for one value is listed with NULL content, which unpacks as
-    damaged; its bytes are not read.  Empty files are passed over.
-    """
+    """Archives below a folder: (source_path, length).  No content is read; empty files are passed over."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select(F.col("path").alias("source_path"), "length", "content")
     )
-    largest = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
-    readable = files.where(F.col("length") <= largest)
-    too_large = files.where(F.col("length") > largest)
-    return readable.unionByName(too_large.withColumn("content", F.lit(None).cast("binary")))
+    return files.where(F.col("length") > 0).select(F.col("path").alias("source_path"), "length")
 
 
-def archive_status(unpacked: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per archive with its status."""
-    return unpacked.groupBy(*keys).agg(F.first("archive_status").alias("archive_status"))
+def wanted_archives(archives: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The archives that a side of ``pairs`` names by its address, each once."""
+    named = pairs.select(F.explode(F.array("source_url", "prev_source_url")).alias("source_url")).distinct()
+    return archives.join(named, "source_url", "left_semi")
 
 
 def archive_files(unpacked: DataFrame) -> DataFrame:

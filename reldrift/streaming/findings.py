@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import jobs
-from ..session import materialize
+from ..session import materialize, work_folder
+from ..sources.archives import wanted_archives
 
 
 def stream_findings(
@@ -20,15 +21,17 @@ def stream_findings(
 ) -> StreamingQuery:
     """Diff each micro-batch of release pairs and store what it finds.
 
-    ``archive_tokens`` gives the token table for a batch of pairs.  The batch id names
+    ``archive_tokens`` gives a token table for a batch of pairs, of which only the rows of
+    the batch's addresses are used.  The batch id names
     the folder a batch writes, so a repeated batch replaces its own rows: every finding
     is stored exactly once.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        kept = materialize(batch, "pairs")
-        diff = jobs.diff_pairs(kept, archive_tokens(kept))
-        jobs.publish(diff, root, f"batch-{batch_id}", clock())
+        with work_folder(batch.sparkSession, f"{root}/_work/batch={batch_id}"):
+            kept = materialize(batch, "pairs")
+            found = wanted_archives(archive_tokens(kept), kept)
+            jobs.publish(jobs.diff_pairs(kept, found), root, f"batch-{batch_id}", clock())
 
     return (
         pairs.writeStream.foreachBatch(store)

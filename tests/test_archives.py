@@ -66,7 +66,7 @@ def landed(spark, tmp_path_factory):
         (folder / name).write_bytes(data)
     scanned = archives.scan_archives(spark, str(folder))
     name = F.regexp_extract("source_path", r"([^/]*)\z", 1)
-    return archives.unpack(scanned.select(name.alias("name"), "content")).collect()
+    return archives.unpack(scanned.select(name.alias("name"), "source_path")).collect()
 
 
 def test_files_in_archive_order(landed):
@@ -89,30 +89,25 @@ def test_damaged_and_empty_archives_give_no_files(landed):
     assert with_files == {"ok.tgz", "ok.zip", "unread.zip"}
 
 
-def test_zip_member_cap(monkeypatch):
-    monkeypatch.setattr(archives, "_CAP", 10)
-    rows = list(archives._files(zipped([("a.js", b"x" * 25)])))
-    assert rows == [("ok", 0, "a.js", "x" * 10)]
-
-
-def test_only_the_first_bytes_of_an_archive_are_read(spark, monkeypatch):
-    monkeypatch.setattr(archives.P, "ARCHIVE_CAP_BYTES", 60)
+def test_large_archives_and_members_are_read_whole(spark):
+    """Sizes beyond any former bound: nothing is cut, and damage far behind is seen."""
+    data = b"let a = 1\n" * 4_500_000
+    row = lambda name, blob: (name, bytearray(blob))
+    whole = tar_gz([("a.js", data)])
     df = spark.createDataFrame(
-        [("t", bytearray(tar_gz([("a.js", NOISE)]))), ("z", bytearray(zipped([("a.js", NOISE)])))], "name string, content binary"
-    )
-    assert {r.name: r.archive_status for r in archives.unpack(df).collect()} == {"t": "error", "z": "empty"}
-
-
-def test_a_file_too_large_to_read_is_an_error_and_not_a_failure(spark, tmp_path):
-    (tmp_path / "large.tgz").write_bytes(tar_gz([("a.js", NOISE)]) + b"\0" * 500)
-    (tmp_path / "small.tgz").write_bytes(tar_gz([("a.js", b"x")]))
-    setting = "spark.sql.sources.binaryFile.maxLength"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "400")
-    try:
-        scanned = archives.scan_archives(spark, str(tmp_path))
-        name = F.regexp_extract("source_path", r"([^/]*)\z", 1)
-        rows = archives.unpack(scanned.select(name.alias("name"), "content")).collect()
-    finally:
-        spark.conf.set(setting, before)
-    assert {r.name: r.archive_status for r in rows} == {"large.tgz": "error", "small.tgz": "ok"}
+        [row("t", whole), row("z", zipped([("a.js", data)])), row("torn", whole[: len(whole) * 9 // 10])], "name string, content binary"
+    ).repartition(3)
+    rows = archives.unpack(df).select("name", "archive_status", F.length("content").alias("n")).collect()
+    assert sorted(map(tuple, rows), key=str) == [("t", "ok", len(data)), ("torn", "error", None), ("z", "ok", len(data))]
+
+
+def test_only_the_archives_of_the_pairs_are_opened(spark, tmp_path):
+    (tmp_path / "one.tgz").write_bytes(tar_gz([("a.js", b"x")]))
+    (tmp_path / "two.tgz").write_bytes(tar_gz([("a.js", b"y")]))
+    listed = archives.scan_archives(spark, str(tmp_path)).withColumn("source_url", F.regexp_extract("source_path", r"([^/]*)\z", 1))
+    listed = spark.createDataFrame(listed.collect(), listed.schema)
+    pairs = spark.createDataFrame([("one.tgz", "")], "source_url string, prev_source_url string")
+    wanted = archives.wanted_archives(listed, pairs).select("source_url", "source_path")
+    (tmp_path / "two.tgz").unlink()  # opening it would fail
+    (row,) = archives.unpack(wanted).collect()
+    assert (row.source_url, row.archive_status, row.content) == ("one.tgz", "ok", "x")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reldrift.operators import changes
-from reldrift.operators.ordering import sequence_bucket, with_previous
+from reldrift.operators.ordering import with_previous, without_place
 
 START = datetime(2024, 1, 1)
 POLLS = "ecosystem string, name string, latest string, polled_at timestamp_ntz, event_id bigint"
@@ -18,17 +18,40 @@ def polls(spark, rows):
     )
 
 
-@pytest.mark.parametrize("width", [1, 7, 100, 10_000])
-def test_previous_value_equals_lag_with_a_hot_key(spark, width):
-    rng = random.Random(width)
+@pytest.mark.parametrize("ranges", ["1", "7", "40"])
+def test_previous_value_equals_lag_with_a_hot_key(spark, ranges):
+    rng = random.Random(ranges)
     rows = []
     for seq in rng.sample(range(5000), 1500):
         key = "hot" if rng.random() < 0.4 else f"k{rng.randint(0, 60)}"
         rows.append((key, seq, rng.choice("abc")))
     df = spark.createDataFrame(rows, "k string, seq bigint, v string")
-    mine = with_previous(df, ["k"], ["seq"], "v", "prev", sequence_bucket(F.col("seq"), width))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mine = with_previous(df, ["k"], ["seq"], "v", "prev").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     plain = df.withColumn("prev", F.lag("v").over(Window.partitionBy("k").orderBy("seq")))
-    assert sorted(mine.select("k", "seq", "v", "prev").collect()) == sorted(plain.collect())
+    assert sorted((r.k, r.seq, r.v, r.prev or "") for r in mine) == sorted((r.k, r.seq, r.v, r.prev or "") for r in plain.collect())
+
+
+def test_one_package_of_one_day_is_dealt_out_evenly(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).otherwise("hot").alias("k"), F.col("id").alias("seq"), F.lit("v").alias("v"))
+        ranged = df.repartitionByRange(8, "k", "seq").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in ranged) <= 2 * 20_000 / len(ranged)
+
+
+def test_rows_without_key_place_or_value_are_listed(spark):
+    df = spark.createDataFrame([("a", 1, "x"), (None, 2, "x"), ("a", None, "x"), ("a", 3, None)], "k string, seq bigint, v string")
+    assert with_previous(df, ["k"], ["seq"], "v", "prev").count() == 1
+    assert without_place(df, ["k"], ["seq"], "v").count() == 3
 
 
 def test_any_difference_is_a_change_and_first_sight_is_none(spark):

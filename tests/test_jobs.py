@@ -192,3 +192,18 @@ def test_stream_of_pairs_stores_each_finding_once(spark, packed, tmp_path):
         stream_findings(stream, lambda batch: found, root, str(tmp_path / "checkpoint"), lambda: T1).awaitTermination()
     assert sorted(r.name for r in tables.read_findings(spark, root).collect()) == ["bad", "fresh"]
     assert sorted(r.name for r in tables.read_scan_log(spark, root).collect()) == ["bad", "fresh"]
+
+
+def test_of_several_documents_of_a_package_the_newest_counts(spark):
+    watched = spark.createDataFrame([("npm", "p", "1", T1)], "ecosystem string, name string, last_version string, updated_at timestamp")
+    rows = [("npm", "p", T1, npm_doc("p", "2", ["1", "2"])), ("npm", "p", T2, npm_doc("p", "3", ["1", "3"])), ("npm", "p", None, npm_doc("p", "9", ["9"]))]
+    landed = spark.createDataFrame(rows, "ecosystem string, name string, landed_at timestamp, body string")
+    pairs, after = jobs.detect_changes(landed, watched, T2)
+    assert [tuple(r) for r in pairs.collect()] == [("npm", "p", "3", "mem://p-3", "1", "mem://p-1")]
+    assert [(r.name, r.last_version) for r in after.collect()] == [("p", "3")]
+
+
+def test_no_work_folder_is_left_after_a_cycle(root):
+    from pathlib import Path
+
+    assert not list((Path(root) / "_work").glob("*"))

@@ -45,10 +45,9 @@ def test_path_filter_runs_before_the_text_is_touched(spark):
     assert text.index("regexp_replace(") < text.index("Filter ((lower(substring_index(path")
 
 
-def test_previous_value_reuses_one_shuffle_and_spreads_keys(spark, no_broadcast):
+def test_previous_value_is_taken_inside_ranges_of_the_key(spark, no_broadcast):
     text = final_plan(changes.version_changes(derived.polls(spark, SF)))
-    assert "ReusedExchange" in text
-    assert re.search(r"hashpartitioning\(name#\d+, _bucket#\d+L", text)
+    assert re.search(r"hashpartitioning\((ecosystem#\d+, )?name#\d+, _range#\d+", text)
 
 
 def test_difference_is_an_anti_join_on_release_and_token(spark, no_broadcast):

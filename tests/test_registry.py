@@ -49,10 +49,10 @@ def test_unusable_documents_are_dropped_and_explained(spark):
         ("maven", "nocolon", '{"response":{"docs":[{"v":"1"}]}}'),
         ("maven", "g:none", '{"response":{"docs":[]}}'),
         ("nuget", "none", '{"versions":[]}'),
-        ("go", "fine", '{"Version":"v1"}'),
+        ("go", "example.org/fine", '{"Version":"v1"}'),
     ]
     docs = documents(spark, rows)
-    assert [(r.name, r.latest) for r in registry.registry_latest(docs).collect()] == [("fine", "v1")]
+    assert [(r.name, r.latest) for r in registry.registry_latest(docs).collect()] == [("example.org/fine", "v1")]
     assert {r.name: r.reason for r in registry.rejected_documents(docs).collect()} == {
         "broken": "malformed document", "untagged": "no latest version", "mistyped": "malformed document",
         "blank": "no latest version", "nocolon": "bad coordinate", "g:none": "no latest version", "none": "no latest version",
@@ -70,3 +70,15 @@ def test_top_names_counts_a_repeated_name_once_at_its_best_place(spark):
     df = spark.createDataFrame(rows, "ecosystem string, name string, dependents bigint, part_key bigint")
     top = ranking.top_names(df, 2).orderBy("ecosystem", "rank").collect()
     assert [tuple(r) for r in top] == [("npm", 1, "b"), ("npm", 2, "a"), ("pypi", 1, "z")]
+
+
+def test_module_paths(spark):
+    from reldrift.operators.registry import is_module_path
+
+    good = ["example.org/a", "example.org/A/b-c_d~e", "a.b", "example.org/a/v2", "gopkg.in/yaml.v3", "gopkg.in/x.v0", "example.org/v1x"]
+    bad = ["example/a", "Example.org/a", "-a.org/b", "example.org//a", "example.org/a/", "/a.b", "example.org/.a", "example.org/a.", "",
+           "example.org/a b", "example.org/con", "example.org/Aux.go/b", "example.org/a~1", "example.org/a/v1", "example.org/a/v0", "example.org/a/v02",
+           "example.org/a/v1.2", "gopkg.in/yaml", "example.org/\u00e9"]
+    df = spark.createDataFrame([(p,) for p in good + bad], "p string")
+    found = {r.p: r.ok for r in df.select("p", is_module_path(F.col("p")).alias("ok")).collect()}
+    assert [p for p in good if not found[p]] == [] and [p for p in bad if found[p]] == []
