@@ -8,13 +8,16 @@ bitmaps alone unless its estimate comes within five standard deviations of the b
 is left is decided on the full sets.
 
 Texts of equal sets are one class and stand for each other.  First every class is checked
-against the smallest class it meets in any band and passes the bitmaps with; those links
-give groups.  Then only bands that hold classes of different groups are looked at again, and
-their pairs across groups are checked.  So a group of many thousand near copies costs
+against the best connected class it meets in any band and passes the bitmaps with; those links
+give groups.  Then only bands that hold classes of different groups are looked at again, with
+sketches of ``FINE_SAMPLES`` values in ``FINE_BITS`` bits for the classes that are left, and their
+pairs across groups are checked.  So a group of many thousand near copies costs
 about one check a class, and no pair of classes that meet in a band goes unchecked unless
 they are in one group already.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,25 +35,29 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS, SKETCH_LONGS = 512, 8
+FINE_SAMPLES, FINE_BITS = 2048, 4096
 DEVIATIONS = 5
 PERMUTE_CELLS = 1 << 18
 
 
-def most_differing_bits(percent: int = PERCENT) -> int:
+def most_differing_bits(percent: int = PERCENT, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
     """Ones in the XOR of two sketches that a pair at the bound practically never exceeds.
 
-    Of SAMPLES values about (1 - J) * SAMPLES differ, give or take a binomial deviation,
-    and each of those flips a bit in either sketch.
+    About (1 - J) * samples values differ, give or take a binomial deviation, and each of them
+    flips a bit in either sketch; bits hit an even number of times are not seen, which
+    adds the deviation of odd boxes among balls thrown.
     """
     j = percent / 100
-    differ = (1 - j) * SAMPLES + DEVIATIONS * (SAMPLES * j * (1 - j)) ** 0.5
-    expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ))
-    return int(expected + DEVIATIONS)
+    flips = 2 * (1 - j) * samples
+    expected = bits / 2 * (1 - math.exp(-2 * flips / bits))
+    by_samples = 2 * (samples * j * (1 - j)) ** 0.5 * math.exp(-2 * flips / bits)
+    by_boxes = (bits / 4 * (1 - (1 + 4 * flips / bits) * math.exp(-4 * flips / bits))) ** 0.5
+    return math.ceil(expected + DEVIATIONS * math.hypot(by_samples, by_boxes) + 1)
 
 
-def _permutations():
-    rng = np.random.Generator(np.random.PCG64(5))
-    return (rng.integers(0, 2**31, SAMPLES) * 2 + 1).astype(np.uint32), rng.integers(0, 2**32, SAMPLES).astype(np.uint32)
+def _permutations(samples: int):
+    rng = np.random.Generator(np.random.PCG64(samples))
+    return (rng.integers(0, 2**31, samples) * 2 + 1).astype(np.uint32), rng.integers(0, 2**32, samples).astype(np.uint32)
 
 
 def distinct_shingles(hasher: common.WordHasher, texts: list[bytes], width: int = WORDS):
@@ -64,24 +71,70 @@ def distinct_shingles(hasher: common.WordHasher, texts: list[bytes], width: int
     return value[fresh], np.bincount(owner[fresh], minlength=len(texts))
 
 
-def _signatures(value: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """SAMPLES minima for each text with shingles."""
-    a, b = _permutations()
+def _signatures(value: np.ndarray, size: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """The minima of all permutations for each text; every text must have shingles."""
+    a, b = _permutations(samples)
     x = (value >> np.uint64(32)).astype(np.uint32) ^ value.astype(np.uint32)
     ends = np.cumsum(size)
-    out = np.empty((len(size), SAMPLES), dtype=np.uint32)
+    out = np.empty((len(size), samples), dtype=np.uint32)
     at = 0
     while at < len(size):  # texts in blocks that stay in the cache; a long one is a block of its own
         first = ends[at] - size[at]
         to = max(at + 1, int(np.searchsorted(ends, first + PERMUTE_CELLS, side="right")))
         part = x[first : ends[to - 1]]
         starts = (ends[at:to] - size[at:to] - first).astype(np.int64)
-        for k in range(SAMPLES):
+        for k in range(samples):
             out[at:to, k] = np.minimum.reduceat(part * a[k] + b[k], starts)
         at = to
     return out
 
 
+def fold(minima: np.ndarray, bits: int) -> np.ndarray:
+    """Odd sketches: the parity of how many (permutation, minimum) pairs fall on each bit."""
+    rows, samples = minima.shape
+    out = np.zeros((rows, bits // 64), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(samples):
+            bit = common.mix(minima[:, k].astype(np.uint64) * np.uint64(2 * samples + 1) + np.uint64(k)) % np.uint64(bits)
+            out[np.arange(rows), (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
+    return out
+
+
+def fine_sketches(ids: DataFrame, docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """(rep) -> (rep, fine): large odd sketches of the texts of these ids."""
+
+    def batches(stream):
+        hasher = common.WordHasher()
+        for batch in stream:
+            at = 0
+            for texts in common.byte_blocks(bytes(t.as_buffer()) for t in batch.column("text")):
+                value, size = distinct_shingles(hasher, texts, width)
+                full = np.flatnonzero(size)
+                sketch = fold(_signatures(value, size[full], FINE_SAMPLES), FINE_BITS)
+                offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * (FINE_BITS // 64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(at, len(texts)).take(pa.array(full)), pa.ListArray.from_arrays(offsets, pa.array(sketch.reshape(-1).view(np.int64)))],
+                    names=["rep", "fine"],
+                )
+                at += len(texts)
+
+    texts = _texts(ids.withColumnRenamed("rep", "doc_id"), docs)
+    schema = T.StructType([T.StructField("rep", docs.schema["doc_id"].dataType), T.StructField("fine", T.ArrayType(T.LongType()))])
+    return texts.mapInArrow(batches, schema)
+
+
+def _alike_fine(percent: int) -> Column:
+    ones = F.aggregate(F.zip_with("x.fine", "y.fine", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+    return ones <= most_differing_bits(percent, FINE_SAMPLES, FINE_BITS)
+
+
+def _texts(named: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text as bytes) of the ids of ``named``, one row each."""
+    wanted = docs.where(may_hold(bitmap(named.select(F.xxhash64("doc_id").alias("h")), "h"), F.xxhash64("doc_id")))
+    texts = wanted.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["doc_id"])
+    return texts.join(named, "doc_id", "left_semi")
+
+
 def sign(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, set_a, set_b, bands, s0..s7).
 
@@ -116,9 +169,7 @@ def sign(docs: DataFrame, width: int = WORDS) -> DataFrame:
                 minima = _signatures(value, size[full]).astype(np.uint64)
                 for k in range(ROWS):
                     bands = common.mix(bands * np.uint64(31) + minima[:, k::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64))
-                bit = common.mix(minima * np.uint64(2 * SAMPLES + 1) + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
-            for k in range(SAMPLES):
-                np.bitwise_xor.at(sketch, (full, (bit[:, k] >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit[:, k] & np.uint64(63)))
+            sketch[full] = fold(minima, SKETCH_BITS)
         offsets = np.zeros(len(texts) + 1, dtype=np.int32)
         offsets[1:] = np.cumsum(np.where(size > 0, BANDS, 0))
         return pa.RecordBatch.from_arrays(
@@ -143,10 +194,8 @@ def _alike(percent: int) -> Column:
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of ids whose full shingle sets are as similar as ``percent``."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.where(may_hold(bitmap(named.select(F.xxhash64("doc_id").alias("h")), "h"), F.xxhash64("doc_id")))
-    texts = wanted.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["doc_id"])
-    texts = materialize(texts.join(named, "doc_id", "left_semi"), "near-texts")
+    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = materialize(_texts(named, docs), "near-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
 
@@ -189,7 +238,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         .groupBy(*own).agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", *_SKETCH)]),
         "near-classes",
     )
-    links = group_links(classes, ["n_shingles", *_SKETCH], _alike(percent), lambda pairs: confirm(pairs, docs, width, percent))
+    links = group_links(classes, ["n_shingles", *_SKETCH], _alike(percent), lambda pairs: confirm(pairs, docs, width, percent),
+                        lambda ids: fine_sketches(ids, docs, width), _alike_fine(percent))
     # ids with several texts tie their classes together
     several = signed.where("n_shingles > 0").join(classes.select(*own, "rep"), own).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     ties = several.join(classes.select(F.col("rep").alias("b")).distinct(), "b", "left_semi")
