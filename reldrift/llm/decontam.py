@@ -113,9 +113,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     Documents the leaks' bitmap rules out pass without a shuffle; the others are joined.
     """
     leaked = materialize(find_leaks(docs, items, text).select("_row").distinct(), "decontam-leaks")
-    with_key = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    with_key = with_key.withColumn("_row", row_key(with_key, "_t")).drop("_t")
-    suspect = may_hold(bitmap(leaked.select("_row.a"), "a"), F.col("_row.a"))
+    with_key = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    with_key = with_key.withColumn("__row", row_key(with_key, "__t")).drop("__t")
+    suspect = may_hold(bitmap(leaked.select("_row.a"), "a"), F.col("__row.a"))
     clean = with_key.where(~suspect)
-    rest = with_key.where(suspect).join(leaked, "_row", "left_anti")
+    rest = with_key.where(suspect).join(leaked.withColumnRenamed("_row", "__row"), "__row", "left_anti")
     return clean.select(*docs.columns).unionByName(rest.select(*docs.columns))

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .secret_scan import row_key
-from .spans import add_matches, joined, of_kind, only, redact
+from .secret_scan import redact_rows, row_key
+from .spans import add_matches, joined, of_kind, only
 
 KINDS = ("email", "ip", "card", "phone")
 # possessive runs and fixed starts find what the plain patterns find, in one pass over a long run
@@ -245,14 +245,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by its kind in brackets; NULL stays NULL."""
-    keyed = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    keyed = keyed.withColumn("_row", row_key(keyed, "_t")).drop("_t")
-    found = materialize(find_candidates(docs, text).select("_row", "_held", "base", "candidates"), "pii-candidates")
+    keyed = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    keyed = keyed.withColumn("__row", row_key(keyed, "__t")).drop("__t")
+    narrow = docs.select(*[c for c in ("doc_id", text) if c in docs.columns])
+    found = materialize(find_candidates(narrow, text).select("_row", "_held", "base", "candidates"), "pii-candidates")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     spans = F.array_sort(F.concat("base", F.coalesce("added", none)))
-    told = found.join(added_spans(found), "_row", "left").select("_row", spans.alias("_spans")).where(F.size("_spans") > 0)
-    done = keyed.join(told.dropDuplicates(["_row"]), "_row", "left")
-    return done.withColumn(text, F.when(F.col("_spans").isNotNull(), redact(F.col(text), F.col("_spans"))).otherwise(F.col(text))).select(*docs.columns)
+    told = found.join(added_spans(found), "_row", "left").select(F.col("_row").alias("__row"), spans.alias("__spans"))
+    told = told.where(F.size("__spans") > 0).dropDuplicates(["__row"])
+    return redact_rows(keyed, materialize(told, "pii-spans"), docs.columns, text)
 
 
 def report(scanned: DataFrame) -> DataFrame:

@@ -105,23 +105,22 @@ def redact_secrets(docs: DataFrame, text: str = "text", reach: int = REACH) -> D
 
     Rows without a secret keep their text and pass without a shuffle; a NULL text stays NULL.
     """
-    keyed = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    keyed = keyed.withColumn("_row", row_key(keyed, "_t")).drop("_t")
-    found = materialize(find_parts(docs, text).select("_row", "base", "parts").distinct(), "secret-parts")
+    keyed = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    keyed = keyed.withColumn("__row", row_key(keyed, "__t")).drop("__t")
+    narrow = docs.select(*[c for c in ("doc_id", text) if c in docs.columns])
+    found = materialize(find_parts(narrow, text).select("_row", "base", "parts").distinct(), "secret-parts")
     spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN))))
-    told = (
-        found.join(link_parts(found, reach), "_row", "left").select("_row", spans.alias("_spans")).where(F.size("_spans") > 0)
-    )
-    told = materialize(told, "secret-spans")
-    suspect = may_hold(bitmap(told.select("_row.a"), "a"), F.col("_row.a"))
-    redacted = keyed.where(suspect).join(told, "_row", "left").withColumn(
-        text, F.when(F.col("_spans").isNotNull(), redact(F.col(text), F.col("_spans"))).otherwise(F.col(text))
-    )
-    return docs_like(keyed.where(~suspect), docs).unionByName(docs_like(redacted, docs))
+    told = found.join(link_parts(found, reach), "_row", "left").select(F.col("_row").alias("__row"), spans.alias("__spans"))
+    return redact_rows(keyed, materialize(told.where(F.size("__spans") > 0), "secret-spans"), docs.columns, text)
 
 
-def docs_like(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*docs.columns)
+def redact_rows(keyed: DataFrame, told: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """Rows with ``__row`` and their spans -> rows with the spans redacted; rows no span belongs to pass by."""
+    suspect = may_hold(bitmap(told.select("__row.a"), "a"), F.col("__row.a"))
+    redacted = keyed.where(suspect).join(told, "__row", "left").withColumn(
+        text, F.when(F.col("__spans").isNotNull(), redact(F.col(text), F.col("__spans"))).otherwise(F.col(text))
+    )
+    return keyed.where(~suspect).select(*columns).unionByName(redacted.select(*columns))
 
 
 def report(scanned: DataFrame) -> DataFrame:
