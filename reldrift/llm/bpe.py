@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_to_batch, byte_blocks, ragged_index, with_columns
+from .common import add_to_batch, byte_blocks, ragged_index, small_batches, with_columns
 
 NONE = np.iinfo(np.int32).max
 BUCKETS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 512)
 MATRIX_CELLS = 1 << 20       # cells of one matrix at most
 REMEMBERED_PIECES = 300_000  # pieces kept between batches of a task
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def default_path() -> str:
@@ -237,6 +237,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", path: st
     A NULL text counts as empty and has no ids.  All other columns pass through; a column
     already called ``out`` is replaced.  Rows are independent, so repeats stay repeats.
     """
+    small_batches(docs.sparkSession)
     path, pattern = path or default_path(), pattern or default_pattern()
 
     def batches(stream):

@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD_BLOCK_BYTES = 2 << 20  # texts are hashed together up to about this many bytes
+WORD_BLOCK_BYTES = 1 << 20  # texts are hashed together up to about this many bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get texts in smaller batches than Spark's default, unless the cluster sets a number."""
+    if spark.sparkContext.getConf().get(BATCH_ROWS) is None:
+        spark.conf.set(BATCH_ROWS, rows)
 
 
 def fold(remainders: int, column: str = "doc_id") -> Column:

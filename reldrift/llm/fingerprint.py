@@ -22,7 +22,7 @@ from .linking import group_links
 
 WIDTH, PERMUTATIONS = 8, 64
 BANDS, ROWS = 32, 4  # bands are drawn from the permutations with a stride, each in two bands
-PERMUTE_CELLS, BLOCK_BYTES = 1 << 17, 2 << 20
+PERMUTE_CELLS, BLOCK_BYTES = 1 << 17, 1 << 20
 PERCENT, DEVIATIONS = 75, 5
 EMPTY = "0" * (4 * PERMUTATIONS)
 
@@ -144,6 +144,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Texts are dealt out by ranges of ids, once.  A partition's last text has its next one in
     another partition, so the ends are written with their texts, two a partition, and joined.
     """
+    common.small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]

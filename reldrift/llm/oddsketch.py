@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     no part: it keeps a NULL component and is kept.  Repeated rows share their id's result.
     An id with different texts is in the groups of all of them.
     """
+    common.small_batches(docs.sparkSession)
     signed = materialize(sign(docs, width), "near-signed")
     own = ["n_shingles", "set_a", "set_b"]
     classes = materialize(

@@ -365,6 +365,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     stay.  NULL texts count as empty.  A row without an id neither loses bytes nor takes
     them from others.  An id stands for one text: repeated rows are the same document.
     """
+    common.small_batches(docs.sparkSession)
     given = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     known = given.where(F.col("doc_id").isNotNull())
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0

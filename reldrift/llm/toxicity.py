@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import _fixed_words, add_to_batch, byte_blocks, mix, with_columns
+from .common import _fixed_words, add_to_batch, byte_blocks, mix, small_batches, with_columns
 
 SIZES = (3, 5)
 BUCKETS = 1 << 18
@@ -24,7 +24,7 @@ FEATURES = 1024
 FIT_ROWS = 8_000  # of either class
 SMOOTHING, PENALTY, STEPS = 1.0, 1.0, 120
 EVIDENCE = 4.0  # standard errors between the classes' shares that a feature must show
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def grams(texts: list[bytes]):
@@ -125,6 +125,7 @@ def _sum_blocks(sample: DataFrame) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """The classifier; without labels of both classes every score is the share of toxic labels, or 0."""
+    small_batches(docs.sparkSession)
     sample, counts = training_sample(docs, labels, rows)
     lookup = np.full(BUCKETS, -1, dtype=np.int32)
     if not counts.get(0) or not counts.get(1):
@@ -182,6 +183,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     NULL and empty texts get the model's score of no features; equal texts get equal scores.
     """
+    small_batches(docs.sparkSession)
     lookup, weight, bias = model.lookup, model.weight, model.bias
 
     def batches(stream):
