@@ -9,7 +9,7 @@ value per row for the registry documents), so it grows with them.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import with_previous
+from reldrift.operators.ordering import with_previous
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,11 +15,13 @@ from reldrift.operators import changes, diffing, ranking, readmodels, registry,
 from reldrift.plans import jobs
 from reldrift.schemas import PAIR, RELEASE
 from reldrift.session import materialize, new_path
-from reldrift.sources import allowlists, archives, derived, tables
+from reldrift.sources import allowlists, archives, tables
 from reldrift.streaming.changes import stream_changes_by_batch
 from reldrift.streaming.changes import stream_version_changes as changes_stream
 from reldrift.streaming.findings import stream_findings as findings_stream
 
+from . import derived, packing
+
 SITE, TAG = "https://feed.invalid", "feed.invalid,2026"
 BASE_SECONDS = 1704067200  # 2024-01-01T00:00:00Z
 CUT = "2024-01-15 00:00:00"
@@ -137,9 +139,15 @@ def _new(kind):
 
 def _findings(spark, sf) -> DataFrame:
     """Scored findings; the time of analysis is derived from the release."""
-    found = diffing.find(_new_tokens(spark, sf))
-    seconds = F.regexp_extract("version", r"\A1\.([0-9]+)\z", 1).cast("long") + BASE_SECONDS
-    return found.withColumn("analyzed_at", F.timestamp_seconds(seconds))
+    return diffing.find(_new_tokens(spark, sf)).withColumn("analyzed_at", _analyzed_at())
+
+
+def _analyzed_at() -> Column:
+    return F.timestamp_seconds(F.regexp_extract("version", r"\A1\.([0-9]+)\z", 1).cast("long") + BASE_SECONDS)
+
+
+def _newest(spark, sf) -> DataFrame:
+    return jobs.newest_findings_of(_new_tokens(spark, sf), _analyzed_at(), 50)
 
 
 def _flat(findings: DataFrame) -> DataFrame:
@@ -274,8 +282,7 @@ def detect_changes(spark, sf):
 
 
 def recent_findings(spark, sf):
-    found = readmodels.recent_findings(_findings(spark, sf), 50)
-    return _flat(found)
+    return _flat(_newest(spark, sf))
 
 
 def recent_activity(spark, sf):
@@ -295,7 +302,7 @@ def feed_items(spark, sf):
 
 
 def newest_feed(spark, sf):
-    return readmodels.newest_feed(_findings(spark, sf), SITE, TAG)
+    return readmodels.newest_feed(_newest(spark, sf), SITE, TAG)
 
 
 def findings_json(spark, sf):
@@ -335,13 +342,13 @@ def allowlist_roundtrip(spark, sf):
 
 
 def archive_files(spark, sf):
-    packed = archives.pack(derived.releases_with_files(spark, sf).drop("release_seq"))
+    packed = packing.pack(derived.releases_with_files(spark, sf).drop("release_seq"))
     return archives.archive_files(archives.unpack(packed)).select(*RELEASE, "file_ord", "path", "content")
 
 
 def _packed(spark, sf):
     """Every release packed as an archive, addressed by package and version."""
-    packed = archives.pack(derived.releases_with_files(spark, sf).select(
+    packed = packing.pack(derived.releases_with_files(spark, sf).select(
         F.concat_ws("/", "ecosystem", "name", "version").alias("source_url"), "files"
     ))
     return packed

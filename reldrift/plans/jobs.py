@@ -3,13 +3,13 @@
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import patterns as P
 from ..functions.comments import strip_comments
-from ..operators import changes, diffing, ranking, registry, tokens
+from ..operators import changes, diffing, ranking, readmodels, registry, tokens
 from ..session import materialize, work_folder
 from ..sources import allowlists, archives, tables
 
@@ -97,6 +97,17 @@ def findings_of(new_tokens: DataFrame, now: datetime) -> DataFrame:
     return diffing.find(new_tokens).withColumn("analyzed_at", F.lit(now).cast("timestamp"))
 
 
+def newest_findings_of(new_tokens: DataFrame, analyzed_at: Column, limit: int = 0) -> DataFrame:
+    """The newest findings, picked on narrow scored rows; evidence is nested for those few only.
+
+    At most 200 are picked, so their names may be broadcast.
+    """
+    scored = diffing.score_releases(new_tokens).select(*S.PAIR, analyzed_at.alias("analyzed_at"))
+    picked = readmodels.recent_findings(scored, limit).select(*S.PAIR)
+    some = new_tokens.join(F.broadcast(picked), list(S.PAIR), "left_semi")
+    return readmodels.recent_findings(diffing.find(some).withColumn("analyzed_at", analyzed_at), limit)
+
+
 def publish(diff: Diff, root: str, cycle: str, now: datetime) -> None:
     """Store the findings, their evidence in long form, and the scan log of one cycle."""
     stamp = F.lit(now).cast("timestamp")

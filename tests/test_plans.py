@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reldrift.operators import changes, diffing, ranking, readmodels, tokens
-from reldrift.sources import derived
+from crosscheck import derived
 
 SF = "/root/testdata/sf0.001"
 
