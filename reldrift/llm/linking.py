@@ -27,7 +27,7 @@ def group_links(
     shared = banded.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     members = materialize(banded.join(shared, "key"), "near-members")
     weight = members.groupBy("rep").agg(F.sum("met").alias("weight"))
-    side = classes.select("rep", *judged).join(weight, "rep")
+    side = classes.select("rep", "bands", *judged).join(weight, "rep")
     grouped = materialize(side.withColumn("g", F.col("rep")), "near-grouped")
     links = None
     for turn in range(2):
@@ -48,7 +48,9 @@ def group_links(
     placed = materialize(members.select("key", "rep").join(grouped.select("rep", "g"), "rep"), "near-placed")
     mixed = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("key")
     open_ = materialize(placed.join(mixed, "key").select("key", "rep").join(grouped, "rep"), "near-open")
-    both = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.g") != F.col("y.g")) & alike
+    both = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.g") != F.col("y.g"))
+    # a pair that meets in several bands is judged and given out in one of them
+    both = both & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")) & alike
     if refine is not None:
         open_ = open_.join(materialize(refine(open_.select("rep").distinct()), "near-refined"), "rep")
         both = both & alike_refined
