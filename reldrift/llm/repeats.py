@@ -287,22 +287,34 @@ def _replies(blocks: DataFrame, buckets: int) -> DataFrame:
         return _reply(doc[some], place[some], anchor[some].astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket), full[some])
 
     def _reply(doc, place, key, full):
-        order = np.argsort(doc, kind="stable")
-        doc, place, key, full = doc[order], place[order], key[order], full[order]
+        """One row for each part of the documents, whatever their number."""
+        part = (common.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        head = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(part) else np.zeros(0, np.int64)
+        rows = [order[lo:hi] for lo, hi in zip(head, np.append(head[1:], len(part)))]
+        columns = {"part": pa.array(part[[r[0] for r in rows]] if rows else [], pa.int64())}
+        for name, values in (("doc", doc.astype("<i8")), ("place", place.astype("<u4")), ("key", key.astype("<u8")), ("full", full.astype("u1"))):
+            columns[name] = pa.array([values[r].tobytes() for r in rows], pa.binary())
+        return pa.table(columns)
+
+    def by_document(_, group):
+        kinds = {"doc": "<i8", "place": "<u4", "key": "<u8", "full": "u1"}
+        col = {c: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in group.column(c)]) for c, kind in kinds.items()}
+        order = np.argsort(col["doc"], kind="stable")
+        doc, place, key, full = (col[c][order] for c in kinds)
+        full = full.astype(bool)
         head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
         covers, asks = [], []
         for lo, hi in zip(head, np.append(head[1:], len(doc))):
             f = full[lo:hi]
             covers.append(place[lo:hi][f].astype("<u4").tobytes() if f.any() else None)
-            if f.all():
-                asks.append(None)
-            else:
-                rows = np.empty((~f).sum(), dtype=_ASK)
-                rows["place"], rows["key"] = place[lo:hi][~f], key[lo:hi][~f]
-                asks.append(rows.tobytes())
+            rows = np.empty(int((~f).sum()), dtype=_ASK)
+            rows["place"], rows["key"] = place[lo:hi][~f], key[lo:hi][~f]
+            asks.append(rows.tobytes() if len(rows) else None)
         return pa.table({"doc_id": pa.array(doc[head], pa.int64()), "full": pa.array(covers, pa.binary()), "ask": pa.array(asks, pa.binary())})
 
-    return blocks.groupBy("bucket").applyInArrow(answer, _REPLY)
+    parts = blocks.groupBy("bucket").applyInArrow(answer, "part long, doc binary, place binary, key binary, full binary")
+    return parts.groupBy("part").applyInArrow(by_document, _REPLY)
 
 
 def _sorted_covers(asked: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
