@@ -1,15 +1,20 @@
 """Benchmark decontamination by spaced seeds, in Spark expressions.
 
-A seed is a mask over ``SPAN`` neighbouring words: the marked words are hashed, the others
-may differ.  Seeds of all benchmark texts are joined with seeds at every word of every
+A seed is a mask over neighbouring words: the marked words are hashed, the others may
+differ.  Seeds of all benchmark texts are joined with seeds at every word of every
 document; a hit gives a document, a benchmark text and the offset between them.  The words
 of both are then compared at that offset, each against its counterpart, so substituted
 words count as differences and nothing more.  A document leaks a benchmark text if at one
 offset half of the benchmark's words, eight at least, are equal, or ``LOCAL_EQUAL`` of
-``LOCAL_WORDS`` words around a hit.  A benchmark text of fewer than eight words must be
-there in full.
+some ``LOCAL_WORDS`` neighbouring words.  A benchmark text of fewer than eight words must
+be there in full.
 
-A bitmap of fixed size lets only documents' seeds to the join that some benchmark seed may
+Wherever half of n >= 16 words are equal, or eight of fewer, one of the masks has all its
+marked words among them: most equal words without a hit are under half for every n of 16
+to 31 (and under eight below), and longer texts fall into such pieces.  So a hit is sure
+up to a share of one half substituted, however the substitutions lie, which is the rule.
+
+A bitmap of fixed size lets only those seeds to the join that some benchmark seed may
 equal, so the shuffle carries hits and not words.
 """
 
@@ -20,9 +25,12 @@ from ..session import materialize
 from .bitmap import bitmap, may_hold
 from .secret_scan import row_key
 
-SPAN = 8
-MASKS = ("11010011", "10110101", "11101001")
+MASKS = (
+    "1111", "10111", "11011", "11101", "101011", "101101", "110011", "110101", "111001", "1010011", "10010011",
+    "11000011", "100100011", "100100101", "101000101", "1000100011", "1010000101", "1100001001",
+)
 SHARE, LEAST = 0.5, 8
+SEED_BITS = 23
 LOCAL_WORDS, LOCAL_EQUAL = 40, 30
 
 
@@ -35,14 +43,24 @@ def word_hashes(words_: Column | str) -> Column:
     return F.transform(words_, lambda w: F.xxhash64(w))
 
 
-def _seed(mask: str, hashes: Column, at: Column) -> Column:
-    """Hash of the marked words from place ``at``; NULL where the mask goes beyond the text."""
-    marked = [F.get(hashes, at + i) for i, m in enumerate(mask) if m == "1"]
-    return F.when(at + len(mask) <= F.size(hashes), F.xxhash64(F.lit(int(mask, 2)), *marked))
+def _masks(masks: list[str]) -> Column:
+    """The masks as an array of structs: number, length and the marked places after the first."""
+    marked = [[i for i, m in enumerate(mask) if m == "1"][1:] for mask in masks]
+    width = max(map(len, marked))
+    return F.array(*[
+        F.struct(
+            F.lit(int(mask, 2)).alias("mask"), F.lit(len(mask)).alias("span"),
+            *[F.lit(at[i] if i < len(at) else None).cast("int").alias(f"m{i}") for i in range(width)],
+        )
+        for mask, at in zip(masks, marked)
+    ])
 
 
-def _seeds(masks: list[str], hashes: Column, at: Column) -> Column:
-    return F.array(*[_seed(m, hashes, at) for m in masks])
+def _seed(masks: list[str], mask: Column, hashes: Column, at: Column) -> Column:
+    """Hash of the words ``mask`` marks from place ``at``; NULL where the mask goes beyond the text."""
+    width = max(m.count("1") for m in masks) - 1
+    marked = [F.get(hashes, at + mask[f"m{i}"]) for i in range(width)]
+    return F.when(at + mask["span"] <= F.size(hashes), F.xxhash64(mask["mask"], F.get(hashes, at), *marked))
 
 
 def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -52,15 +70,15 @@ def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """
     cut = items.select("item_id", words(F.coalesce("text", F.lit(""))).alias("item_words")).where(F.size("item_words") > 0).distinct()
     cut = materialize(cut.withColumn("item", F.xxhash64("item_id", F.array_join("item_words", " "))), "decontam-items")
-    few = [r["n"] for r in cut.select(F.size("item_words").alias("n")).where(F.col("n") < SPAN).distinct().orderBy("n").collect()]
-    masks = [*MASKS, *["1" * n for n in few]]
+    few = [r["n"] for r in cut.select(F.size("item_words").alias("n")).where(F.col("n") < LEAST).distinct().orderBy("n").collect()]
+    masks = list(dict.fromkeys([*MASKS, *["1" * n for n in few]]))
     n = F.size("item_words")
     at = cut.select("item", word_hashes("item_words").alias("hashes"), F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    at = at.select("*", F.explode(_masks(masks)).alias("m"))
     n = F.size("hashes")
     # a short text has the mask of its own length only, and only short texts have such masks
-    own = [m for m in masks if m not in MASKS]
-    short = F.array(*[F.when(n == len(m), _seed(m, F.col("hashes"), F.col("at"))) for m in own]) if own else F.array().cast("array<bigint>")
-    seeds = at.select("item", "at", F.explode(F.concat(_seeds(list(MASKS), F.col("hashes"), F.col("at")), short)).alias("seed"))
+    own = F.when(n < LEAST, F.col("m.mask") + 1 == F.pow(F.lit(2), n)).otherwise(F.col("m.mask").isin(*[int(m, 2) for m in MASKS]))
+    seeds = at.where(own).select("item", "at", _seed(masks, F.col("m"), F.col("hashes"), F.col("at")).alias("seed"))
     return cut, materialize(seeds.where("seed is not null"), "decontam-seeds"), masks
 
 
@@ -74,33 +92,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     keyed = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
     keyed = keyed.select("doc_id", row_key(keyed, "_t").alias("_row"), words(F.col("_t")).alias("words"))
     cut, seeds, masks = benchmark_seeds(items)
-    held = bitmap(seeds, "seed")
+    held = bitmap(seeds, "seed", SEED_BITS)
     hashed = keyed.select("_row", word_hashes("words").alias("hashes")).where(F.size("hashes") > 0)
     at = hashed.select("_row", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("p"))
-    # one struct a word, exploded: the seeds are computed once and the test on them stays small code
-    names = [f"s{i}" for i in range(len(masks))]
-    seeded = F.struct(*[_seed(m, F.col("hashes"), F.col("p")).alias(s) for m, s in zip(masks, names)])
-    each = at.select("_row", "p", F.explode(F.array(seeded)).alias("s")).select("_row", "p", *[F.col(f"s.{s}") for s in names])
-    either = F.lit(False)
-    for s in names:
-        either = either | may_hold(held, F.col(s))
-    found = each.where(either).select("_row", "p", F.explode(F.array(*names)).alias("seed"))
-    hits = (
-        found.join(seeds, "seed").select("_row", "item", (F.col("p") - F.col("at")).alias("offset"), "at")
-        .distinct().groupBy("_row", "item", "offset").agg(F.collect_list("at").alias("places"))  # places in one benchmark text
-    )
+    # masks are data, and every seed is exploded: it is computed once, and the code is as small as for one mask
+    masked = at.select("_row", "hashes", "p", F.explode(_masks(masks)).alias("m"))
+    each = masked.select("_row", "p", F.explode(F.array(_seed(masks, F.col("m"), F.col("hashes"), F.col("p")))).alias("seed"))
+    found = each.where(F.col("seed").isNotNull() & may_hold(held, F.col("seed"), SEED_BITS))
+    hits = found.join(seeds, "seed").select("_row", "item", (F.col("p") - F.col("at")).alias("offset")).distinct()
     hits = materialize(hits, "decontam-hits")
     again = keyed.where(may_hold(bitmap(hits.select("_row.a"), "a"), F.col("_row.a")))
     pairs = again.dropDuplicates(["_row"]).join(hits, "_row").join(cut, "item")
     n = F.size("item_words")
     equal = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", i + F.col("offset")) == F.get("item_words", i))
 
-    def near(q: Column) -> Column:
-        middle = q + SPAN // 2
-        return F.size(F.filter("equal", lambda i: (i >= middle - LOCAL_WORDS // 2) & (i < middle + LOCAL_WORDS // 2))) >= LOCAL_EQUAL
-
+    # the places are in order, so LOCAL_EQUAL of them stand close where the last is near the first
+    close = F.zip_with("equal", F.slice("equal", LOCAL_EQUAL, F.size("equal")), lambda a, b: b - a < LOCAL_WORDS)
     judged = pairs.withColumn("equal", equal).withColumn("n_equal", F.size("equal"))
-    enough = (F.col("n_equal") >= F.greatest(F.ceil(n * SHARE), F.least(F.lit(LEAST), n))) | F.exists("places", near)
+    enough = (F.col("n_equal") >= F.greatest(F.ceil(n * SHARE), F.least(F.lit(LEAST), n))) | F.exists(close, lambda x: F.coalesce(x, F.lit(False)))
     leaks = judged.where(enough).groupBy("_row", "doc_id", "item_id").agg(
         F.max(F.struct("n_equal", (-F.col("offset")).alias("back"), n.alias("n_words"))).alias("best")
     )
