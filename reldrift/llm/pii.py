@@ -2,11 +2,13 @@
 
 Base spans (e-mail, IP address, payment card, phone) are always reported.  High-recall
 generators propose further, overlapping candidates.  Boosted trees learn from all candidates
-of the corpus what a valid one looks like: the label is whether a candidate is a base span,
-the features are its format and context, never the check itself.  Candidates are counted by
-feature cell in Spark, so fitting sees every row but handles only the cells, whose number is
-bounded by the feature ranges.  Per kind, a threshold is calibrated on held-out rows; a
-candidate above it that overlaps no base span is added.
+of the corpus in which formats and contexts the values are real.  Their label is evidence
+apart from the base patterns and from the features: an e-mail or IP address that is valid
+once [at] and [dot] are undone, a card number with a right check sum, a telephone number
+after a word that says so (that word is no feature of telephone numbers).  Candidates are
+counted by feature cell in Spark, so fitting sees every row but handles only the cells,
+whose number is bounded by the feature ranges.  Per kind, a threshold is calibrated on
+held-out rows; a candidate above it that overlaps no base span and is valid itself is added.
 """
 
 import math
@@ -28,12 +30,12 @@ BASE = {
 }
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9.])[0-9]{1,5}(?:[.:][0-9]{1,5}){3,5}(?![0-9])",
+    "ip": r"(?<![0-9.])[0-9]{1,5}(?:(?:[.:]|\x20?[\[(](?:dot|\.)[\])]\x20?)[0-9]{1,5}){3,5}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+|00)?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}(?![0-9])",
 }
 #: Feature -> the number of values it can take, from 0 upwards.
-FEATURES = {"kind": 4, "digits": 21, "groups": 8, "mark": 5, "lead": 3, "left": 4, "right": 4, "word": 5}
+FEATURES = {"kind": 4, "digits": 21, "groups": 8, "mark": 6, "lead": 3, "left": 4, "right": 4, "word": 5}
 TREES, RATE, LEAST_WEIGHT, PRECISION = 40, 0.3, 5.0, 0.98
 WORDS = ("mail", "phone|tel|call|mobile|fax", "card|visa|credit|payment|iban", r"\bip\b|addr|host|server")
 
@@ -70,6 +72,24 @@ def _valid(kind: str):
     return lambda s: F.lit(True)
 
 
+def _real(kind: str, s: Column) -> tuple[Column, Column]:
+    """(valid, label) of a wide candidate: whether its normalised value is right, and the evidence to learn from."""
+    if kind in ("email", "ip"):
+        plain = F.regexp_replace(F.regexp_replace(s["match"], r"\x20?[\[(]at[\])]\x20?", "@"), r"\x20?[\[(](?:dot|\.)[\])]\x20?", ".")
+        if kind == "ip":
+            valid = plain.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.|$)){4}$") & ~plain.endswith(".")
+        else:
+            name, label = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*", r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+            valid = plain.rlike(rf"^{name}@(?:{label}\.)+[A-Za-z]{{2,24}}$")
+        return valid, valid
+    digits = digits_only(s["match"])
+    if kind == "card":
+        valid = F.length(digits).between(13, 19) & luhn(digits)
+        return valid, valid
+    valid = F.length(digits).between(8, 15)
+    return valid, valid & F.lower(s["before"]).rlike(WORDS[1])
+
+
 def _features(s: Column, rank: int) -> Column:
     """Format and context of a candidate as small integers; see FEATURES for their ranges."""
     match, digits = s["match"], digits_only(s["match"])
@@ -77,11 +97,14 @@ def _features(s: Column, rank: int) -> Column:
     word = F.lit(0)
     for i, pattern in enumerate(WORDS):
         word = F.when(before.rlike(pattern), i + 1).otherwise(word)
+    if KINDS[rank] == "phone":
+        word = F.lit(0)  # it is the label's evidence
 
     def neighbour(text: Column) -> Column:
         return F.when(text == "", 0).when(text.rlike(r"\s"), 1).when(text.rlike("[A-Za-z0-9]"), 2).otherwise(3)
 
-    mark = F.when(match.contains("["), 4).when(match.contains("("), 3).when(match.contains("-"), 2).when(match.contains(" "), 1).otherwise(0)
+    dotted = match.contains(".") if KINDS[rank] in ("card", "phone") else F.lit(False)
+    mark = F.when(match.contains("["), 4).when(match.contains("("), 3).when(match.contains("-"), 2).when(match.contains(" "), 1).when(dotted, 5).otherwise(0)
     return F.struct(
         F.lit(rank).alias("kind"),
         F.least(F.length(digits), F.lit(20)).alias("digits"),
@@ -107,7 +130,7 @@ def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         return lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"),
             _features(s, rank).alias("f"),
-            F.exists("base", lambda b: (b["kind"] == kind) & (b["start"] == s["start"]) & (b["end"] == s["end"])).alias("label"),
+            _real(kind, s)[0].alias("valid"), _real(kind, s)[1].alias("label"),
             F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("taken"),
         )
 
@@ -197,11 +220,13 @@ def lower_bound(right: int, rows: int) -> float:
 def fit(candidates: DataFrame, precision: float = PRECISION) -> tuple[Boosted, dict[int, float]]:
     """The trees, and for each kind the lowest score whose held-out precision is surely enough.
 
+    The rows no base span overlaps, which alone can be added, must have that share as well.
     A kind without such a score gets no threshold: none of its candidates is added.
     """
     counted = (
         candidates.groupBy("_held", *[F.col(f"c.f.{n}").alias(n) for n in FEATURES])
-        .agg(F.count("*").alias("n"), F.sum(F.col("c.label").cast("long")).alias("k"))
+        .agg(F.count("*").alias("n"), F.sum(F.col("c.label").cast("long")).alias("k"),
+             F.sum((~F.col("c.taken")).cast("long")).alias("free"), F.sum((~F.col("c.taken") & F.col("c.label")).cast("long")).alias("free_k"))
         .orderBy("_held", *FEATURES)
         .collect()  # at most as many rows as there are feature cells
     )
@@ -209,12 +234,12 @@ def fit(candidates: DataFrame, precision: float = PRECISION) -> tuple[Boosted, d
     model = Boosted(cells)
     thresholds: dict[int, float] = {}
     for rank in range(len(KINDS)):
-        held = sorted(((model.score({n: r[n] for n in FEATURES}), r["n"], r["k"]) for r in counted if r["_held"] and r["kind"] == rank), reverse=True)
-        rows = right = 0
-        for i, (score, n, k) in enumerate(held):
-            rows, right = rows + n, right + k
+        held = sorted(((model.score({n: r[n] for n in FEATURES}), r["n"], r["k"], r["free"], r["free_k"]) for r in counted if r["_held"] and r["kind"] == rank), reverse=True)
+        rows = right = free = free_right = 0
+        for i, (score, n, k, f, fk) in enumerate(held):
+            rows, right, free, free_right = rows + n, right + k, free + f, free_right + fk
             last = i + 1 == len(held) or held[i + 1][0] < score
-            if last and lower_bound(right, rows) >= precision:
+            if last and lower_bound(right, rows) >= precision and free_right >= precision * free:
                 thresholds[rank] = score
     return model, thresholds
 
@@ -224,7 +249,7 @@ def added_spans(found: DataFrame) -> DataFrame:
     rows = found.select("_row", "_held", F.explode("candidates").alias("c"))
     model, thresholds = fit(rows)
     least = F.array(*[F.lit(thresholds.get(rank, math.inf) - 1e-9) for rank in range(len(KINDS))])
-    kept = rows.where(~F.col("c.taken")).where(model.column(F.col("c.f")) >= F.get(least, F.col("c.rank")))
+    kept = rows.where(~F.col("c.taken") & F.col("c.valid")).where(model.column(F.col("c.f")) >= F.get(least, F.col("c.rank")))
     span = F.struct("c.start", "c.rank", "c.kind", "c.end")
     return kept.select("_row", span.alias("s")).distinct().groupBy("_row").agg(F.collect_list("s").alias("added"))
 
