@@ -1,8 +1,8 @@
 """Secret scanning: strong patterns, and weak parts that count only beside their complement.
 
 Strong spans (an assignment to a secret's name, an access id, a long hex string) are always
-reported.  Weak parts (a login or short access id; a short assigned secret or short hex
-string; an address) are reported only when an identifier and a secret stand within
+reported.  Weak parts (a login or short access id; a short assigned secret, short hex
+string, value of a key's name or run of mixed case and digits; an address) are reported only when an identifier and a secret stand within
 ``REACH`` code points of each other in one document; an address joins them when it is that
 close to a linked secret.  The interval join runs on (row, block of ``REACH`` code points):
 spans of a pattern don't overlap and have a least length, so a block holds few of them and
@@ -27,9 +27,15 @@ STRONG = {
     "hex": "[0-9a-f]{32,}",
 }
 WEAK = {
-    "ident": r"""(?<![A-Za-z])(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}|AKIA[A-Z0-9]{4,11}(?![A-Z0-9])""",
+    "ident": r"""(?<![A-Za-z])(?i:user(?:_?name)?|login|client_?id|account(?:_?name)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}|AKIA[A-Z0-9]{4,11}(?![A-Z0-9])""",
     "weak": "(?<![0-9a-f])[0-9a-f]{16,31}(?![0-9a-f])",
-    "endpoint": r"""[a-z][a-z0-9+]{1,15}://[^\s"'<>]{3,}|(?<![A-Za-z])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{3,}""",
+    "endpoint": r"""[A-Za-z][A-Za-z0-9+]{1,15}://[^\s"'<>]{3,}|(?<![A-Za-z])(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{3,}""",
+}
+#: Reported as weak: values of key names that ``ASSIGN`` doesn't take, and unassigned runs of
+#: lower and upper case and digits, each of whose looks ahead passes a run once.
+KEYS = {
+    "keyed": r"""(?i:access_?key|account_?key|shared_?key|master_?key|storage_?key|auth_?key|private_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_-]{8,}+={0,2}""",
+    "mixed": "(?<![A-Za-z0-9+/_-])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}",
 }
 RANK = {kind: i for i, kind in enumerate((*STRONG, *WEAK))}
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -43,12 +49,16 @@ def find_parts(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns but the text, with ``_row``, ``base`` (strong spans) and ``parts`` (weak ones)."""
     keyed = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     keyed = keyed.withColumn("_row", row_key(keyed, "_text"))
-    found = add_matches(keyed, "_text", {**STRONG, **WEAK})
+    found = add_matches(keyed, "_text", {**STRONG, **WEAK, **KEYS})
     spans = {k: of_kind(F.col(k), k, RANK[k]) for k in (*STRONG, *WEAK)}
     spans["assign"] = of_kind(F.filter("assign", lambda s: _value_length(s["match"]) >= 8), "assign", RANK["assign"])
     short = of_kind(F.filter("assign", lambda s: _value_length(s["match"]).between(4, 7)), "weak", RANK["weak"])
     base = F.array_sort(F.concat(*[spans[k] for k in STRONG]))
-    parts = F.array_sort(F.concat(*[spans[k] for k in WEAK], short))
+    keyed = of_kind("keyed", "weak", RANK["weak"])
+    # a run inside an assigned value or a login is no part of its own
+    mixed = F.filter(of_kind("mixed", "weak", RANK["weak"]), lambda m: ~F.exists(
+        F.concat("keyed", "ident"), lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    parts = F.array_sort(F.concat(*[spans[k] for k in WEAK], short, keyed, mixed))
     kept = [c for c in docs.columns if c != text]
     return found.select(*kept, "_row", base.alias("base"), parts.alias("parts"))
 
