@@ -45,7 +45,7 @@ def test_registered():
 
     names = entry.queries()
     assert set(Q.QUERIES) | {"pipeline"} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
     assert set(Q.ORACLE) <= set(entry.oracle_sql())
 
 
