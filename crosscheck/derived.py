@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from reldrift.operators.ordering import with_previous
 
+from . import packing
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -187,3 +189,43 @@ def package_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dependents",
         F.col("p_partkey").alias("part_key"),
     )
+
+
+# --- landed archives and the documents that name them ---------------------------------
+
+_LANDED = """
+CASE WHEN release_seq % 31 = 2 THEN 'void' WHEN release_seq % 29 = 7 THEN 'unknown'
+     WHEN release_seq % 23 = 5 THEN 'missing' WHEN release_seq % 19 = 3 THEN 'damaged' ELSE 'sound' END
+"""
+
+
+def newest_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest releases of each package: (name, release_seq, version, age), age 1 the newest."""
+    from pyspark.sql import Window
+
+    newest = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("release_seq")))
+    return releases(spark, sf_dir).select("name", "release_seq", "version", newest.alias("age")).where("age <= 3")
+
+
+def landed_archives(given: DataFrame) -> DataFrame:
+    """(file, content) of releases with files: sound ones, damaged ones, files of no known format and empty ones."""
+    fate = given.withColumn("fate", F.expr(_LANDED)).where("fate <> 'missing'")
+    packed = packing.pack(fate.select(F.concat_ws("@", "name", "version").alias("file"), "fate", "files"))
+    content = (
+        F.when(F.col("fate") == "void", F.lit(b""))
+        .when(F.col("fate") == "unknown", F.lit(b"no archive"))
+        .when(F.col("fate") == "damaged", F.overlay("content", F.lit(bytes(20)), 51))
+        .otherwise(F.col("content"))
+    )
+    return packed.select("file", content.alias("content"))
+
+
+def cycle_documents(newest: DataFrame, age: int) -> DataFrame:
+    """The documents a registry lands when the release of that age is the newest."""
+    known = newest.where(F.col("age") >= age)
+    address = F.concat(F.lit('"'), "version", F.lit('":{"dist":{"tarball":"land://'), "name", F.lit("@"), "version", F.lit('"}}'))
+    listed = known.groupBy("name").agg(
+        F.array_join(F.collect_list(address), ",").alias("listed"), F.max(F.struct("release_seq", "version")).alias("last")
+    )
+    body = F.concat(F.lit('{"dist-tags":{"latest":"'), "last.version", F.lit('"},"versions":{'), "listed", F.lit("}}"))
+    return listed.select(F.lit("npm").alias("ecosystem"), "name", body.alias("body"))

@@ -188,8 +188,7 @@ SIGNALS = """signals AS (
       WHEN 3 THEN 'Package version introduced high-entropy string(s) consistent with encoded payloads'
       ELSE 'Package version added install-time execution hook' END AS description,
     string_agg(token, chr(10) ORDER BY file_ord, pos) AS evidence,
-    string_agg(token, ', ' ORDER BY file_ord, pos) AS evidence_comma,
-    first(token ORDER BY file_ord, pos) AS first_token,
+    string_agg(token, ', ' ORDER BY file_ord, pos) AS evidence_comma, list(token ORDER BY file_ord, pos) AS evidence_list,
     CAST(max(weight) AS INTEGER) AS weight
   FROM evidence GROUP BY ALL)"""
 
@@ -203,8 +202,7 @@ SEVERITY = """findings AS (
       CAST(sum(weight) AS BIGINT) AS total_weight, string_agg(kind, ',' ORDER BY kind_ord) AS kinds,
       string_agg(evidence, chr(10) ORDER BY kind_ord) AS evidence,
       string_agg(concat(kind, ': ', description, ' (', evidence_comma, '). '), '' ORDER BY kind_ord) AS sentences,
-      first(kind ORDER BY kind_ord) AS first_kind, first(weight ORDER BY kind_ord) AS first_weight,
-      first(first_token ORDER BY kind_ord) AS first_evidence
+      list({'kind': kind, 'description': description, 'evidence': evidence_list, 'weight': weight} ORDER BY kind_ord) AS documents
     FROM signals GROUP BY ecosystem, name, version, prev_version))"""
 
 _DIFF = [
@@ -306,6 +304,38 @@ _RESOLVED = _RESOLVED.replace(
     "concat('https://crates.io', nullif(", "('https://crates.io' || ("
 ).replace("[1].dl_path, ''))", "[1].dl_path))")
 
+# --- landed archives and whole cycles --------------------------------------------------------
+
+_FATES = """fates AS (SELECT release_seq, CASE WHEN release_seq % 31 = 2 THEN 'void' WHEN release_seq % 29 = 7 THEN 'unknown'
+    WHEN release_seq % 23 = 5 THEN 'missing' WHEN release_seq % 19 = 3 THEN 'damaged' ELSE 'sound' END AS fate FROM releases)"""
+_CYCLES = [
+    RELEASES.replace("releases AS", "all_releases AS"),
+    "releases AS (SELECT 'npm' AS ecosystem, * EXCLUDE (ecosystem) FROM all_releases)", _FATES, FILES,
+    STRIPPED.replace("WHERE ", "JOIN fates USING (release_seq) WHERE fate = 'sound' AND ", 1),
+    TOKENS, *_host_ctes("(SELECT token FROM tokens WHERE kind = 'url')", "token"), *_LITERAL_CTES,
+    """aged AS (SELECT * FROM (SELECT name, version, release_seq, fate, row_number() OVER (PARTITION BY name ORDER BY release_seq DESC) AS age
+    FROM releases JOIN fates USING (release_seq)) WHERE age <= 3)""",
+    """compared AS (SELECT 'npm' AS ecosystem, n.name, n.version, p.version AS prev_version, n.release_seq, 4 - n.age AS cycle, n.fate, p.fate AS prev_fate
+    FROM aged n JOIN aged p ON n.name = p.name AND p.age = n.age + 1)""",
+    "pairs AS (SELECT * FROM compared WHERE fate <> 'damaged' AND prev_fate <> 'damaged')",
+    ADDED, KEPT, SIGNALS, SEVERITY,
+    """tried AS (SELECT DISTINCT name, version, fate, cycle FROM (SELECT name, version, fate, cycle FROM compared
+    UNION ALL SELECT name, prev_version, prev_fate, cycle FROM compared) WHERE fate NOT IN ('missing', 'void'))""",
+    """opened AS (SELECT t.* FROM tried t WHERE NOT EXISTS (SELECT 1 FROM tried e
+    WHERE e.name = t.name AND e.version = t.version AND e.cycle < t.cycle AND e.fate <> 'damaged'))""",
+]
+_CYCLE_STATE = """
+SELECT 'opened' AS part, concat('land://', name, '@', version) AS item, CAST(cycle AS VARCHAR) AS cycle,
+  CASE fate WHEN 'sound' THEN 'ok' WHEN 'damaged' THEN 'error' ELSE 'empty' END AS detail FROM opened
+UNION ALL SELECT 'rejected', concat('land://', name, '@', version), CAST(cycle AS VARCHAR),
+  CASE fate WHEN 'damaged' THEN 'damaged archive' ELSE 'unknown format' END FROM opened WHERE fate <> 'sound'
+UNION ALL SELECT 'finding', concat(f.name, '@', f.version), CAST(p.cycle AS VARCHAR), concat(CAST(severity AS VARCHAR), chr(10), f.prev_version, chr(10), evidence)
+  FROM findings f JOIN pairs p USING (name, version)
+UNION ALL SELECT 'scanned', concat(name, '@', version), CAST(cycle AS VARCHAR), prev_version FROM pairs
+UNION ALL SELECT 'watched', name, '3', version FROM aged WHERE age = 1
+UNION ALL SELECT 'evidence', kind, '', CAST(count(*) AS VARCHAR) FROM evidence GROUP BY kind
+UNION ALL SELECT 'statistics', '', '', concat((SELECT count(DISTINCT name) FROM aged), ',', (SELECT count(*) FROM pairs), ',', (SELECT count(*) FROM findings))"""
+
 # --- ranking --------------------------------------------------------------------------------
 
 _TOP = f"""SELECT ecosystem, CAST(rank AS INTEGER) AS rank, name FROM (
@@ -339,8 +369,11 @@ ORACLE = {
     "scannable_files": _with(RELEASES, FILES, select=f"""SELECT release_seq, file_ord, path,
   {_TEXT} AS is_text, {_SCANNABLE} AS is_scannable, {_LANGUAGE} AS language FROM release_files"""),
     "strip_comments": _with(RELEASES, FILES, STRIPPED, select="SELECT release_seq, file_ord, content AS stripped FROM stripped"),
-    "release_text": _with(RELEASES, FILES, STRIPPED, select="""SELECT ecosystem, name, version,
-  string_agg(concat(content, chr(10)), '' ORDER BY file_ord) AS text FROM stripped GROUP BY ecosystem, name, version"""),
+    "release_text": _with(RELEASES, FILES, STRIPPED, select="""SELECT ecosystem, name, version, file_ord, 0 AS part,
+  concat(content, chr(10)) AS text FROM stripped"""),
+    "nul_literals": _with(RELEASES, """tokens AS (SELECT release_seq, 'literal' AS kind, concat('"', to_base64(unhex(concat(sha256(version),
+    substring(sha256(concat('x', version)), 1, 48)))), CASE WHEN release_seq % 3 = 0 THEN chr(0) ELSE '' END, '"') AS token FROM releases)""",
+        *_LITERAL_CTES, select="SELECT release_seq, strlen(token) AS bytes, token IN (SELECT token FROM suspicious) AS signals FROM tokens"),
     "url_tokens": _release_tokens("url"),
     "import_tokens": _release_tokens("import"),
     "literal_tokens": _release_tokens("literal"),
@@ -403,16 +436,23 @@ ORACLE = {
   (SELECT count(*) FROM pairs) AS versions_scanned, (SELECT count(*) FROM findings) AS findings_total"""),
     "feed_items": _diff(_FEED + "findings"),
     "newest_feed": _diff(_FEED + _NEWEST),
-    "findings_json": _diff(f"""SELECT {_PAIR}, '' AS source_url, CAST(severity AS VARCHAR) AS severity,
-  strftime(analyzed_at, '%Y-%m-%dT%H:%M:%SZ') AS analyzed_at, first_kind, CAST(first_weight AS VARCHAR) AS first_weight, first_evidence FROM findings"""),
+    "findings_json": _diff(f"""SELECT {_PAIR}, CAST(to_json({{'package': {{'ecosystem': ecosystem, 'name': name, 'version': version, 'source_url': ''}},
+  'prev_version': prev_version, 'signals': documents, 'severity': severity, 'analyzed_at': strftime(analyzed_at, '%Y-%m-%dT%H:%M:%SZ')}}) AS VARCHAR) AS json FROM findings"""),
     "signals_json_roundtrip": _diff(_FLAT + "findings"),
     "top_names": _TOP,
     "allowlist_roundtrip": _TOP,
+    "allowlist_scan": f"SELECT * FROM ({_TOP}) WHERE ecosystem <> 'nuget'",
+    "archive_scan": _with(RELEASES, FILES, _FATES, select=f"""SELECT concat('land://', name, '@', version) AS source_url,
+  CASE fate WHEN 'sound' THEN 'ok' WHEN 'damaged' THEN 'error' ELSE 'empty' END AS archive_status,
+  CASE WHEN fate = 'sound' THEN file_ord END AS file_ord, CASE WHEN fate = 'sound' THEN path END AS path, CASE WHEN fate = 'sound' THEN content END AS content
+  FROM release_files JOIN fates USING (release_seq) WHERE fate NOT IN ('missing', 'void') AND {_SCANNABLE} AND (fate = 'sound' OR file_ord = 0)"""),
+    "run_cycle": _with(*_CYCLES, select=_CYCLE_STATE),
     "archive_files": _with(RELEASES, FILES, select=f"SELECT ecosystem, name, version, file_ord, path, content FROM release_files WHERE {_SCANNABLE}"),
     "stored_findings": _diff(_FLAT + "findings"),
     "recent_stored_findings": _diff(_FLAT + _NEWEST),
     "stored_scan_log": _with(RELEASES, PAIRS, select="SELECT ecosystem, count(*) AS versions_scanned FROM pairs GROUP BY ecosystem"),
     "stream_version_changes": _with(POLLS, SEEN, select=_CHANGES),
+    "stream_last_seen": _with(POLLS, SEEN, WATCHED, select="SELECT ecosystem, name, last_version, epoch_us(updated_at) AS updated_us FROM watched"),
     "stream_changes_stateful": _with(POLLS, SEEN, select=_CHANGES),
     "stream_findings": _diff(_FLAT + "findings"),
 }

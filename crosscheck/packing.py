@@ -30,6 +30,23 @@ def pack(releases: DataFrame) -> DataFrame:
     return releases.mapInPandas(pack_batches, schema)
 
 
+def land(named: DataFrame, folder: str) -> DataFrame:
+    """(file, content) -> one file each below ``folder``, written by the tasks; gives (file, length)."""
+
+    def write_batches(batches):
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system.create_dir(place)
+        for batch in batches:
+            for file, content in zip(batch["file"], batch["content"]):
+                with system.open_output_stream(f"{place}/{file}") as out:
+                    out.write(bytes(content))
+            yield batch[["file"]].assign(length=[len(c) for c in batch["content"]])
+
+    return named.select("file", "content").mapInPandas(write_batches, "file string, length bigint")
+
+
 def _tar_bytes(files) -> bytes:
     buffer = io.BytesIO()
     with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as archive:

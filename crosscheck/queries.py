@@ -15,8 +15,8 @@ from reldrift.operators import changes, diffing, ranking, readmodels, registry,
 from reldrift.plans import jobs
 from reldrift.schemas import PAIR, RELEASE
 from reldrift.session import materialize, new_path
-from reldrift.sources import allowlists, archives, tables
-from reldrift.streaming.changes import stream_changes_by_batch
+from reldrift.sources import allowlists, archive_tokens, archives, lastseen, tables
+from reldrift.streaming.changes import ROCKSDB, stream_changes_by_batch
 from reldrift.streaming.changes import stream_version_changes as changes_stream
 from reldrift.streaming.findings import stream_findings as findings_stream
 
@@ -51,7 +51,8 @@ def strip_comments(spark, sf):
 
 
 def release_text(spark, sf):
-    return tokens.release_text(derived.release_files(spark, sf))
+    pieces = tokens.release_text(derived.release_files(spark, sf))
+    return pieces.select("ecosystem", "name", "version", "chunk.file_ord", "chunk.part", "text")
 
 
 # --- tokens ------------------------------------------------------------------
@@ -96,7 +97,7 @@ def string_entropy(spark, sf):
         F.md5("run").alias("run_md5"),
         F.round(entropy.shannon_entropy(F.col("run")), 9).alias("run_entropy"),
         F.round(entropy.shannon_entropy(F.col("text")), 9).alias("text_entropy"),
-        entropy.is_high_entropy(F.col("text")).alias("is_high"),
+        entropy.is_high_entropy_run(F.col("run")).alias("is_high"),
     )
 
 
@@ -107,6 +108,15 @@ def high_entropy_literals(spark, sf):
     return kept.select("release_seq", "file_ord", "pos", "token")
 
 
+def nul_literals(spark, sf):
+    """Literals of high entropy, some with a NUL, which are data and no payload."""
+    blob = F.base64(F.unhex(F.concat(F.sha2("version", 256), F.expr("substring(sha2(concat('x', version), 256), 1, 48)"))))
+    nul = F.when(F.col("release_seq") % 3 == 0, F.lit("\u0000")).otherwise(F.lit(""))
+    rows = derived.releases(spark, sf).select("release_seq", F.concat(F.lit('"'), blob, nul, F.lit('"')).alias("content"))
+    found = tokens.extract_tokens(rows, ("literal",))
+    return found.select("release_seq", F.octet_length("token").cast("long").alias("bytes"), tokens.may_signal(F.col("kind"), F.col("token")).alias("signals"))
+
+
 # --- diff ----------------------------------------------------------------------
 
 
@@ -274,7 +284,7 @@ def detect_changes(spark, sf):
     seen = docs.groupBy("ecosystem", "name").agg(F.max_by("last_seen", "release_seq").alias("last_version"))
     watched = seen.where("last_version <> ''").withColumn("updated_at", F.timestamp_seconds(F.lit(0)))
     now = datetime(2024, 2, 1, tzinfo=timezone.utc)
-    pairs, _ = jobs.detect_changes(docs.select("ecosystem", "name", "landed_at", "body"), watched, now)
+    pairs, _ = jobs.detect_changes(docs.select("ecosystem", "name", "landed_at", "body"), lambda packages: watched, now)
     return pairs
 
 
@@ -306,17 +316,8 @@ def newest_feed(spark, sf):
 
 
 def findings_json(spark, sf):
-    rows = readmodels.findings_json(_findings(spark, sf))
-    field = lambda path: F.get_json_object("json", path)
-    return rows.select(
-        *PAIR,
-        field("$.package.source_url").alias("source_url"),
-        field("$.severity").alias("severity"),
-        field("$.analyzed_at").alias("analyzed_at"),
-        field("$.signals[0].kind").alias("first_kind"),
-        field("$.signals[0].weight").alias("first_weight"),
-        field("$.signals[0].evidence[0]").alias("first_evidence"),
-    )
+    """The whole document of each finding."""
+    return readmodels.findings_json(_findings(spark, sf))
 
 
 def signals_json_roundtrip(spark, sf):
@@ -332,6 +333,15 @@ def top_names(spark, sf):
     return ranking.top_names(derived.package_ranking(spark, sf))
 
 
+def allowlist_scan(spark, sf):
+    """Landed lists read back, one of them broken off: it counts as empty."""
+    folder = new_path(spark, "landed-lists")
+    whole = allowlists.allowlist_documents(ranking.top_names(derived.package_ranking(spark, sf)))
+    text = F.when(F.col("ecosystem") == "nuget", F.expr("left(value, length(value) - 3)")).otherwise(F.col("value"))
+    materialize(packing.land(whole.select(F.concat("ecosystem", F.lit(".json")).alias("file"), text.cast("binary").alias("content")), folder), "landed")
+    return allowlists.read_allowlists(spark, folder)
+
+
 def allowlist_roundtrip(spark, sf):
     folder = new_path(spark, "lists")
     jobs.build_lists(derived.package_ranking(spark, sf), folder)
@@ -372,12 +382,55 @@ def stored_findings(spark, sf):
 
 
 def recent_stored_findings(spark, sf):
-    """The newest findings picked out of a stored table."""
+    """The newest findings picked out of a stored table, its days opened from the newest back."""
     root = new_path(spark, "state")
-    tables.write_findings(_findings(spark, sf), root, "one")
+    tables.write_findings(_new_tokens(spark, sf), _analyzed_at(), root, "one")
     return _flat(tables.recent_stored_findings(spark, root, 50))
 
 
+def _landed(spark, given):
+    """Archives landed as files, and the listing of them: (source_url, source_path, length)."""
+    folder = new_path(spark, "landed")
+    materialize(packing.land(derived.landed_archives(given), folder), "landed-names")
+    listed = archives.scan_archives(spark, folder)
+    file = F.regexp_extract(F.url_decode("source_path"), r"([^/]*)\z", 1)
+    return listed.withColumn("source_url", F.concat(F.lit("land://"), file))
+
+
+def archive_scan(spark, sf):
+    """Archives read by path, dealt out by bytes: damaged ones, unknown formats and empty files among them."""
+    listed = _landed(spark, derived.releases_with_files(spark, sf))
+    rows = archives.unpack(archives.by_bytes(listed, 1 << 18).select("source_url", "source_path"))
+    return rows.select("source_url", "archive_status", "file_ord", "path", "content")
+
+
+def run_cycle(spark, sf):
+    """Three whole cycles on one state: what they opened, found, counted and saw last."""
+    newest = materialize(derived.newest_releases(spark, sf), "newest")
+    with_files = derived.releases_with_files(spark, sf).join(newest.select("release_seq"), "release_seq", "left_semi")
+    listed, root = materialize(_landed(spark, with_files), "listed"), new_path(spark, "state")
+    for cycle in (1, 2, 3):
+        docs = materialize(derived.cycle_documents(newest, 4 - cycle), "documents")
+        now = datetime(2024, 2, cycle, tzinfo=timezone.utc)
+        jobs.run_cycle(spark, root, str(cycle), str(cycle - 1) if cycle > 1 else None, docs, listed, now)
+    found = tables.read_findings(spark, root)
+    evidence = F.flatten(F.transform("signals", lambda s: s["evidence"]))
+    parts = [
+        archive_tokens.outcomes(spark, root).select(F.lit("opened").alias("part"), F.col("source_url").alias("item"), "cycle", F.col("archive_status").alias("detail")),
+        archive_tokens.rejected(spark, root).select(F.lit("rejected"), "source_url", "cycle", "reason"),
+        found.select(F.lit("finding"), F.concat_ws("@", "name", "version"), F.dayofmonth("analyzed_at").cast("string"),
+                     F.concat_ws("\n", F.col("severity").cast("string"), "prev_version", _lines(evidence))),
+        tables.read_scan_log(spark, root).select(F.lit("scanned"), F.concat_ws("@", "name", "version"), F.dayofmonth("analyzed_at").cast("string"), "prev_version"),
+        tables.read_watched(spark, root, "3").select(F.lit("watched"), "name", F.dayofmonth("updated_at").cast("string"), "last_version"),
+        tables.read_evidence(spark, root).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("evidence"), "kind", F.lit(""), F.col("n").cast("string")),
+        tables.read_statistics(spark, root).select(F.lit("statistics"), F.lit(""), F.lit(""), F.concat_ws(",", "packages_watched", "versions_scanned", "findings_total")),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    return rows
+
+
 def stored_scan_log(spark, sf):
     """Every compared pair is counted once, clean or flagged."""
     root = new_path(spark, "state")
@@ -388,29 +441,46 @@ def stored_scan_log(spark, sf):
     return tables.read_scan_log(spark, root).groupBy("ecosystem").agg(F.count("*").alias("versions_scanned"))
 
 
-def _poll_stream(spark, sf):
-    batch = derived.table(spark, sf, "events")
-    events = (
-        spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    )
-    return events.select(
-        F.lit("npm").alias("ecosystem"), F.col("user_id").cast("string").alias("name"),
-        F.col("event_type").alias("latest"), F.col("ts").alias("polled_at"), "event_id",
-    )
+_STREAM_PARTS = 4
+
+
+def _landed_in_parts(rows: DataFrame, folder: str, parts: int):
+    """A stream of ``rows``, whose column ``part`` tells the file each lands in, one file a batch."""
+    for part in range(parts):  # one after the other, as the source takes files by their time
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    schema = rows.drop("part").schema
+    return rows.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _poll_stream(spark, folder, sf):
+    polls = derived.polls(spark, sf)
+    bounds = polls.agg(F.percentile_approx(F.unix_micros(F.col("polled_at").cast("timestamp")), [0.25, 0.5, 0.75]).alias("b")).head()["b"] or []
+    at = F.unix_micros(F.col("polled_at").cast("timestamp"))
+    part = sum([(at > F.lit(b)).cast("int") for b in bounds], F.lit(0))
+    return _landed_in_parts(materialize(polls.withColumn("part", part), "polls"), folder, _STREAM_PARTS)
 
 
 def stream_version_changes(spark, sf):
-    """Micro-batches through the batch operators, last-seen table kept as snapshots."""
+    """Four micro-batches through the batch operators; the last-seen table grows by runs, which are merged."""
     root = new_path(spark, "stream-changes")
-    stream_changes_by_batch(_poll_stream(spark, sf), root, f"{root}/checkpoint").awaitTermination()
+    stream_changes_by_batch(_poll_stream(spark, f"{root}/polls", sf), root, f"{root}/checkpoint").awaitTermination()
     return _change_columns(spark.read.parquet(f"{root}/changes"))
 
 
+def stream_last_seen(spark, sf):
+    """The last-seen table after four micro-batches, read from its runs."""
+    root = new_path(spark, "stream-changes")
+    stream_changes_by_batch(_poll_stream(spark, f"{root}/polls", sf), root, f"{root}/checkpoint").awaitTermination()
+    rows = lastseen.LastSeen(spark, root).snapshot()
+    return rows.select("ecosystem", "name", "last_version", _micros("updated_at").alias("updated_us"))
+
+
 def stream_changes_stateful(spark, sf):
     """The same with the last version as operator state."""
     out = new_path(spark, "stream-changes")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     query = (
-        changes_stream(_poll_stream(spark, sf)).writeStream.format("parquet").option("path", f"{out}/rows")
+        changes_stream(_poll_stream(spark, f"{out}/polls", sf)).writeStream.format("parquet").option("path", f"{out}/rows")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -420,15 +490,14 @@ def stream_changes_stateful(spark, sf):
 def stream_findings(spark, sf):
     """Release pairs as a stream of files, diffed batch by batch, read back from the store."""
     root = new_path(spark, "stream-findings")
-    pairs = _pairs_with_addresses(spark, sf)
-    pairs.write.parquet(f"{root}/pairs")
+    pairs = materialize(_pairs_with_addresses(spark, sf).withColumn("part", F.pmod(F.xxhash64("name"), F.lit(3)).cast("int")), "pairs")
     text = tokens.strip_files(tokens.scannable_files(derived.release_files(spark, sf)))
     found = tokens.extract_tokens(text.select(
         F.concat_ws("/", "ecosystem", "name", "version").alias("source_url"),
         F.lit(archives.OK).alias("archive_status"), "file_ord", "content",
     ))
     found = materialize(found.where(tokens.may_signal(F.col("kind"), F.col("token"))), "archive-tokens")
-    source = spark.readStream.schema(pairs.schema).parquet(f"{root}/pairs")
+    source = _landed_in_parts(pairs, f"{root}/pairs", 3)
     query = findings_stream(source, lambda batch: found, root, f"{root}/checkpoint")
     query.awaitTermination()
     return _flat(tables.read_findings(spark, root))
@@ -446,6 +515,7 @@ QUERIES = {
     "url_classify": url_classify,
     "string_entropy": string_entropy,
     "high_entropy_literals": high_entropy_literals,
+    "nul_literals": nul_literals,
     "release_pairs": release_pairs,
     "new_urls": _new("url"),
     "new_imports": _new("import"),
@@ -476,11 +546,15 @@ QUERIES = {
     "signals_json_roundtrip": signals_json_roundtrip,
     "top_names": top_names,
     "allowlist_roundtrip": allowlist_roundtrip,
+    "allowlist_scan": allowlist_scan,
+    "archive_scan": archive_scan,
+    "run_cycle": run_cycle,
     "archive_files": archive_files,
     "stored_findings": stored_findings,
     "recent_stored_findings": recent_stored_findings,
     "stored_scan_log": stored_scan_log,
     "stream_version_changes": stream_version_changes,
+    "stream_last_seen": stream_last_seen,
     "stream_changes_stateful": stream_changes_stateful,
     "stream_findings": stream_findings,
 }

@@ -32,41 +32,31 @@ def _k_log_k(count: Column) -> Column:
 
 
 def _weighted(text: Column) -> Column:
-    """sum(k*log2(k)) as one fold over the sorted characters."""
-    start = F.struct(
-        F.lit("").alias("char"), F.lit(0.0).alias("count"), F.lit(0.0).alias("weighted")
-    )
-
-    def closed(state: Column) -> Column:
-        return state["weighted"] + _k_log_k(state["count"])
+    """sum(k*log2(k)): sorted, equal characters stand side by side, and a run's length is a count."""
+    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*+"), F.lit(0))
+    return F.aggregate(runs, F.lit(0.0), lambda total, run: total + _k_log_k(F.char_length(run).cast("double")))
 
-    def step(state: Column, char: Column) -> Column:
-        same = state["char"] == char
-        return F.struct(
-            char.alias("char"),
-            F.when(same, state["count"] + 1.0).otherwise(1.0).alias("count"),
-            F.when(same, state["weighted"]).otherwise(closed(state)).alias("weighted"),
-        )
 
-    return F.aggregate(F.sort_array(F.split(text, "")), start, step, closed)
+def is_high_entropy(text: Column) -> Column:
+    """Whether the longest run is one of high entropy."""
+    return F.when(F.octet_length(text) < P.MIN_RUN_BYTES, False).otherwise(let(longest_encoded_run(text), is_high_entropy_run))
 
 
-def is_high_entropy(text: Column) -> Column:
-    """The longest run is at least 24 bytes and carries more than 5 bits per character.
+def is_high_entropy_run(run: Column) -> Column:
+    """Whether an encoded run has at least 24 bytes and carries more than 5 bits per character.
 
     A text with d different characters has at most log2(d) bits per character, so the
     sum is only taken over runs with more than 32 of them.  Rounded before the
     comparison: the last digits depend on summation order.
     """
     enough = int(2 ** P.ENTROPY_THRESHOLD)
-    different = lambda run: F.size(F.array_distinct(F.split(run, "")))
-    return F.when(F.octet_length(text) <= enough, False).otherwise(
-        let(
-            longest_encoded_run(text),
-            lambda run: F.when(F.octet_length(run) < P.MIN_RUN_BYTES, False)
-            .when(different(run) <= enough, False)
-            .otherwise(F.round(shannon_entropy(run), 9) > P.ENTROPY_THRESHOLD),
-        )
+    different = F.size(F.array_distinct(F.split(run, "")))
+    return (
+        F.when(F.octet_length(run) < P.MIN_RUN_BYTES, False)
+        .when(F.octet_length(run) <= enough, False)
+        .when(different <= enough, False)
+        .otherwise(F.round(shannon_entropy(run), 9) > P.ENTROPY_THRESHOLD)
     )
 
 

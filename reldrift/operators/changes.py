@@ -1,8 +1,9 @@
 """Version changes over a poll log, and the last-seen table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import membership, registry
 from .ordering import with_previous
 
 KEY = ("ecosystem", "name")
@@ -66,14 +67,42 @@ def changed_only(latest_with_last_seen: DataFrame) -> DataFrame:
     )
 
 
-def newest_documents(docs: DataFrame) -> DataFrame:
-    """One landed document per package: the one that landed last, or the greatest body of a tie.
+def body_digest() -> Column:
+    """Tells the documents of a package apart without carrying them."""
+    return F.sha2("body", 256)
 
-    Documents without ``landed_at`` count as landed first.
+
+def newest_latest(docs: DataFrame) -> DataFrame:
+    """(ecosystem, name, latest, digest) of the newest landed document of each package.
+
+    That is the one that landed last, or the one of the greatest digest in a tie; documents
+    without ``landed_at`` count as landed first.  Bodies are parsed where they are read and
+    only narrow rows are shuffled.  Packages whose newest document is unusable are left out.
     """
     landed = F.col("landed_at") if "landed_at" in docs.columns else F.lit(None).cast("timestamp")
-    newest = F.max(F.struct(landed.alias("landed_at"), F.col("body"))).alias("_d")
-    return docs.groupBy(*KEY).agg(newest).select(*KEY, "_d.body")
+    narrow = registry.outcomes(docs).select(*KEY, F.struct(landed.alias("landed_at"), body_digest().alias("digest"), "latest").alias("_d"))
+    newest = narrow.groupBy(*KEY).agg(F.max("_d").alias("_d"))
+    return newest.where(F.col("_d.latest") != "").select(*KEY, "_d.latest", "_d.digest")
+
+
+def documents_of(docs: DataFrame, packages: DataFrame) -> DataFrame:
+    """The rows of ``packages`` (ecosystem, name, digest, ...) with the bodies their digests name.
+
+    A bitmap of the digests rules out all other documents where they are read, so only
+    bodies that are asked for reach the join.
+    """
+    keyed = docs.select(*KEY, "body", body_digest().alias("digest"))
+    address = F.xxhash64(*KEY, "digest")
+    near = membership.may_be_in(keyed, address, membership.bitmap_of(packages, address))
+    return near.dropDuplicates([*KEY, "digest"]).join(packages, [*KEY, "digest"]).drop("digest")
+
+
+def moved(latest_with_last_seen: DataFrame, now) -> DataFrame:
+    """What a poll changes in the last-seen table: first sights and other versions, with the time."""
+    new = F.col("latest") != F.col("last_seen")
+    return latest_with_last_seen.where(new).select(
+        *KEY, F.col("latest").alias("last_version"), F.lit(now).cast("timestamp").alias("updated_at")
+    )
 
 
 def upsert_watched(watched: DataFrame, latest: DataFrame, now) -> DataFrame:

@@ -106,6 +106,22 @@ def score_releases(new: DataFrame) -> DataFrame:
     )
 
 
+def summaries(new: DataFrame) -> DataFrame:
+    """New tokens -> (pair, severity, signals), where a signal has kind, description and weight.
+
+    A finding without its evidence: four maxima per pair, whatever the release holds.
+    """
+    grouped = _weighed(new).groupBy(*PAIR).agg(*_kind_weights())
+    found = F.array(*[
+        F.when(
+            F.col(f"_{kind}_weight").isNotNull(),
+            F.struct(F.lit(name).alias("kind"), F.lit(text).alias("description"), F.col(f"_{kind}_weight").alias("weight")),
+        )
+        for kind, (_, name, text, _) in P.SIGNALS.items()
+    ])
+    return grouped.select(*PAIR, severity(_total_weight()).alias("severity"), F.filter(found, lambda s: s.isNotNull()).alias("signals"))
+
+
 def find(new: DataFrame) -> DataFrame:
     """New tokens -> one scored finding per release pair, with all its evidence nested.
 

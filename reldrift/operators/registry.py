@@ -90,6 +90,12 @@ def _bad_coordinate() -> Column:
     )
 
 
+def outcomes(docs: DataFrame) -> DataFrame:
+    """Add ``latest``: NULL for a malformed coordinate or document, '' where none is named."""
+    latest = F.when(~_bad_coordinate(), F.col("_o.latest"))
+    return _with_outcome(docs).withColumn("latest", latest).drop("_o")
+
+
 def registry_latest(docs: DataFrame) -> DataFrame:
     """Add ``latest``; broken, empty and malformed documents are dropped.
 

@@ -79,12 +79,23 @@ def release_tokens(
     return tokens.where(may_signal(F.col("kind"), F.col("token")))
 
 
-def release_text(files: DataFrame) -> DataFrame:
-    """The comment-free text of a whole release, files in order, each ended by a line feed.
+def release_text(files: DataFrame, chunk_chars: int = 1 << 20) -> DataFrame:
+    """(ecosystem, name, version, chunk, text): the comment-free text of releases, in pieces.
 
-    A view for reading single releases; no other operator needs the text in one piece.
+    Files stand in order, each ended by a line feed; the pieces of a release, in the order of
+    their chunks, are its text.  A chunk is part of one file and tells its place as
+    (file_ord, part), so nothing is gathered, however large a release or a file is.
     """
-    text = strip_files(scannable_files(files))
-    in_order = F.sort_array(F.collect_list(F.struct("file_ord", "content")))
-    joined = F.array_join(F.transform(in_order, lambda f: F.concat(f["content"], F.lit("\n"))), "")
-    return text.groupBy("ecosystem", "name", "version").agg(joined.alias("text"))
+    text = F.concat("content", F.lit("\n"))
+    parts = F.sequence(F.lit(0), F.floor((F.char_length("_text") - 1) / chunk_chars).cast("int"))
+    cut = strip_files(scannable_files(files)).select("ecosystem", "name", "version", "file_ord", text.alias("_text"))
+    return cut.select("*", F.explode(parts).alias("part")).select(
+        "ecosystem", "name", "version", F.struct("file_ord", "part").alias("chunk"),
+        F.substring(F.col("_text"), F.col("part") * chunk_chars + 1, F.lit(chunk_chars)).alias("text"),
+    )
+
+
+def write_release_text(text: DataFrame, path: str) -> None:
+    """Pieces sorted by release and chunk across all files, so that one release is read from a few of them."""
+    order = ["ecosystem", "name", "version", "chunk"]
+    text.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)

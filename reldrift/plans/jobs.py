@@ -1,5 +1,6 @@
 """The composite jobs: detect changes, unpack, diff, score, publish, and list building."""
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -11,50 +12,50 @@ from ..functions import patterns as P
 from ..functions.comments import strip_comments
 from ..operators import changes, diffing, ranking, readmodels, registry, tokens
 from ..session import materialize, work_folder
-from ..sources import allowlists, archives, tables
+from ..sources import allowlists, archive_tokens, archives, tables
+from ..sources.lastseen import LastSeen
 
 
 def detect_changes(
-    docs: DataFrame, watched: DataFrame, now: datetime, allowlist: DataFrame | None = None
+    docs: DataFrame, last_seen: Callable[[DataFrame], DataFrame], now: datetime, allowlist: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """One poll cycle: (release pairs, last-seen table after it).
+    """One poll cycle: (release pairs, rows to set in the last-seen table).
 
     ``docs`` holds landed registry documents; of several of one package the last one landed
-    counts.  ``watched`` has one row per package.
+    counts.  ``last_seen`` gives the last-seen rows of the packages it is asked for.  Documents
+    are parsed where they are read; only those of changed packages are shuffled, for their
+    archive addresses.
     """
+    latest = changes.newest_latest(docs)
     if allowlist is not None:
-        docs = changes.restrict_to_watchlist(docs, allowlist)
-    docs = changes.newest_documents(docs)
-    # documents are wide and few of them changed: look up on names and versions alone,
-    # then go back to the documents of the changed packages for their addresses
-    latest = materialize(registry.registry_latest(docs).select(*changes.KEY, "latest"), "latest")
-    changed = changes.changed_only(changes.look_up_last_seen(latest, watched))
-    pairs = registry.resolve_changes(docs.select(*changes.KEY, "body").join(changed, list(changes.KEY)))
-    return pairs, changes.upsert_watched(watched, latest, now)
+        latest = changes.restrict_to_watchlist(latest, allowlist)
+    latest = materialize(latest, "latest")
+    looked = materialize(changes.look_up_last_seen(latest, last_seen(latest)), "looked-up")
+    changed = changes.changed_only(looked)
+    pairs = registry.resolve_changes(changes.documents_of(docs, changed))
+    return pairs, changes.moved(looked, now)
 
 
 def unpacked_tokens(packed: DataFrame) -> DataFrame:
     """(source_url, source_path or content) archives -> evidence candidates per archive.
 
-    Long rows (file texts) never leave the task that unpacked them.  A damaged archive
-    leaves one row with a NULL token to tell of it.
+    Long rows (file texts) never leave the task that unpacked them.  Rows of kind 'verdict',
+    at least one per archive, have a NULL token and tell of its status.
     """
     given = "content" if "content" in packed.columns else "source_path"
     files = archives.unpack(packed.select("source_url", given))
     text = files.withColumn("content", strip_comments(F.col("path"), F.col("content"))).drop("path", "source_path")
+    verdict = F.struct(F.lit(archive_tokens.VERDICT).alias("kind"), F.array(F.lit(None).cast("string")).alias("found"))
     found = F.array(
-        *[
-            F.struct(F.lit(kind).alias("kind"), tokens.tokens_in(F.col("content"), kind).alias("found"))
-            for kind in P.SIGNALS
-        ]
+        verdict,
+        *[F.struct(F.lit(kind).alias("kind"), tokens.tokens_in(F.col("content"), kind).alias("found")) for kind in P.SIGNALS],
     )
     rest = ["source_url", "archive_status", "file_ord"]
     rows = text.select(*rest, F.explode(found).alias("k")).select(
-        *rest, F.col("k.kind").alias("kind"), F.posexplode_outer("k.found").alias("pos", "token")
+        *rest, F.col("k.kind").alias("kind"), F.posexplode("k.found").alias("pos", "token")
     )
-    damaged = (F.col("archive_status") == archives.ERROR) & (F.col("kind") == "url")
-    candidate = F.col("token").isNotNull() & tokens.may_signal(F.col("kind"), F.col("token"))
-    return rows.where(damaged | candidate)
+    is_verdict = F.col("kind") == archive_tokens.VERDICT
+    return rows.where(is_verdict | tokens.may_signal(F.col("kind"), F.col("token")))
 
 
 @dataclass
@@ -65,14 +66,14 @@ class Diff:
     new_tokens: DataFrame  # evidence candidates found in the new release only, written
 
 
-def diff_pairs(pairs: DataFrame, archive_tokens: DataFrame) -> Diff:
+def diff_pairs(pairs: DataFrame, token_table: DataFrame) -> Diff:
     """Compare both sides of each pair through the token table of their archives.
 
     A pair with a damaged archive on either side is left out.  An address that is
     empty or has no archive is an empty text: then everything on the other side is new.
     """
     failed = (
-        archive_tokens.where(F.col("archive_status") == archives.ERROR).select("source_url").distinct()
+        token_table.where(F.col("archive_status") == archives.ERROR).select("source_url").distinct()
     )
     analysed = materialize(
         pairs.join(failed, "source_url", "left_anti")
@@ -86,7 +87,7 @@ def diff_pairs(pairs: DataFrame, archive_tokens: DataFrame) -> Diff:
         F.col("prev_source_url").alias("source_url"),
     )
     sides = new_side.unionByName(old_side).where(F.col("source_url") != "").distinct()
-    found = archive_tokens.where(F.col("token").isNotNull()).drop("archive_status")
+    found = token_table.where(F.col("token").isNotNull()).drop("archive_status")
     by_release = materialize(sides.join(found, "source_url").drop("source_url"), "release-tokens")
     compared = analysed.select(*S.PAIR)
     return Diff(compared, materialize(diffing.new_tokens(by_release, compared), "new-tokens"))
@@ -108,12 +109,14 @@ def newest_findings_of(new_tokens: DataFrame, analyzed_at: Column, limit: int =
     return readmodels.recent_findings(diffing.find(some).withColumn("analyzed_at", analyzed_at), limit)
 
 
-def publish(diff: Diff, root: str, cycle: str, now: datetime) -> None:
-    """Store the findings, their evidence in long form, and the scan log of one cycle."""
+def publish(diff: Diff, root: str, cycle: str, now: datetime, first_sights: int = 0) -> None:
+    """Store the findings, their evidence in long form, the scan log and the counters of one cycle."""
+    spark = diff.analysed.sparkSession
     stamp = F.lit(now).cast("timestamp")
-    tables.write_findings(findings_of(diff.new_tokens, now), root, cycle)
-    tables.write_cycle(diffing.evidence(diff.new_tokens), root, "evidence", cycle)
+    tables.write_findings(diff.new_tokens, stamp, root, cycle)
     tables.write_cycle(diff.analysed.withColumn("analyzed_at", stamp), root, "scan_log", cycle)
+    found = diff.new_tokens.select(*S.PAIR).distinct().count()
+    tables.write_counters(spark, root, cycle, first_sights, diff.analysed.count(), found)
 
 
 def run_cycle(
@@ -128,18 +131,26 @@ def run_cycle(
 ) -> None:
     """One whole cycle: documents and archives in, state tables out.
 
-    ``packed`` names landed archives: the address documents use (source_url) and the file
-    (source_path); only the archives of the cycle's pairs are opened.  The last-seen snapshot
-    is written last, so a cycle that dies half-way is repeated in full and no change is
-    lost.  Intermediate tables stand below ``<root>/_work`` and go when the cycle ends.
+    ``packed`` names landed archives: the address documents use (source_url), the file
+    (source_path) and, to deal them out by bytes, its ``length``; only archives of the cycle's
+    pairs are opened, and of those only the ones no earlier cycle has opened.  Cycle names
+    must ascend as texts.  The last-seen rows are written last, so a cycle that dies half-way
+    is repeated in full and no change is lost.  Intermediate tables stand below
+    ``<root>/_work`` and go when the cycle ends.
     """
     with work_folder(spark, f"{root}/_work/cycle={cycle}"):
-        watched = tables.read_watched(spark, root, previous_cycle)
-        pairs, watched_after = detect_changes(docs, watched, now, allowlist)
+        watched = LastSeen(spark, root)
+
+        def last_seen(packages: DataFrame) -> DataFrame:
+            return watched.look_up(packages, previous_cycle) if previous_cycle else spark.createDataFrame([], S.WATCHED)
+
+        pairs, moved = detect_changes(docs, last_seen, now, allowlist)
         pairs = materialize(pairs, "pairs")
-        archive_tokens = materialize(unpacked_tokens(archives.wanted_archives(packed, pairs)), "archive-tokens")
-        publish(diff_pairs(pairs, archive_tokens), root, cycle, now)
-        tables.write_watched(watched_after, root, cycle)
+        found = archive_tokens.tokens_of(spark, root, cycle, packed, pairs, unpacked_tokens)
+        moved = materialize(moved, "moved")
+        first_sights = moved.join(last_seen(moved), list(changes.KEY), "left_anti").count()
+        publish(diff_pairs(pairs, found), root, cycle, now, first_sights)
+        watched.record(moved, cycle)
 
 
 def build_lists(packages: DataFrame, folder: str, limit: int = P.LIST_SIZE) -> None:

@@ -1,5 +1,6 @@
 """Session settings and the shared folder for written intermediate tables."""
 
+import re
 import threading
 import uuid
 from contextlib import contextmanager
@@ -19,6 +20,7 @@ def build_session(app_name: str = "reldrift", master: str | None = None, **conf)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
     }
     for key, value in settings.items():
@@ -30,15 +32,19 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables, which every executor can reach.
 
     Inside :func:`work_folder` it is that folder.  Else it is a folder of this application
-    below ``spark.checkpoint.dir``, or below the warehouse where that is unset; it is
-    removed when the application's JVM ends.
+    below ``spark.checkpoint.dir``, which a cluster must name; a local session may leave it
+    unset and has it below the warehouse.  It is removed when the application's JVM ends.
     """
     if getattr(_work, "folder", None):
         return _work.folder
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{root.rstrip('/')}/work-{spark.sparkContext.applicationId}"
     if folder not in _registered:
-        path, files = _hadoop_path(spark, folder)
+        path, files = hadoop_path(spark, folder)
         files.deleteOnExit(path)
         _registered.add(folder)
     return folder
@@ -47,7 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
 @contextmanager
 def work_folder(spark: SparkSession, folder: str):
     """Let :func:`materialize` write below ``folder``, emptied before and removed afterwards."""
-    path, files = _hadoop_path(spark, folder)
+    path, files = hadoop_path(spark, folder)
     files.delete(path, True)
     before, _work.folder = getattr(_work, "folder", None), folder.rstrip("/")
     try:
@@ -57,7 +63,8 @@ def work_folder(spark: SparkSession, folder: str):
         files.delete(path, True)
 
 
-def _hadoop_path(spark: SparkSession, folder: str):
+def hadoop_path(spark: SparkSession, folder: str):
+    """A Hadoop path and its file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 

@@ -2,9 +2,10 @@
 
 Unpacking is the one step without a Spark expression, so it runs as batches of archives in
 tasks.  A task is given paths, opens the files itself and streams them, so no archive passes
-through Spark as a value and files nobody asks for are not opened.  Archives are read twice:
-damage anywhere spoils the whole archive, so the first reading looks for it and the second
-gives the files out, one member at a time.  Archives may also come as values (``content``).
+through Spark as a value and files nobody asks for are not opened.  Damage anywhere spoils
+the whole archive, so its files are held back until its end is reached.  What is held is
+bounded: beyond it the rest is only searched for damage, and the archive is read once more,
+member by member.  Archives may also come as values (``content``).
 """
 
 import gzip
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import EXCLUDED, SOURCE_EXTENSIONS
+from ..operators.ordering import with_running_total
 
 # tasks carry the unpacking code with them, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,6 +36,7 @@ _ENDINGS = tuple("." + e for e in SOURCE_EXTENSIONS)
 _EXCLUDED = EXCLUDED.replace(r"\z", r"\Z")
 _BLOCK = 1 << 20
 _BATCH_ROWS, _BATCH_CHARS = 1000, 8 << 20
+_HELD_CHARS = 32 << 20
 
 
 def _wanted(name: str) -> bool:
@@ -87,17 +90,6 @@ def _reader(source):
     return None
 
 
-def _sound(members, source) -> bool:
-    """Whether every member can be read to its end."""
-    try:
-        for _, _, data in members(source):
-            while data.read(_BLOCK):
-                pass
-    except _BROKEN:
-        return False
-    return True
-
-
 def _files(source) -> Iterator[tuple]:
     """(status, file_ord, path, content) rows of an opened archive; one row without a file if none.
 
@@ -107,16 +99,30 @@ def _files(source) -> Iterator[tuple]:
     if members is None:
         yield EMPTY, None, None, None
         return
-    if not _sound(members, source):
+    held, size, whole = [], 0, True
+    try:
+        for ordinal, name, data in members(source):
+            if size < _HELD_CHARS:
+                held.append((OK, ordinal, name, _text(data)))
+                size += len(held[-1][-1])
+                continue
+            whole = False
+            while data.read(_BLOCK):
+                pass
+    except _BROKEN:
         yield ERROR, None, None, None
         return
+    if whole:
+        yield from held or [(OK, None, None, None)]
+        return
+    del held
     source.seek(0)
-    found = False
     for ordinal, name, data in members(source):
-        found = True
-        yield OK, ordinal, name, data.read().decode("utf-8", errors="replace")
-    if not found:
-        yield OK, None, None, None
+        yield OK, ordinal, name, _text(data)
+
+
+def _text(data) -> str:
+    return data.read().decode("utf-8", errors="replace")
 
 
 def _open(path: str):
@@ -180,6 +186,20 @@ def scan_archives(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.where(F.col("length") > 0).select(F.col("path").alias("source_path"), "length")
 
 
+def by_bytes(archives: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
+    """Deal listed archives out to tasks by their bytes instead of their number.
+
+    The archives, laid end to end in the order of their paths, are cut every ``task_bytes``;
+    one that is larger than that keeps a task busy, and no other archive waits behind it but
+    those that begin in the same stretch.
+    """
+    total = archives.agg(F.sum("length").alias("n")).head()["n"] or 0
+    tasks = max(1, -(-total // task_bytes))
+    placed = with_running_total(archives, ["source_path"], "length", "_begin")
+    task = F.least(F.floor(F.col("_begin") / task_bytes), F.lit(tasks - 1)).cast("int")
+    return placed.repartitionById(tasks, task).drop("_begin")
+
+
 def wanted_archives(archives: DataFrame, pairs: DataFrame) -> DataFrame:
     """The archives that a side of ``pairs`` names by its address, each once."""
     named = pairs.select(F.explode(F.array("source_url", "prev_source_url")).alias("source_url")).distinct()

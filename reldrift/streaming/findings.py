@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans import jobs
 from ..session import materialize, work_folder
 from ..sources.archives import wanted_archives
+from .changes import batch_name
 
 
 def stream_findings(
@@ -31,7 +32,7 @@ def stream_findings(
         with work_folder(batch.sparkSession, f"{root}/_work/batch={batch_id}"):
             kept = materialize(batch, "pairs")
             found = wanted_archives(archive_tokens(kept), kept)
-            jobs.publish(jobs.diff_pairs(kept, found), root, f"batch-{batch_id}", clock())
+            jobs.publish(jobs.diff_pairs(kept, found), root, batch_name(batch_id), clock())
 
     return (
         pairs.writeStream.foreachBatch(store)

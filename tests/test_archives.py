@@ -111,3 +111,28 @@ def test_only_the_archives_of_the_pairs_are_opened(spark, tmp_path):
     (tmp_path / "two.tgz").unlink()  # opening it would fail
     (row,) = archives.unpack(wanted).collect()
     assert (row.source_url, row.archive_status, row.content) == ("one.tgz", "ok", "x")
+
+
+def test_damage_behind_what_is_held_gives_no_row(spark, monkeypatch):
+    monkeypatch.setattr(archives, "_HELD_CHARS", 10)
+    members = [(f"{i}.js", bytes(f"let a = {i}; " * 3, "ascii")) for i in range(6)]
+    whole = zipped(members)
+    broken = bytearray(whole)
+    broken[whole.index(b"5.js") + 8] ^= 0xFF  # the data of the last member
+    df = spark.createDataFrame([("whole", bytearray(whole)), ("torn", broken), ("tar", bytearray(tar_gz(members)))], "name string, content binary")
+    rows = archives.unpack(df).collect()
+    for name in ("whole", "tar"):
+        assert [(r.path, r.content.encode()) for r in rows if r.name == name] == members
+    assert [(r.archive_status, r.file_ord) for r in rows if r.name == "torn"] == [("error", None)]
+
+
+@pytest.mark.parametrize("heavy", [0, 500])
+def test_tasks_get_archives_by_bytes(spark, heavy):
+    """One archive of a hundred times the mean leaves the other tasks within twice their mean."""
+    rows = [(f"file:/a/{i:05}", 100_000 if i == heavy else 500 + i % 1000) for i in range(1000)]
+    listed = spark.createDataFrame(rows, "source_path string, length bigint")
+    dealt = archives.by_bytes(listed, 20_000).withColumn("task", F.spark_partition_id())
+    assert sorted(tuple(r) for r in dealt.drop("task").collect()) == rows
+    light = [r.n for r in dealt.where("length < 100000").groupBy("task").agg(F.sum("length").alias("n")).collect()]
+    assert len(light) > 40 and max(light) <= 2 * sum(light) / len(light)
+    assert archives.by_bytes(listed.limit(0)).count() == 0

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from reldrift.operators import diffing, readmodels, tokens
 from reldrift.plans import jobs
-from reldrift.sources import allowlists, tables
+from reldrift.session import materialize
+from reldrift.sources import allowlists, archive_tokens, tables
 from reldrift.streaming.changes import stream_changes_by_batch, stream_version_changes
 from reldrift.streaming.findings import stream_findings
 
@@ -117,7 +118,7 @@ def test_feed_and_json(spark, root):
 
 
 def test_finding_ids_are_stable_and_distinct(spark, root):
-    stored = spark.read.parquet(f"{root}/findings/cycle=2")
+    stored = spark.read.parquet(f"{root}/findings/analyzed_date=2024-05-01/cycle=2")
     again = tables.with_finding_id(stored.drop("id"))
     assert sorted(r.id for r in stored.collect()) == sorted(r.id for r in again.collect())
     assert stored.select("id").distinct().count() == 2
@@ -198,12 +199,105 @@ def test_of_several_documents_of_a_package_the_newest_counts(spark):
     watched = spark.createDataFrame([("npm", "p", "1", T1)], "ecosystem string, name string, last_version string, updated_at timestamp")
     rows = [("npm", "p", T1, npm_doc("p", "2", ["1", "2"])), ("npm", "p", T2, npm_doc("p", "3", ["1", "3"])), ("npm", "p", None, npm_doc("p", "9", ["9"]))]
     landed = spark.createDataFrame(rows, "ecosystem string, name string, landed_at timestamp, body string")
-    pairs, after = jobs.detect_changes(landed, watched, T2)
+    pairs, moved = jobs.detect_changes(landed, lambda packages: watched, T2)
     assert [tuple(r) for r in pairs.collect()] == [("npm", "p", "3", "mem://p-3", "1", "mem://p-1")]
-    assert [(r.name, r.last_version) for r in after.collect()] == [("p", "3")]
+    assert [(r.name, r.last_version) for r in moved.collect()] == [("p", "3")]
 
 
 def test_no_work_folder_is_left_after_a_cycle(root):
     from pathlib import Path
 
     assert not list((Path(root) / "_work").glob("*"))
+
+
+def test_counters_add_up_and_a_repeated_cycle_counts_once(spark, root):
+    assert tuple(tables.read_statistics(spark, root).head()) == (5, 3, 2)
+
+
+def test_evidence_is_stored_under_the_finding(spark, root):
+    ids = {r.name: r.id for r in tables.read_summaries(spark, root).collect()}
+    rows = tables.read_evidence(spark, root).collect()
+    assert sorted((r.kind, r.token) for r in rows if r.id == ids["bad"]) == [("import", "child_process"), ("url", "http://9.9.9.9/x")]
+    assert {r.id for r in rows} == set(ids.values())
+
+
+def test_an_archive_is_opened_by_one_cycle_only(spark, packed, root):
+    """The token table names the cycle; damaged archives are looked at again."""
+    opened = {(r.source_url, r.cycle, r.archive_status) for r in archive_tokens.outcomes(spark, root).collect()}
+    assert opened == {
+        ("mem://bad-1", "2", "ok"), ("mem://bad-2", "2", "ok"), ("mem://good-1", "2", "ok"), ("mem://good-2", "2", "ok"),
+        ("mem://torn-1", "2", "ok"), ("mem://torn-2", "2", "error"), ("mem://fresh-2", "2", "ok"),
+    }
+    assert [tuple(r) for r in archive_tokens.rejected(spark, root).collect()] == [("mem://torn-2", "2", "damaged archive")]
+
+
+def test_a_second_cycle_opens_new_archives_only(spark, tmp_path):
+    unpacked = []
+
+    def unpack(fresh):
+        unpacked.append(sorted(r.source_url for r in fresh.collect()))
+        return jobs.unpacked_tokens(fresh)
+
+    rows = [(f"mem://p-{v}", tgz(f"eval(x{v})")) for v in (1, 2, 3)] + [("mem://torn", bytearray(b"\x1f\x8b\x08" + b"\0" * 40))]
+    given = spark.createDataFrame(rows, "source_url string, content binary")
+    pair = lambda new, old: spark.createDataFrame([(new, old)], "source_url string, prev_source_url string")
+    root = str(tmp_path)
+    first = archive_tokens.tokens_of(spark, root, "1", given, pair("mem://p-2", "mem://p-1"), unpack)
+    again = archive_tokens.tokens_of(spark, root, "1", given, pair("mem://p-2", "mem://p-1"), unpack)  # a repeated cycle
+    second = archive_tokens.tokens_of(spark, root, "2", given, pair("mem://p-3", "mem://p-2"), unpack)
+    archive_tokens.tokens_of(spark, root, "3", given, pair("mem://torn", "mem://p-3"), unpack)
+    archive_tokens.tokens_of(spark, root, "4", given, pair("mem://torn", "mem://p-1"), unpack)
+    assert unpacked == [["mem://p-1", "mem://p-2"]] * 2 + [["mem://p-3"], ["mem://torn"], ["mem://torn"]]
+    named = lambda df: sorted({r.source_url for r in df.where("token is not null").collect()})
+    assert named(first) == named(again) == ["mem://p-1", "mem://p-2"] and named(second) == ["mem://p-2", "mem://p-3"]
+    assert first.columns == second.columns and second.where("kind = 'import'").count() == 2
+
+
+def test_the_newest_findings_open_the_newest_days_only(spark, tmp_path):
+    """A history of a thousand cycles: what is read for the newest does not grow with it."""
+    root = str(tmp_path)
+    days = spark.range(1000).select(
+        F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), "id").alias("name"), F.lit("2").alias("version"), F.lit("1").alias("prev_version"),
+        F.lit(2).alias("severity"), F.expr("array(named_struct('kind', 'new_outbound_url', 'description', 'd', 'weight', 2))").alias("signals"),
+        F.expr("timestamp'2020-01-01 12:00:00' + make_dt_interval(cast(id as int))").alias("analyzed_at"),
+    )
+    stored = tables.with_finding_id(days).withColumn("analyzed_date", F.to_date("analyzed_at")).withColumn("cycle", F.col("name"))
+    stored.repartition(1).write.partitionBy("analyzed_date", "cycle").parquet(f"{root}/findings")
+    stored.select("id", F.lit("url").alias("kind"), F.lit(0).alias("file_ord"), F.lit(0).alias("pos"), F.lit("http://x/").alias("token"), "analyzed_date", "cycle") \
+        .repartition(1).write.partitionBy("analyzed_date", "cycle").parquet(f"{root}/evidence")
+    newest = tables.recent_stored_findings(spark, root, 3)
+    assert [r.name for r in newest.collect()] == ["p999", "p998", "p997"]
+    assert newest.head().signals[0].evidence == ["http://x/"]
+    assert len(newest.inputFiles()) == 6
+
+
+def test_a_batch_that_dies_between_findings_and_commit_stores_each_finding_once(spark, packed, tmp_path, monkeypatch):
+    schema = "ecosystem string, name string, version string, source_url string, prev_version string, prev_source_url string"
+    found = materialize(jobs.unpacked_tokens(packed), "tokens")
+    root, source = str(tmp_path / "state"), str(tmp_path / "pairs")
+    for name in ("bad", "good", "fresh"):
+        pair = [("npm", name, "2", f"mem://{name}-2", "1", f"mem://{name}-1")]
+        spark.createDataFrame(pair, schema).coalesce(1).write.mode("append").parquet(source)
+    write, died = tables.write_cycle, []
+
+    def dies_once(df, root_, table, cycle, *by):
+        if table == "scan_log" and cycle.endswith("2") and not died:
+            died.append(cycle)
+            raise RuntimeError("the machine went away")
+        write(df, root_, table, cycle, *by)
+
+    monkeypatch.setattr(tables, "write_cycle", dies_once)
+    ticks = iter(T1 + timedelta(days=i) for i in range(9))  # the repeated batch runs on a later day
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        query = stream_findings(stream, lambda batch: found, root, str(tmp_path / "checkpoint"), lambda: next(ticks))
+        query.awaitTermination()
+
+    with pytest.raises(Exception, match="went away"):
+        run()
+    assert died and tables.read_findings(spark, root).count() == 2  # written, not committed
+    run()
+    assert sorted(r.name for r in tables.read_findings(spark, root).collect()) == ["bad", "fresh"]
+    assert sorted(r.name for r in tables.read_scan_log(spark, root).collect()) == ["bad", "fresh", "good"]
+    assert tuple(tables.read_statistics(spark, root).head())[1:] == (3, 2)

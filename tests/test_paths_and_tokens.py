@@ -87,3 +87,16 @@ def test_release_text(spark):
     rows = [("e", "n", "1", 1, "b.py", "x # gone"), ("e", "n", "1", 0, "a.json", "{}"), ("e", "n", "1", 2, "README.md", "no")]
     df = spark.createDataFrame(rows, "ecosystem string, name string, version string, file_ord int, path string, content string")
     assert tokens.release_text(df).first().text == "{}\nx \n"
+
+
+def test_release_text_comes_in_pieces(spark, tmp_path):
+    import re
+
+    from reldrift.operators.tokens import release_text, write_release_text
+
+    rows = [("npm", "p", "1", i, f"{i}.js", f"let v{i} = 1 // note\n" * 9) for i in range(3)] + [("npm", "p", "1", 7, "e.js", ""), ("npm", "q", "1", 0, "a.md", "no")]
+    files = spark.createDataFrame(rows, "ecosystem string, name string, version string, file_ord int, path string, content string")
+    write_release_text(release_text(files, chunk_chars=10), str(tmp_path / "text"))
+    pieces = sorted(spark.read.parquet(str(tmp_path / "text")).collect(), key=lambda r: (r.name, r.chunk))
+    assert max(len(r.text) for r in pieces) == 10 and {r.name for r in pieces} == {"p"}
+    assert "".join(r.text for r in pieces) == "".join(re.sub("//.*", "", r[5]) + "\n" for r in rows[:4])
