@@ -17,9 +17,9 @@ BITS = 22  # 2**22 bits: at most 65536 words
 
 
 def bitmap_of(keys: DataFrame, key: Column, bits: int = BITS) -> DataFrame:
-    """(word, set): the bitmap of all values of ``key``; NULL is not put in."""
+    """(_bitmap_word, _bitmap_set): the bitmap of all values of ``key``; NULL is not put in."""
     known = keys.select(key.alias("_key")).where(F.col("_key").isNotNull())
-    marked = known.groupBy(_word(F.col("_key"), bits).alias("word")).agg(F.bit_or(_mask(F.col("_key"))).alias("set"))
+    marked = known.groupBy(_word(F.col("_key"), bits).alias("_bitmap_word")).agg(F.bit_or(_mask(F.col("_key"))).alias("_bitmap_set"))
     return materialize(marked, "bitmap")
 
 
@@ -44,4 +44,4 @@ def _mask(key: Column) -> Column:
 
 
 def _held(key: Column, bits: int) -> Column:
-    return (_word(key, bits) == F.col("word")) & (_mask(key).bitwiseAND(F.col("set")) == _mask(key))
+    return (_word(key, bits) == F.col("_bitmap_word")) & (_mask(key).bitwiseAND(F.col("_bitmap_set")) == _mask(key))
