@@ -21,8 +21,8 @@ equal, so the shuffle carries hits and not words.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.membership import bitmap_of, cannot_be_in, may_be_in
 from ..session import materialize
-from .bitmap import bitmap, may_hold
 from .secret_scan import row_key
 
 MASKS = (
@@ -30,7 +30,7 @@ MASKS = (
     "11000011", "100100011", "100100101", "101000101", "1000100011", "1010000101", "1100001001",
 )
 SHARE, LEAST = 0.5, 8
-SEED_BITS = 23
+SEED_BITS = 24
 LOCAL_WORDS, LOCAL_EQUAL = 40, 30
 
 
@@ -64,7 +64,7 @@ def _seed(masks: list[str], mask: Column, hashes: Column, at: Column) -> Column:
 
 
 def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """((item_id, words), (seed, item, at), masks in use); texts without a word are left out.
+    """((item_id, words), (seed, item, at, n_words), masks in use); texts without a word are left out.
 
     Items are told apart by id and words, so repeated rows count once.
     """
@@ -78,7 +78,7 @@ def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     n = F.size("hashes")
     # a short text has the mask of its own length only, and only short texts have such masks
     own = F.when(n < LEAST, F.col("m.mask") + 1 == F.pow(F.lit(2), n)).otherwise(F.col("m.mask").isin(*[int(m, 2) for m in MASKS]))
-    seeds = at.where(own).select("item", "at", _seed(masks, F.col("m"), F.col("hashes"), F.col("at")).alias("seed"))
+    seeds = at.where(own).select("item", "at", n.alias("n_words"), _seed(masks, F.col("m"), F.col("hashes"), F.col("at")).alias("seed"))
     return cut, materialize(seeds.where("seed is not null"), "decontam-seeds"), masks
 
 
@@ -90,21 +90,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     empty texts leak nothing; repeated documents are listed once, with one ``_row``.
     """
     keyed = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    keyed = keyed.select("doc_id", row_key(keyed, "_t").alias("_row"), words(F.col("_t")).alias("words"))
+    keyed = keyed.select("doc_id", row_key(keyed, "_t").alias("_row"), "_t")
     cut, seeds, masks = benchmark_seeds(items)
-    held = bitmap(seeds, "seed", SEED_BITS)
-    hashed = keyed.select("_row", word_hashes("words").alias("hashes")).where(F.size("hashes") > 0)
+    held = bitmap_of(seeds, F.col("seed"), SEED_BITS)
+    hashed = keyed.select("_row", word_hashes(words(F.col("_t"))).alias("hashes")).where(F.size("hashes") > 0)
     at = hashed.select("_row", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("p"))
     # masks are data, and every seed is exploded: it is computed once, and the code is as small as for one mask
     masked = at.select("_row", "hashes", "p", F.explode(_masks(masks)).alias("m"))
     each = masked.select("_row", "p", F.explode(F.array(_seed(masks, F.col("m"), F.col("hashes"), F.col("p")))).alias("seed"))
-    found = each.where(F.col("seed").isNotNull() & may_hold(held, F.col("seed"), SEED_BITS))
-    hits = found.join(seeds, "seed").select("_row", "item", (F.col("p") - F.col("at")).alias("offset")).distinct()
+    found = may_be_in(each.where(F.col("seed").isNotNull()), F.col("seed"), held, SEED_BITS)
+    hits = found.join(seeds, "seed").select("_row", "item", "n_words", (F.col("p") - F.col("at")).alias("offset")).distinct()
     hits = materialize(hits, "decontam-hits")
-    again = keyed.where(may_hold(bitmap(hits.select("_row.a"), "a"), F.col("_row.a")))
-    pairs = again.dropDuplicates(["_row"]).join(hits, "_row").join(cut, "item")
+    # texts are narrower than their words, so they are cut once more behind the shuffle; of the
+    # words only the window a benchmark text would fill goes on
+    again = may_be_in(keyed, F.col("_row.a"), bitmap_of(hits, F.col("_row.a")))
+    again = again.dropDuplicates(["_row"]).join(hits.groupBy("_row").agg(F.collect_list(F.struct("item", "offset", "n_words")).alias("hits")), "_row")
+    pairs = again.select("_row", "doc_id", words(F.col("_t")).alias("words"), "hits")
+    pairs = pairs.select("_row", "doc_id", "words", F.explode("hits").alias("h"))
+    begin = F.greatest(F.col("h.offset"), F.lit(0))
+    window = F.slice("words", begin + 1, F.col("h.n_words")).alias("window")
+    pairs = pairs.select("_row", "doc_id", "h.item", "h.offset", (F.col("h.offset") - begin).alias("shift"), window).join(cut, "item")
     n = F.size("item_words")
-    equal = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", i + F.col("offset")) == F.get("item_words", i))
+    equal = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get("window", i + F.col("shift")) == F.get("item_words", i))
 
     # the places are in order, so LOCAL_EQUAL of them stand close where the last is near the first
     close = F.zip_with("equal", F.slice("equal", LOCAL_EQUAL, F.size("equal")), lambda a, b: b - a < LOCAL_WORDS)
@@ -124,7 +131,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     leaked = materialize(find_leaks(docs, items, text).select("_row").distinct(), "decontam-leaks")
     with_key = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     with_key = with_key.withColumn("__row", row_key(with_key, "__t")).drop("__t")
-    suspect = may_hold(bitmap(leaked.select("_row.a"), "a"), F.col("__row.a"))
-    clean = with_key.where(~suspect)
-    rest = with_key.where(suspect).join(leaked.withColumnRenamed("_row", "__row"), "__row", "left_anti")
+    named = bitmap_of(leaked, F.col("_row.a"))
+    clean = cannot_be_in(with_key, F.col("__row.a"), named)
+    rest = may_be_in(with_key, F.col("__row.a"), named).join(leaked.withColumnRenamed("_row", "__row"), "__row", "left_anti")
     return clean.select(*docs.columns).unionByName(rest.select(*docs.columns))

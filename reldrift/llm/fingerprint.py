@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.membership import bitmap_of, may_be_in
 from ..session import materialize
 from . import common
-from .bitmap import bitmap, may_hold
 from .components import components
 from .linking import group_links
 
@@ -209,7 +209,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of ids whose sets of shingles have at least this similarity."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = docs.where(may_hold(bitmap(named.select(F.xxhash64("doc_id").alias("h")), "h"), F.xxhash64("doc_id")))
+    wanted = may_be_in(docs, F.xxhash64("doc_id"), bitmap_of(named, F.xxhash64("doc_id")))
     texts = wanted.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
     texts = materialize(texts.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "fingerprint-texts")
     joined = (

@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.membership import bitmap_of, cannot_be_in, may_be_in
 from ..session import materialize
 from . import common
-from .bitmap import bitmap, may_hold
 from .components import components
 from .linking import group_links
 
@@ -130,7 +130,7 @@ def _alike_fine(percent: int) -> Column:
 
 def _texts(named: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, text as bytes) of the ids of ``named``, one row each."""
-    wanted = docs.where(may_hold(bitmap(named.select(F.xxhash64("doc_id").alias("h")), "h"), F.xxhash64("doc_id")))
+    wanted = may_be_in(docs, F.xxhash64("doc_id"), bitmap_of(named, F.xxhash64("doc_id")))
     texts = wanted.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).dropDuplicates(["doc_id"])
     return texts.join(named, "doc_id", "left_semi")
 
@@ -264,7 +264,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PER
     found = materialize(near_duplicates(docs, width, percent).where("doc_id is not null"), "near-groups")
     dropped = found.where("not kept").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    named = dropped.unionByName(repeated).select(F.xxhash64("doc_id").alias("h"))
-    suspect = F.col("doc_id").isNotNull() & may_hold(bitmap(named, "h"), F.xxhash64("doc_id"))
-    rest = docs.where(suspect).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return docs.where(~suspect).unionByName(rest.select(*docs.columns))
+    named = bitmap_of(dropped.unionByName(repeated), F.xxhash64("doc_id"))
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    rest = may_be_in(docs, key, named).join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return cannot_be_in(docs, key, named).unionByName(rest.select(*docs.columns))

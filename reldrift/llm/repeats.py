@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.membership import bitmap_of, cannot_be_in, may_be_in
 from ..session import materialize
 from . import common
-from .bitmap import bitmap, may_hold
 
 SPAN, GRAM = 50, 24
 SIDE = SPAN - GRAM  # bytes left of an anchor that a string through it can reach
@@ -320,8 +320,7 @@ def _replies(blocks: DataFrame, buckets: int) -> DataFrame:
 def _sorted_covers(asked: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, cover): stretches covered around the anchors whose surroundings were asked for."""
     wanted = asked.groupBy("doc_id").agg(F.collect_list("ask").alias("asks"))
-    held = bitmap(asked.select(F.xxhash64("doc_id").alias("h")), "h")
-    given = docs.where(may_hold(held, F.xxhash64("doc_id"))).join(wanted, "doc_id")
+    given = may_be_in(docs, F.xxhash64("doc_id"), bitmap_of(asked, F.xxhash64("doc_id"))).join(wanted, "doc_id")
     block = "bucket long, data binary, `left` binary, size binary, doc binary, place binary, key binary"
     names = ["bucket", "data", "left", "size", "doc", "place", "key"]
 
@@ -388,11 +387,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sorted_ = materialize(_sorted_covers(asked, long_enough, buckets), "repeats-sorted")
     parts = replies.where(F.col("full").isNotNull()).select("doc_id", "full", F.lit(None).cast("binary").alias("cover"))
     parts = parts.unionByName(sorted_.select("doc_id", F.lit(None).cast("binary").alias("full"), "cover"))
-    held = bitmap(parts.select(F.xxhash64("doc_id").alias("h")), "h")
-    suspect = F.col("doc_id").isNotNull() & may_hold(held, F.xxhash64("doc_id"))
+    held = bitmap_of(parts, F.xxhash64("doc_id"))
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
     by_doc = parts.groupBy("doc_id").agg(F.collect_list("full").alias("full"), F.collect_list("cover").alias("cover"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    untouched = given.where(~suspect).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("removed"), F.col("text").alias("kept"))
+    untouched = cannot_be_in(given, key, held).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("removed"), F.col("text").alias("kept"))
     schema = T.StructType([
         docs.schema["doc_id"], T.StructField("n_bytes", T.LongType()),
         untouched.schema["removed"], T.StructField("kept", T.BinaryType()),
@@ -415,5 +414,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "removed", "kept"],
             )
 
-    touched = given.where(suspect).join(by_doc, "doc_id", "left").select("doc_id", "text", "full", "cover")
+    touched = may_be_in(given, key, held).join(by_doc, "doc_id", "left").select("doc_id", "text", "full", "cover")
     return untouched.unionByName(touched.mapInArrow(batches, schema))

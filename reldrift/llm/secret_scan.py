@@ -12,8 +12,8 @@ no block's pairs grow with the data.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.membership import bitmap_of, cannot_be_in, may_be_in
 from ..session import materialize
-from .bitmap import bitmap, may_hold
 from .spans import add_matches, joined, of_kind, only, redact
 
 REACH = 200
@@ -126,11 +126,11 @@ def redact_secrets(docs: DataFrame, text: str = "text", reach: int = REACH) -> D
 
 def redact_rows(keyed: DataFrame, told: DataFrame, columns: list[str], text: str) -> DataFrame:
     """Rows with ``__row`` and their spans -> rows with the spans redacted; rows no span belongs to pass by."""
-    suspect = may_hold(bitmap(told.select("__row.a"), "a"), F.col("__row.a"))
-    redacted = keyed.where(suspect).join(told, "__row", "left").withColumn(
+    named = bitmap_of(told, F.col("__row.a"))
+    redacted = may_be_in(keyed, F.col("__row.a"), named).join(told, "__row", "left").withColumn(
         text, F.when(F.col("__spans").isNotNull(), redact(F.col(text), F.col("__spans"))).otherwise(F.col(text))
     )
-    return keyed.where(~suspect).select(*columns).unionByName(redacted.select(*columns))
+    return cannot_be_in(keyed, F.col("__row.a"), named).select(*columns).unionByName(redacted.select(*columns))
 
 
 def report(scanned: DataFrame) -> DataFrame:
