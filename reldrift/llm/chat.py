@@ -86,6 +86,21 @@ def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assist
     )
 
 
+def under_loss(formatted: Column, loss_mask: Column) -> Column:
+    """The stretches of ``formatted`` under the loss mask, one for each turn that counts, unescaped."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("cut"))
+
+    def step(done: Column, m: Column) -> Column:
+        begin = done["at"] + m["skip"]
+        piece = F.array(F.substring(formatted, begin + 1, m["take"]))
+        return F.struct(
+            (begin + m["take"] + m["skip_after"]).alias("at"),
+            F.when(m["take"] > 0, F.concat(done["cut"], piece)).otherwise(done["cut"]).alias("cut"),
+        )
+
+    return F.transform(F.aggregate(loss_mask, none, step, lambda done: done["cut"]), unescape)
+
+
 def read_back(formatted: Column) -> Column:
     """Formatted text -> array<struct<role, text>>, one for each turn that went in."""
     messages = F.split(formatted, r"<\|im_start\|>", -1)

@@ -17,7 +17,7 @@ def op6_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
     done = chat.format_conversations(rows.unionByName(probe)).withColumn("_back", chat.read_back(F.col("formatted")))
     per_turn = F.transform("_back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    masked = F.zip_with("_back", "loss_mask", lambda t, m: F.when(m["take"] > 0, t["text"]))
+    masked = chat.under_loss(F.col("formatted"), F.col("loss_mask"))
     return done.select(
         "conv_id",
         F.size("_back").cast("long").alias("n_turns"),
@@ -73,10 +73,17 @@ def op1_hpy_lm(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of a model that learns from six sevenths of the documents; the rest is held out."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     scored = hpylm.score(docs, hpylm.train(docs.where(fold(7) != 2)))
-    return scored.select("doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return scored.select(
+        "doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", perplexity.alias("perplexity")
+    )
 
 
 def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets of every document: strong spans, and weak parts whose complement stands in their scope.
+
+    A NULL text has none; repeated rows get equal spans.
+    """
     return secret_scan.report(secret_scan.scan(table(spark, sf, "documents").select("doc_id", "text")))
 
 
@@ -91,14 +98,20 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_pii_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data of every document: base spans, and candidates the boosted trees accept.
+
+    A NULL text has none; repeated rows get equal spans.
+    """
     return pii.report(pii.scan(table(spark, sf, "documents").select("doc_id", "text")))
 
 
 def op10_odd_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of near copies; a NULL or empty text is alone, a row without an id has no group."""
     return oddsketch.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def op7_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of every text and its edited text; rows of one id follow each other by text."""
     return fingerprint.edited_fingerprints(table(spark, sf, "documents").select("doc_id", "text"))
 
 

@@ -16,3 +16,31 @@ def test_secret_half_of_a_pair(spark):
         "[access] / aws_secret_[weak]", '"Secret[weak]" for [access]', "[ident];[weak]", "DB_[ident] then [weak]", "[ident] [endpoint] [weak]",
     ]
     assert [cut[i] for i in (5, 6, 7)] == texts[5:]
+
+
+def test_a_blank_line_or_another_object_ends_a_scope(spark):
+    from reldrift.llm import secret_scan
+
+    texts = [
+        "user: alice\ntoken=abc12", "user: alice\n\ntoken=abc12", "user: alice\n \t\n token=abc12", '{"user": "alice"}, {"token": "abc12"}',
+        '{"user": "alice", "token": "abc12"}', "token=abc12 for user: alice", "token=abc12\n\nuser: alice",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secret_scan.report(secret_scan.scan(docs)).collect()}
+    assert [bool(found[i]) for i in range(7)] == [True, False, False, False, True, True, False]
+
+
+def test_columns_named_like_patterns_stay(spark):
+    from reldrift.llm import secret_scan
+
+    names = ["assign", "access", "hex", "ident", "weak", "endpoint", "keyed", "mixed"]
+    docs = spark.createDataFrame([(1, "user: alice token=abc12 " + "x" * 90)], "doc_id long, text string").selectExpr("*", *[f"'old' AS {n}" for n in names])
+    row = secret_scan.scan(docs).head()
+    assert [row[n] for n in names] == ["old"] * 8 and len(row.spans) == 2
+
+
+def test_a_long_identifier_is_a_span_as_a_whole(spark):
+    from reldrift.llm import secret_scan
+
+    docs = spark.createDataFrame([(1, "user: " + "alice" * 20 + " token=abc12")], "doc_id long, text string")
+    assert secret_scan.redact_secrets(docs).head().text == "[ident] [weak]"
