@@ -191,6 +191,25 @@ def package_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Files as arrays of texts: what a release's files are called, and how some of them break off a hook.
+_BROKEN = [
+    """concat('{"a": 1, "preinstall": "x', k, '"', CASE release_seq % 4 WHEN 0 THEN concat(', "postinstall": "sh ', k)
+       WHEN 1 THEN ', "install" : ' WHEN 2 THEN ', "install"' ELSE '}' END)""",
+    """CASE release_seq % 5 WHEN 0 THEN 'no quote here' WHEN 1 THEN ': "b' WHEN 2 THEN '"install": "c", "preinstall": "d'
+       WHEN 3 THEN concat('go on" "install": "', k) ELSE '' END""",
+    """CASE release_seq % 3 WHEN 0 THEN 'end", "preinstall": "e"' WHEN 1 THEN '"install": "f' ELSE ' "g" }' END""",
+    """CASE release_seq % 2 WHEN 0 THEN '" "install":"h"' ELSE 'nothing' END""",
+]
+
+
+def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four files per release, some of which end inside an install hook."""
+    texts = F.array(*[F.expr(text) for text in _BROKEN])
+    keyed = spread(releases(spark, sf_dir)).withColumn("k", F.col("release_seq").cast("string"))
+    path = F.concat(F.lit("f"), F.col("file_ord").cast("string"), F.lit(".json"))
+    return keyed.select("*", F.posexplode(texts).alias("file_ord", "content")).withColumn("path", path).drop("k")
+
+
 # --- landed archives and the documents that name them ---------------------------------
 
 _LANDED = """

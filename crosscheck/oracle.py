@@ -354,6 +354,16 @@ _FEED = """SELECT concat('[', label, '] ', ecosystem, '/', name, ' ', version, '
 _NEWEST = f"(SELECT * FROM findings ORDER BY analyzed_at DESC, {_PAIR} LIMIT 50)"
 
 
+_BROKEN_TEXTS = [
+    """concat('{"a": 1, "preinstall": "x', k, '"', CASE release_seq % 4 WHEN 0 THEN concat(', "postinstall": "sh ', k)
+       WHEN 1 THEN ', "install" : ' WHEN 2 THEN ', "install"' ELSE '}' END)""",
+    """CASE release_seq % 5 WHEN 0 THEN 'no quote here' WHEN 1 THEN ': "b' WHEN 2 THEN '"install": "c", "preinstall": "d'
+       WHEN 3 THEN concat('go on" "install": "', k) ELSE '' END""",
+    """CASE release_seq % 3 WHEN 0 THEN 'end", "preinstall": "e"' WHEN 1 THEN '"install": "f' ELSE ' "g" }' END""",
+    """CASE release_seq % 2 WHEN 0 THEN '" "install":"h"' ELSE 'nothing' END""",
+]
+
+
 def _release_tokens(kind: str) -> str:
     return _with(
         RELEASES, FILES, STRIPPED,
@@ -374,6 +384,9 @@ ORACLE = {
     "nul_literals": _with(RELEASES, """tokens AS (SELECT release_seq, 'literal' AS kind, concat('"', to_base64(unhex(concat(sha256(version),
     substring(sha256(concat('x', version)), 1, 48)))), CASE WHEN release_seq % 3 = 0 THEN chr(0) ELSE '' END, '"') AS token FROM releases)""",
         *_LITERAL_CTES, select="SELECT release_seq, strlen(token) AS bytes, token IN (SELECT token FROM suspicious) AS signals FROM tokens"),
+    "split_hooks": _with(RELEASES, f"""texts AS (SELECT version, concat({", chr(10), ".join(_BROKEN_TEXTS)}, chr(10)) AS text FROM releases)""",
+        select=f"""SELECT version, CAST(u.p AS INTEGER) AS place, u.t AS token FROM (SELECT version, unnest(list_transform(
+  regexp_extract_all(text, '{_PATTERNS["hook"]}'), lambda x, i: {{'t': x, 'p': i}})) AS u FROM texts)"""),
     "url_tokens": _release_tokens("url"),
     "import_tokens": _release_tokens("import"),
     "literal_tokens": _release_tokens("literal"),

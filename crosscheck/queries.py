@@ -6,7 +6,7 @@ compare value by value with the SQL counterparts.
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reldrift.functions import entropy, paths, severity, urls
@@ -117,6 +117,14 @@ def nul_literals(spark, sf):
     return found.select("release_seq", F.octet_length("token").cast("long").alias("bytes"), tokens.may_signal(F.col("kind"), F.col("token")).alias("signals"))
 
 
+def split_hooks(spark, sf):
+    """Install hooks of releases whose files break them off: some end one or several files later."""
+    files = derived.broken_files(spark, sf)
+    found = tokens.joined_release_tokens(files, ("hook",))
+    place = F.row_number().over(Window.partitionBy(*RELEASE).orderBy("file_ord", "pos"))
+    return found.select("version", place.alias("place"), "token")
+
+
 # --- diff ----------------------------------------------------------------------
 
 
@@ -125,7 +133,7 @@ def release_pairs(spark, sf):
 
 
 def _new_tokens(spark, sf, kinds=tuple(P.SIGNALS)) -> DataFrame:
-    found = materialize(tokens.release_tokens(derived.release_files(spark, sf), kinds), "tokens")
+    found = tokens.joined_release_tokens(derived.release_files(spark, sf), kinds)
     new = diffing.new_tokens(found, diffing.release_pairs(derived.releases(spark, sf)))
     return materialize(new, "new-tokens")
 
@@ -376,7 +384,7 @@ def stored_findings(spark, sf):
     """Archives -> tokens -> diff -> stored tables -> findings read back."""
     root = new_path(spark, "state")
     now = datetime(2024, 2, 1, tzinfo=timezone.utc)
-    found = materialize(jobs.unpacked_tokens(_packed(spark, sf)), "archive-tokens")
+    found = jobs.unpacked_tokens(_packed(spark, sf))
     jobs.publish(jobs.diff_pairs(_pairs_with_addresses(spark, sf), found), root, "one", now)
     return _flat(tables.read_findings(spark, root))
 
@@ -516,6 +524,7 @@ QUERIES = {
     "string_entropy": string_entropy,
     "high_entropy_literals": high_entropy_literals,
     "nul_literals": nul_literals,
+    "split_hooks": split_hooks,
     "release_pairs": release_pairs,
     "new_urls": _new("url"),
     "new_imports": _new("import"),

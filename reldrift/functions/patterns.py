@@ -26,6 +26,9 @@ LITERAL_TOKEN = r'"[^"\n]{20,}+"'
 # install-time hook: key and command
 HOOK_TOKEN = r'(?iu)"(?:pre|post)?install"[' + WHITESPACE + r']*:[' + WHITESPACE + r']*"[^"]*+"'
 
+# a hook that the end of a text breaks off
+HOOK_TAIL = r'(?iu)"(?:pre|post)?install"[' + WHITESPACE + r']*+(?::[' + WHITESPACE + r']*+(?:"[^"]*+)?)?\z'
+
 # --- comment removal (group 1 is the text that stays) ----------------------
 _DOUBLE_QUOTED = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z)'
 _SINGLE_QUOTED = r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+(?:'|\\?\z)"

@@ -8,6 +8,9 @@ from ..functions.comments import strip_comments
 from ..functions.entropy import has_nul, is_high_entropy
 from ..functions.paths import is_scannable_file
 from ..functions.urls import is_noise_url
+from ..schemas import RELEASE
+from ..session import materialize
+from .split_hooks import TAIL, hooks_and_tail, is_tail, join_split_hooks
 
 
 def scannable_files(files: DataFrame) -> DataFrame:
@@ -39,21 +42,32 @@ def tokens_in(text: Column, kind: str) -> Column:
     raise ValueError(f"unknown token kind {kind!r}")
 
 
+def tokens_by_kind(text: Column, kinds: tuple[str, ...] = tuple(P.SIGNALS), tails: bool = False) -> list[Column]:
+    """(kind, found) of every kind; with ``tails`` the hooks end with the one the text breaks off."""
+    found = {k: hooks_and_tail(text) if tails and k == "hook" else tokens_in(text, k) for k in kinds}
+    return [F.struct(F.lit(k).alias("kind"), f.alias("found")) for k, f in found.items()]
+
+
+def kind_of(kind: Column, token: Column) -> Column:
+    """The kind of a token cut with ``tails``."""
+    return F.when((kind == "hook") & is_tail(token), TAIL).otherwise(kind)
+
+
 def extract_tokens(
-    files: DataFrame, kinds: tuple[str, ...] = tuple(P.SIGNALS), text: str = "content"
+    files: DataFrame, kinds: tuple[str, ...] = tuple(P.SIGNALS), text: str = "content", tails: bool = False
 ) -> DataFrame:
     """One row per token; the text is read once and dropped right after extraction.
 
-    ``pos`` orders the tokens of one kind within a file.
+    ``pos`` orders the tokens of one kind within a file.  With ``tails`` a hook that the end of
+    a file breaks off is a row of kind 'tail'.
     """
-    per_kind = F.array(
-        *[F.struct(F.lit(k).alias("kind"), tokens_in(F.col(text), k).alias("found")) for k in kinds]
-    )
     rest = [c for c in files.columns if c != text]
-    return (
-        files.select(*rest, F.explode(per_kind).alias("_k"))
-        .select(*rest, F.col("_k.kind").alias("kind"), F.posexplode("_k.found").alias("pos", "token"))
+    kind = F.col("_k.kind")
+    cut = (
+        files.select(*rest, F.explode(F.array(*tokens_by_kind(F.col(text), kinds, tails))).alias("_k"))
+        .select(*rest, kind.alias("kind"), F.posexplode("_k.found").alias("pos", "token"))
     )
+    return cut.withColumn("kind", kind_of(F.col("kind"), F.col("token"))) if tails else cut
 
 
 def may_signal(kind: Column, token: Column) -> Column:
@@ -70,15 +84,29 @@ def may_signal(kind: Column, token: Column) -> Column:
 
 
 def release_tokens(
-    files: DataFrame, kinds: tuple[str, ...] = tuple(P.SIGNALS)
+    files: DataFrame, kinds: tuple[str, ...] = tuple(P.SIGNALS), tails: bool = False
 ) -> DataFrame:
-    """Evidence candidates of every release: the table both sides of a diff read."""
-    keep = ["ecosystem", "name", "version", "file_ord", "path", "content"]
-    text = strip_files(scannable_files(files.select(*keep))).drop("path")
-    tokens = extract_tokens(text, kinds)
+    """Evidence candidates of every release, file by file."""
+    tokens = extract_tokens(_release_texts(files), kinds, tails=tails)
     return tokens.where(may_signal(F.col("kind"), F.col("token")))
 
 
+def joined_release_tokens(files: DataFrame, kinds: tuple[str, ...] = tuple(P.SIGNALS)) -> DataFrame:
+    """Evidence candidates of every release, written: the table both sides of a diff read.
+
+    Hooks that go on in the next file of their release are found as well.
+    """
+    found = materialize(release_tokens(files, kinds, tails=True), "tokens")
+    if "hook" not in kinds:
+        return found
+    texts = _release_texts(files)
+    return join_split_hooks(found, lambda releases: texts.join(releases, list(RELEASE), "left_semi"), RELEASE)
+
+
+def _release_texts(files: DataFrame) -> DataFrame:
+    return strip_files(scannable_files(files.select(*RELEASE, "file_ord", "path", "content"))).drop("path")
+
+
 def release_text(files: DataFrame, chunk_chars: int = 1 << 20) -> DataFrame:
     """(ecosystem, name, version, chunk, text): the comment-free text of releases, in pieces.
 

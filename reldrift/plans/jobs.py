@@ -11,6 +11,7 @@ from .. import schemas as S
 from ..functions import patterns as P
 from ..functions.comments import strip_comments
 from ..operators import changes, diffing, ranking, readmodels, registry, tokens
+from ..operators.split_hooks import join_split_hooks
 from ..session import materialize, work_folder
 from ..sources import allowlists, archive_tokens, archives, tables
 from ..sources.lastseen import LastSeen
@@ -37,25 +38,33 @@ def detect_changes(
 
 
 def unpacked_tokens(packed: DataFrame) -> DataFrame:
-    """(source_url, source_path or content) archives -> evidence candidates per archive.
+    """(source_url, source_path or content) archives -> evidence candidates per archive, written.
 
     Long rows (file texts) never leave the task that unpacked them.  Rows of kind 'verdict',
-    at least one per archive, have a NULL token and tell of its status.
+    at least one per archive, have a NULL token and tell of its status.  An archive in which
+    a file ends inside an install hook is opened once more for the files around.
     """
     given = "content" if "content" in packed.columns else "source_path"
-    files = archives.unpack(packed.select("source_url", given))
-    text = files.withColumn("content", strip_comments(F.col("path"), F.col("content"))).drop("path", "source_path")
+    packed = packed.select("source_url", given)
+
+    def texts(archives_: DataFrame) -> DataFrame:
+        files = archives.unpack(archives_)
+        return files.withColumn("content", strip_comments(F.col("path"), F.col("content"))).drop("path", "source_path")
+
     verdict = F.struct(F.lit(archive_tokens.VERDICT).alias("kind"), F.array(F.lit(None).cast("string")).alias("found"))
-    found = F.array(
-        verdict,
-        *[F.struct(F.lit(kind).alias("kind"), tokens.tokens_in(F.col("content"), kind).alias("found")) for kind in P.SIGNALS],
-    )
+    found = F.array(verdict, *tokens.tokens_by_kind(F.col("content"), tails=True))
     rest = ["source_url", "archive_status", "file_ord"]
-    rows = text.select(*rest, F.explode(found).alias("k")).select(
+    rows = texts(packed).select(*rest, F.explode(found).alias("k")).select(
         *rest, F.col("k.kind").alias("kind"), F.posexplode("k.found").alias("pos", "token")
     )
+    rows = rows.withColumn("kind", tokens.kind_of(F.col("kind"), F.col("token")))
     is_verdict = F.col("kind") == archive_tokens.VERDICT
-    return rows.where(is_verdict | tokens.may_signal(F.col("kind"), F.col("token")))
+    rows = materialize(rows.where(is_verdict | tokens.may_signal(F.col("kind"), F.col("token"))), "archive-tokens")
+
+    def some(named: DataFrame) -> DataFrame:
+        return texts(packed.join(named, "source_url", "left_semi")).where(F.col("file_ord").isNotNull())
+
+    return join_split_hooks(rows, some, ["source_url"])
 
 
 @dataclass
