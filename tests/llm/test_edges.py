@@ -197,3 +197,41 @@ def test_common_extensions_are_exact():
     end = np.full(len(data), len(data))
     order = repeats.suffix_order(repeats.Prefixes(data), data, start, end, np.zeros(len(data), np.int64))
     assert [bytes(data[i:]) for i in order] == sorted(bytes(data[i:]) for i in start)
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Small tables of documents with edge cases and clashing columns, labels and benchmark texts."""
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in ROWS] + [(20 + i, f"{SAME} {i}" * 2, "en", "s", 1) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("old") for c in CLASHES if c != "lang"})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, 0), (6, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "me at the end of a text nobody has"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_of_edge_cases(spark, tables):
+    import corpus_pipeline
+
+    done = {r.doc_id: r for r in corpus_pipeline.run(spark, tables).collect()}
+    assert {3, 4, 5, 6, 7, 8, 9} <= set(done) and 2 not in done  # 2 is a near copy of 1
+    assert all(r.round_trip for r in done.values()) and done[3].n_tokens == 0
+
+
+def test_pipeline_of_empty_tables(spark, tables, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_columns_of_stages_stay(spark, tables):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, tables)
+        assert after.columns == docs.columns, name
+        assert {r.score for r in after.collect()} == {"old"}, name
