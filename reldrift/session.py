@@ -12,13 +12,17 @@ _work = threading.local()  # a stream's batches run in threads of their own
 
 
 def build_session(app_name: str = "reldrift", master: str | None = None, **conf) -> SparkSession:
-    """A session with adaptive execution and UTC; everything else is left to the cluster."""
+    """A session with adaptive execution, UTC and the state store that streams need; all else is left to the cluster.
+
+    A byte of text is much work here, so small partitions are not merged below 64 KiB.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
