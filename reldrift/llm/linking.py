@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -11,7 +11,7 @@ from .components import components
 
 def group_links(
     classes: DataFrame, judged: list[str], alike: Column, confirm: Callable[[DataFrame], DataFrame],
-    refine: Callable[[DataFrame], DataFrame] | None = None, alike_refined: Column | None = None,
+    refine: Callable[[DataFrame], DataFrame] | None = None, alike_refined: Column | None = None, distance: Column | None = None,
 ) -> DataFrame:
     """(rep, bands, judged columns) -> links (a, b) that give the groups of all confirmed pairs.
 
@@ -20,8 +20,10 @@ def group_links(
     the hubs of its bands, the class of another group that is alike and meets most classes.
     A text that was copied meets more of its copies than they meet each other, so a group of
     copies is found by one check a class.  Then the bands that still hold classes of
-    different groups give their pairs across groups, so no alike pair goes unchecked.
-    There ``refine`` may add columns to the classes left, by (rep), that ``alike_refined`` judges.
+    different groups give their alike pairs across groups.  ``refine`` may add columns to the
+    classes left, by (rep), that ``alike_refined`` judges and ``distance`` is taken from.
+    Those pairs are confirmed by rounds, the nearest of every two groups first: what a link
+    has joined meanwhile is settled, and every other pair is confirmed in the end.
     """
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
@@ -55,8 +57,27 @@ def group_links(
         open_ = open_.join(materialize(refine(open_.select("rep").distinct()), "near-refined"), "rep")
         both = both & alike_refined
     x, y = open_.alias("x"), open_.alias("y")
-    across = (
-        x.join(y, both)
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    )
-    return links.unionByName(confirm(materialize(across, "near-across")))
+    far = F.lit(0) if distance is None else distance
+    across = x.join(y, both).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), far.alias("far")).dropDuplicates(["a", "b"])
+    return _nearest_first(materialize(across, "near-across"), links, confirm)
+
+
+def _nearest_first(pairs: DataFrame, links: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``links`` and those of ``pairs`` (a, b, far) that are links, but for pairs that links join already.
+
+    A round confirms so many pairs of every two groups, eight times as many as the round before.
+    """
+    take = 1
+    while not pairs.isEmpty():
+        group = components(links, "near-across-groups")
+        for side in ("a", "b"):
+            named = group.select(F.col("node").alias(side), F.col("component").alias(f"g{side}"))
+            pairs = pairs.join(named, side, "left").withColumn(f"g{side}", F.coalesce(f"g{side}", side))
+        apart = pairs.where("ga <> gb").select("a", "b", "far", F.least("ga", "gb").alias("lo"), F.greatest("ga", "gb").alias("hi"))
+        place = F.row_number().over(Window.partitionBy("lo", "hi").orderBy("far", "a", "b"))
+        ranked = materialize(apart.withColumn("place", place), "near-across-ranked")
+        found = confirm(ranked.where(F.col("place") <= take).select("a", "b"))
+        links = materialize(links.unionByName(found), "near-across-links")
+        pairs = materialize(ranked.where(F.col("place") > take).select("a", "b", "far"), "near-across")
+        take *= 8
+    return links

@@ -11,7 +11,8 @@ Texts of equal sets are one class and stand for each other.  First every class i
 against the best connected class it meets in any band and passes the bitmaps with; those links
 give groups.  Then only bands that hold classes of different groups are looked at again, with
 sketches of ``FINE_SAMPLES`` values in ``FINE_BITS`` bits for the classes that are left, and their
-pairs across groups are checked.  So a group of many thousand near copies costs
+pairs across groups are checked, those of the nearest sketches first, until links have joined
+their groups.  So a group of many thousand near copies costs
 about one check a class, and no pair of classes that meet in a band goes unchecked unless
 they are in one group already.
 """
@@ -123,9 +124,12 @@ def fine_sketches(ids: DataFrame, docs: DataFrame, width: int = WORDS) -> DataFr
     return texts.mapInArrow(batches, schema)
 
 
+def _differing_fine() -> Column:
+    return F.aggregate(F.zip_with("x.fine", "y.fine", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+
+
 def _alike_fine(percent: int) -> Column:
-    ones = F.aggregate(F.zip_with("x.fine", "y.fine", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
-    return ones <= most_differing_bits(percent, FINE_SAMPLES, FINE_BITS)
+    return _differing_fine() <= most_differing_bits(percent, FINE_SAMPLES, FINE_BITS)
 
 
 def _texts(named: DataFrame, docs: DataFrame) -> DataFrame:
@@ -240,7 +244,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         "near-classes",
     )
     links = group_links(classes, ["n_shingles", *_SKETCH], _alike(percent), lambda pairs: confirm(pairs, docs, width, percent),
-                        lambda ids: fine_sketches(ids, docs, width), _alike_fine(percent))
+                        lambda ids: fine_sketches(ids, docs, width), _alike_fine(percent), _differing_fine())
     # ids with several texts tie their classes together
     several = signed.where("n_shingles > 0").join(classes.select(*own, "rep"), own).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     ties = several.join(classes.select(F.col("rep").alias("b")).distinct(), "b", "left_semi")
