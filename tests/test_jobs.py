@@ -242,14 +242,15 @@ def test_a_second_cycle_opens_new_archives_only(spark, tmp_path):
     given = spark.createDataFrame(rows, "source_url string, content binary")
     pair = lambda new, old: spark.createDataFrame([(new, old)], "source_url string, prev_source_url string")
     root = str(tmp_path)
-    first = archive_tokens.tokens_of(spark, root, "1", given, pair("mem://p-2", "mem://p-1"), unpack)
-    again = archive_tokens.tokens_of(spark, root, "1", given, pair("mem://p-2", "mem://p-1"), unpack)  # a repeated cycle
+    named = lambda df: sorted({r.source_url for r in df.where("token is not null").collect()})
+    for _ in range(2):  # a repeated cycle opens its archives again
+        first = archive_tokens.tokens_of(spark, root, "1", given, pair("mem://p-2", "mem://p-1"), unpack)
+        assert named(first) == ["mem://p-1", "mem://p-2"]
     second = archive_tokens.tokens_of(spark, root, "2", given, pair("mem://p-3", "mem://p-2"), unpack)
     archive_tokens.tokens_of(spark, root, "3", given, pair("mem://torn", "mem://p-3"), unpack)
     archive_tokens.tokens_of(spark, root, "4", given, pair("mem://torn", "mem://p-1"), unpack)
     assert unpacked == [["mem://p-1", "mem://p-2"]] * 2 + [["mem://p-3"], ["mem://torn"], ["mem://torn"]]
-    named = lambda df: sorted({r.source_url for r in df.where("token is not null").collect()})
-    assert named(first) == named(again) == ["mem://p-1", "mem://p-2"] and named(second) == ["mem://p-2", "mem://p-3"]
+    assert named(second) == ["mem://p-2", "mem://p-3"]
     assert first.columns == second.columns and second.where("kind = 'import'").count() == 2
 
 
