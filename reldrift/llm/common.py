@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Let Python workers get texts in smaller batches than Spark's default, unless the cluster sets a number."""
     if spark.sparkContext.getConf().get(BATCH_ROWS) is None:
         spark.conf.set(BATCH_ROWS, rows)
@@ -49,7 +49,10 @@ def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def byte_blocks(texts, limit: int = WORD_BLOCK_BYTES):
-    """Lists of consecutive texts as bytes, each list about ``limit`` bytes (one text at least)."""
+    """Lists of consecutive texts as bytes, each list about ``limit`` bytes (one text at least).
+
+    At the end Arrow gives back what it holds beyond need: a worker is kept for later stages.
+    """
     block, size = [], 0
     for text in texts:
         data = b"" if text is None else text
@@ -60,6 +63,7 @@ def byte_blocks(texts, limit: int = WORD_BLOCK_BYTES):
         size += len(data)
     if block:
         yield block
+    pa.default_memory_pool().release_unused()
 
 
 def _fixed_words(seed: int, n: int) -> np.ndarray:
