@@ -104,7 +104,11 @@ def releases_with_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A poll log: the user is the package, the event type the version seen."""
-    return table(spark, sf_dir, "events").select(
+    return polls_of(table(spark, sf_dir, "events"))
+
+
+def polls_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.lit("npm").alias("ecosystem"),
         F.col("user_id").cast("string").alias("name"),
         F.col("event_type").alias("latest"),

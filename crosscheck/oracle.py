@@ -465,6 +465,7 @@ ORACLE = {
     "recent_stored_findings": _diff(_FLAT + _NEWEST),
     "stored_scan_log": _with(RELEASES, PAIRS, select="SELECT ecosystem, count(*) AS versions_scanned FROM pairs GROUP BY ecosystem"),
     "stream_version_changes": _with(POLLS, SEEN, select=_CHANGES),
+    "stream_changes_in_batches": _with(POLLS, SEEN, select=_CHANGES),
     "stream_last_seen": _with(POLLS, SEEN, WATCHED, select="SELECT ecosystem, name, last_version, epoch_us(updated_at) AS updated_us FROM watched"),
     "stream_changes_stateful": _with(POLLS, SEEN, select=_CHANGES),
     "stream_findings": _diff(_FLAT + "findings"),

@@ -469,7 +469,16 @@ def _poll_stream(spark, folder, sf):
 
 
 def stream_version_changes(spark, sf):
-    """Four micro-batches through the batch operators; the last-seen table grows by runs, which are merged."""
+    """The poll log as one micro-batch through the batch operators."""
+    root = new_path(spark, "stream-changes")
+    events = spark.readStream.schema(derived.table(spark, sf, "events").schema)
+    polls = derived.polls_of(events.option("pathGlobFilter", "events.parquet").parquet(sf))
+    stream_changes_by_batch(polls, root, f"{root}/checkpoint").awaitTermination()
+    return _change_columns(spark.read.parquet(f"{root}/changes"))
+
+
+def stream_changes_in_batches(spark, sf):
+    """Four micro-batches; the last-seen table grows by runs, which are merged."""
     root = new_path(spark, "stream-changes")
     stream_changes_by_batch(_poll_stream(spark, f"{root}/polls", sf), root, f"{root}/checkpoint").awaitTermination()
     return _change_columns(spark.read.parquet(f"{root}/changes"))
@@ -563,6 +572,7 @@ QUERIES = {
     "recent_stored_findings": recent_stored_findings,
     "stored_scan_log": stored_scan_log,
     "stream_version_changes": stream_version_changes,
+    "stream_changes_in_batches": stream_changes_in_batches,
     "stream_last_seen": stream_last_seen,
     "stream_changes_stateful": stream_changes_stateful,
     "stream_findings": stream_findings,
