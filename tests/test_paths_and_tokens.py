@@ -101,3 +101,17 @@ def test_release_text_comes_in_pieces(spark, tmp_path):
     pieces = sorted(spark.read.parquet(str(tmp_path / "text")).collect(), key=lambda r: (r.name, r.chunk))
     assert max(len(r.text) for r in pieces) == 10 and {r.name for r in pieces} == {"p"}
     assert "".join(r.text for r in pieces) == "".join(re.sub("//.*", "", r[5]) + "\n" for r in rows[:4])
+
+
+def test_query_gives_whole_release_texts(spark, tmp_path):
+    from datetime import datetime
+
+    from crosscheck import queries
+
+    row = (22, 5, "O", 1.0, datetime(2024, 1, 1), "1-URGENT")
+    spark.createDataFrame([row], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    found = queries.release_text(spark, str(tmp_path)).collect()
+    assert [(r.ecosystem, r.name, r.version) for r in found] == [("nuget", "pkg-5", "1.22")]
+    assert found[0].text == (
+        'const v = 1\n\nsend("http://198.51.100.22/in")\n\n' '\nhome = "https://example.com/"\n\n' '{"repository": "https://github.com/o/r.git"}\n'
+    )
