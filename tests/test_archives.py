@@ -136,3 +136,47 @@ def test_tasks_get_archives_by_bytes(spark, heavy):
     light = [r.n for r in dealt.where("length < 100000").groupBy("task").agg(F.sum("length").alias("n")).collect()]
     assert len(light) > 40 and max(light) <= 2 * sum(light) / len(light)
     assert archives.by_bytes(listed.limit(0)).count() == 0
+
+
+def test_archives_of_a_bundle_and_of_folders(spark, tmp_path):
+    """Bundled and single archives, in folders of any depth, are listed by tasks and opened by address."""
+    from crosscheck import packing
+
+    given = {"a@1.tgz": tar_gz(MEMBERS), "b 2+c.zip": zipped([(n, d or b"") for n, d in MEMBERS]), "torn.tgz": tar_gz([("a.js", NOISE), ("b.js", NOISE)], "cut"), "void": b""}
+    named = spark.createDataFrame([(k, bytearray(v)) for k, v in given.items()], "file string, content binary").coalesce(1)
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    packing.land_archives(named, str(tmp_path / "x" / "y")).collect()
+    (tmp_path / "x" / "one%.zip").write_bytes(given["b 2+c.zip"])
+    (tmp_path / "_other").mkdir()
+    (tmp_path / "_other" / "no.zip").write_bytes(b"no")
+    assert len([f for f in (tmp_path / "x" / "y").iterdir() if not f.name.endswith(".crc")]) == 1
+    name = F.url_decode(F.regexp_extract("source_path", r"([^/]*)\z", 1))
+    listed = archives.scan_archives(spark, str(tmp_path)).select(name.alias("name"), "source_path", "length")
+    assert {r.name: r.length for r in listed.collect()} == {**{k: len(v) for k, v in given.items() if v}, "one%.zip": len(given["b 2+c.zip"])}
+    rows = [(r.name, r.archive_status, r.path) for r in archives.unpack(listed).collect()]
+    sound = [(n, "ok", p) for n in ("a@1.tgz", "b 2+c.zip", "one%.zip") for p in ("pkg/a.js", "pkg/c.py")]
+    assert sorted(rows, key=str) == sorted([*sound, ("torn.tgz", "error", None)], key=str)
+    assert [r.length for r in archives.scan_archives(spark, str(tmp_path), "{a,z}@*").collect()] == [len(given["a@1.tgz"])]
+
+
+def test_plain_archives_read_like_any():
+    """The short way gives what the general readers give, or nothing; packed archives take it."""
+    import random
+
+    from crosscheck import packing
+
+    files = [("src/é.js" if i == 3 else f"src/{i}.js", "let a = 1\n" * i) for i in range(0, 60, 12)] + [("README.md", "no")]
+    rng, short = random.Random(3), 0
+    for whole in (packing._tar_bytes(files), packing._zip_bytes(files), tar_gz(MEMBERS), zipped(files)):
+        assert archives._plain_files(whole) in (None, list(archives._files(io.BytesIO(whole))))
+        short += archives._plain_files(whole) is not None
+        for _ in range(1500):
+            odd = bytearray(whole)
+            if rng.random() < 0.8:
+                odd[rng.randrange(len(odd))] ^= 1 << rng.randrange(8)
+            else:
+                odd = odd[: rng.randrange(len(odd))] + bytes(rng.randrange(3))
+            found = archives._plain_files(bytes(odd))
+            if found is not None:
+                assert found == list(archives._files(io.BytesIO(bytes(odd))))
+    assert short >= 3
