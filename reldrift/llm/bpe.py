@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_to_batch, byte_blocks, ragged_index, small_batches, with_columns
+from .common import add_to_batch, byte_blocks, give_back, ragged_index, small_batches, with_columns
 
 NONE = np.iinfo(np.int32).max
 BUCKETS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 512)
@@ -75,23 +75,37 @@ class PairTable:
         return out
 
 
-class Codec:
-    """A vocabulary of byte strings whose ids are their merge ranks."""
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        pairs = (line.split() for line in lines if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
-    def __init__(self, path: str, pattern: str):
-        import regex
 
-        with open(path, "rb") as lines:
-            pairs = (line.split() for line in lines if line.strip())
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.find_pieces = regex.compile(pattern).findall
-        size = max(self.ranks.values()) + 1
+class Decoder:
+    """The byte strings of a vocabulary, one behind the other."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values()) + 1
         tokens = [b""] * size
-        for token, rank in self.ranks.items():
+        for token, rank in ranks.items():
             tokens[rank] = token
         self.token_length = np.fromiter(map(len, tokens), dtype=np.int64, count=size)
         self.token_start = np.cumsum(self.token_length) - self.token_length
         self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.token_bytes[ragged_index(self.token_start[ids], self.token_length[ids])].tobytes()
+
+
+class Codec(Decoder):
+    """A vocabulary of byte strings whose ids are their merge ranks."""
+
+    def __init__(self, path: str, pattern: str):
+        import regex
+
+        self.ranks = _ranks(path)
+        super().__init__(self.ranks)
+        self.find_pieces = regex.compile(pattern).findall
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
@@ -212,11 +226,6 @@ class Codec:
                 heapq.heappush(heap, (r, k, stop))
         return np.array([x for x, a in zip(ids, alive) if a], dtype=np.int32)
 
-    # -- decoding
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return self.token_bytes[ragged_index(self.token_start[ids], self.token_length[ids])].tobytes()
-
 
 class _Pieces(dict):
     """Numbers pieces in order of first sight and lists those not encoded yet."""
@@ -248,19 +257,27 @@ def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", path: st
                 texts = [bytes(b).decode("utf-8", "replace") for b in block]
                 ids += [i.astype("<u4").tobytes() for i in codec.encode_batch(texts)]
             yield add_to_batch(batch, **{out: pa.array(ids, type=pa.binary())})
+        del codec
+        give_back()
 
     return docs.mapInArrow(batches, with_columns(docs, **{out: T.BinaryType()}))
 
 
 def decode(encoded: DataFrame, ids: str = "token_ids", out: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Add ``out``: the bytes that ``ids`` stand for; NULL ids decode to no bytes."""
-    path, pattern = path or default_path(), pattern or default_pattern()
+    """Add ``out``: the bytes that ``ids`` stand for; NULL ids decode to no bytes.
+
+    Needs the tokens only, not the tables of merges, so its worker is small beside that of
+    :func:`encode`; the ``pattern`` plays no part.
+    """
+    path = path or default_path()
 
     def batches(stream):
-        codec = Codec(path, pattern)
+        codec = Decoder(_ranks(path))
         for batch in stream:
             found = (np.frombuffer(x.as_buffer(), dtype="<u4") if x.is_valid else np.zeros(0, "<u4") for x in batch.column(ids))
             yield add_to_batch(batch, **{out: pa.array([codec.decode(x.astype(np.int64)) for x in found], type=pa.binary())})
+        del codec
+        give_back()
 
     return encoded.mapInArrow(batches, with_columns(encoded, **{out: T.BinaryType()}))
 

@@ -370,13 +370,15 @@ def _customers(docs: DataFrame, shape: Shape) -> DataFrame:
         held, size = [], 0
 
         def packed():
-            word = np.concatenate([h[0] for h in held])
-            room, n = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            nonlocal held, size
+            word, room = (np.concatenate([h[k] for h in held]) for k in range(2))
+            held, size = [], 0
             order = np.lexsort((room, word))
-            word, room, n = word[order], room[order], n[order]
+            word, room = word[order], room[order]
             first = np.ones(len(word), bool)
             first[1:] = (word[1:] != word[:-1]) | (room[1:] != room[:-1])
-            return word[first], room[first], np.add.reduceat(n, np.flatnonzero(first))
+            start = np.flatnonzero(first)
+            return word[start], room[start], np.diff(np.append(start, len(word)))
 
         def rows(word, room, n):
             bucket = shape.bucket(word)
@@ -395,11 +397,10 @@ def _customers(docs: DataFrame, shape: Shape) -> DataFrame:
         for batch in stream:
             for texts in _blocks(batch):
                 token, room, _ = cutter.seated(texts)
-                held.append((token, room, np.ones(len(token), np.int64)))
+                held.append((token, room.astype(np.int32)))
                 size += len(token)
                 if size >= SEATED_TOKENS:
                     yield rows(*packed())
-                    held, size = [], 0
         if held:
             yield rows(*packed())
 
@@ -476,6 +477,8 @@ def _sweep(state: DataFrame, shape: Shape, totals: np.ndarray, turn: int, keep:
                 seats = dishes.sweep(np.frombuffer(row["seats"], "<i4"), totals, rng)
                 held = row["kept"] + seats.tobytes() if keep else row["kept"]
                 yield _state_batch(row["bucket"], row["words"], row["key"], row["n"], seats, held, dishes.totals(seats))
+                row = dishes = seats = held = None
+                common.give_back()
 
     return state.mapInArrow(batches, _STATE)
 
@@ -504,6 +507,8 @@ def _frequent(model: Model):
                     [pa.array(found, pa.int32()), pa.array(dishes.count[at[found]], pa.int64()), pa.array([x.tobytes() for x in p], pa.binary())],
                     names=["word", "n", "p"],
                 )
+                row = dishes = rooms = p = None
+                common.give_back()
 
     table, count = np.zeros((len(shape.frequent), shape.rooms)), np.zeros(len(shape.frequent), np.int64)
     for row in model.state.mapInArrow(batches, "word int, n long, p binary").collect():
@@ -534,7 +539,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         def flush():
             nonlocal number, ids, base, rest, local
             chunk = (task << 32) | number
-            out = _rest_rows(rest, chunk)
+            parts, rest = rest, []
+            out = _rest_rows(parts, chunk)
             known, logs, score_, tokens = (np.concatenate([x[k] for x in local]) for k in range(4))
             missing = np.array([i is None for i in ids])
             plain = np.array([0 if i is None else i for i in ids], dtype="<i8")
@@ -550,7 +556,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             if not parts:
                 return []
             word, room, doc = (np.concatenate([x[k] for x in parts]) for k in range(3))
-            bucket = shape.bucket(word)
+            parts.clear()
+            bucket = shape.bucket(word).astype(np.int32)
             order = np.lexsort((doc, room, word, bucket))
             word, room, doc, bucket = word[order], room[order], doc[order], bucket[order]
             first = np.ones(len(word), bool)
@@ -589,7 +596,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         np.bincount(owner[often], weights=table[place[often], room[often]], minlength=n),
                         np.bincount(owner, minlength=n),
                     ))
-                    rest.append((token[~often], room[~often], owner[~often] + len(ids)))
+                    # a chunk has no more texts, and a model no more restaurants, than two bytes count
+                    rest.append((token[~often], room[~often].astype(np.uint16), (owner[~often] + len(ids)).astype(np.uint16)))
                     ids += block_ids[lo : lo + CHUNK_DOCS]
                     base += len(token)
                     if base >= CHUNK_TOKENS:
@@ -625,6 +633,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             logs = [np.bincount(where, weights=n * x) for x in (np.log10(seen + 1.0), p)]
             known = np.bincount(where, weights=n * (seen > 0)).astype("<i8")
             out.append([cells["chunk"].as_py(), docs_.astype("<u2").tobytes(), b"", b"", np.concatenate(logs).tobytes(), known.tobytes()])
+        dishes = kept = row = None
+        common.give_back()
         kinds = [pa.int64(), *[pa.binary()] * 5]
         names = ["chunk", "ids", "missing", "tokens", "logs", "known"]
         return pa.table({name: pa.array([r[k] for r in out], kind) for k, (name, kind) in enumerate(zip(names, kinds))})
