@@ -14,8 +14,11 @@ marked words among them: most equal words without a hit are under half for every
 to 31 (and under eight below), and longer texts fall into such pieces.  So a hit is sure
 up to a share of one half substituted, however the substitutions lie, which is the rule.
 
-A bitmap of fixed size lets only those seeds to the join that some benchmark seed may
-equal, so the shuffle carries hits and not words.
+A seed can only be a benchmark seed if its first two marked words, its opening, are those of
+one.  The masks have four distances between these two, so a word has four openings for
+eighteen seeds: a bitmap of the benchmark's openings is asked first, and seeds are hashed
+where it says yes.  Another lets only those seeds to the join that some benchmark seed may
+equal, so the shuffle carries hits and not words.  Both have a fixed size.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +33,7 @@ MASKS = (
     "11000011", "100100011", "100100101", "101000101", "1000100011", "1010000101", "1100001001",
 )
 SHARE, LEAST = 0.5, 8
-SEED_BITS = 24
+SEED_BITS, OPENING_BITS = 24, 22
 LOCAL_WORDS, LOCAL_EQUAL = 40, 30
 
 
@@ -63,8 +66,18 @@ def _seed(masks: list[str], mask: Column, hashes: Column, at: Column) -> Column:
     return F.when(at + mask["span"] <= F.size(hashes), F.xxhash64(mask["mask"], F.get(hashes, at), *marked))
 
 
+def _opening(gap: Column, hashes: Column, at: Column) -> Column:
+    """Hash of the first two marked words of the masks with ``gap`` places from one to the other."""
+    return F.xxhash64(gap, F.get(hashes, at), F.get(hashes, at + gap))
+
+
+def _gap() -> Column:
+    """Places from the first marked word of the mask ``m`` to the second; 0 if it has one only."""
+    return F.coalesce("m.m0", F.lit(0))
+
+
 def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """((item_id, words), (seed, item, at, n_words), masks in use); texts without a word are left out.
+    """((item_id, words), (seed, opening, item, at, n_words), masks in use); texts without a word are left out.
 
     Items are told apart by id and words, so repeated rows count once.
     """
@@ -78,7 +91,8 @@ def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     n = F.size("hashes")
     # a short text has the mask of its own length only, and only short texts have such masks
     own = F.when(n < LEAST, F.col("m.mask") + 1 == F.pow(F.lit(2), n)).otherwise(F.col("m.mask").isin(*[int(m, 2) for m in MASKS]))
-    seeds = at.where(own).select("item", "at", n.alias("n_words"), _seed(masks, F.col("m"), F.col("hashes"), F.col("at")).alias("seed"))
+    opening = _opening(_gap(), F.col("hashes"), F.col("at")).alias("opening")
+    seeds = at.where(own).select("item", "at", n.alias("n_words"), _seed(masks, F.col("m"), F.col("hashes"), F.col("at")).alias("seed"), opening)
     return cut, materialize(seeds.where("seed is not null"), "decontam-seeds"), masks
 
 
@@ -92,11 +106,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     keyed = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t"))
     keyed = keyed.select("doc_id", row_key(keyed, "_t").alias("_row"), "_t")
     cut, seeds, masks = benchmark_seeds(items)
-    held = bitmap_of(seeds, F.col("seed"), SEED_BITS)
+    held, begun = bitmap_of(seeds, F.col("seed"), SEED_BITS), bitmap_of(seeds, F.col("opening"), OPENING_BITS)
     hashed = keyed.select("_row", word_hashes(words(F.col("_t"))).alias("hashes")).where(F.size("hashes") > 0)
     at = hashed.select("_row", "hashes", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("p"))
+    gaps = sorted({max(mask.find("1", 1), 0) for mask in masks})
+    openings = F.array(*[_opening(F.lit(gap), F.col("hashes"), F.col("p")) for gap in gaps])
+    opened = may_be_in(at.select("_row", "hashes", "p", F.posexplode(openings).alias("g", "opening")), F.col("opening"), begun, OPENING_BITS)
     # masks are data, and every seed is exploded: it is computed once, and the code is as small as for one mask
-    masked = at.select("_row", "hashes", "p", F.explode(_masks(masks)).alias("m"))
+    masked = opened.select("_row", "hashes", "p", "g", F.explode(_masks(masks)).alias("m"))
+    masked = masked.where(_gap() == F.get(F.array(*[F.lit(gap) for gap in gaps]), F.col("g")))
     each = masked.select("_row", "p", F.explode(F.array(_seed(masks, F.col("m"), F.col("hashes"), F.col("p")))).alias("seed"))
     found = may_be_in(each.where(F.col("seed").isNotNull()), F.col("seed"), held, SEED_BITS)
     hits = found.join(seeds, "seed").select("_row", "item", "n_words", (F.col("p") - F.col("at")).alias("offset")).distinct()

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from reldrift.llm import decontam
 
 
@@ -65,3 +67,17 @@ def test_substituted_words(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.n_equal for r in decontam.find_leaks(given, bench).collect()}
     assert found == expected
+
+
+def test_every_seed_begins_with_an_opening_of_its_place(spark):
+    texts = ["one", "one two", "a b c d e f g", " ".join(f"w{i}" for i in range(23))]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    cut, seeds, masks = decontam.benchmark_seeds(items)
+    gaps = sorted({max(m.find("1", 1), 0) for m in masks})
+    assert len(gaps) < 6 < len(masks)
+    at = cut.select("item", decontam.word_hashes("item_words").alias("hashes"), F.explode(F.sequence(F.lit(0), F.size("item_words") - 1)).alias("at"))
+    asked = at.select("item", "at", F.array(*[decontam._opening(F.lit(g), F.col("hashes"), F.col("at")) for g in gaps]).alias("asked"))
+    both = seeds.join(asked, ["item", "at"])
+    assert both.count() == seeds.count() > 200
+    assert both.where(~F.array_contains("asked", F.col("opening"))).isEmpty()
+    assert seeds.select("item").distinct().count() == len(texts)
