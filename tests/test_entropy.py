@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from reldrift.functions import entropy
 from reldrift.functions.entropy import is_high_entropy, longest_encoded_run, shannon_entropy
 
 
@@ -46,3 +47,13 @@ def test_runs_and_entropy_match_a_plain_count(spark):
         assert abs(row.h - reference_entropy(text)) < 1e-9, text
         high = len(expected.encode()) >= 24 and round(reference_entropy(expected), 9) > 5.0
         assert row.high == high, text
+
+
+def test_texts_ruled_out_before_their_runs_are_cut_have_no_high_run(spark):
+    texts = [*samples(), "x" * 40 + " " + "".join(map(chr, range(0x2B, 0x4B))), " " + "".join(map(chr, range(0x2B, 0x4C)))]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    run = F.col("s").rlike(entropy._LONG_RUN)
+    rows = df.select("s", run.alias("long"), entropy.is_high_entropy_run(longest_encoded_run(F.col("s"))).alias("high")).collect()
+    assert [r.s for r in rows if r.high and not r.long] == []
+    assert sum(r.high for r in rows) > 50 and sum(not r.long for r in rows) > 200
+    assert rows[-1].high and rows[-2].long and not rows[-2].high

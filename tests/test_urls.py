@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,15 @@ def test_very_long_url(spark):
     url = "http://" + "a" * 200_000 + "/" + "b" * 200_000
     df = spark.createDataFrame([(url,)], "u string")
     assert df.select(urls.is_noise_url(F.col("u")), F.length(urls.url_host(F.col("u")))).first() == (False, 200_000)
+
+
+def test_simple_urls_are_decided_by_their_whole_host(spark):
+    rng = random.Random(3)
+    pieces = ["a", ".", "example.com", "EXAMPLE.org", "localhost", "docs.rs", "Godoc.org", "test", ":", "80", "/", "?", "#", "%41", "@", "::1", "ſ", "-", "_", "127.0.0.1"]
+    urls_ = {rng.choice(["http://", "https://"]) + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 5))) for _ in range(3000)}
+    url = F.col("u")
+    df = spark.createDataFrame([(u,) for u in urls_], "u string").where(url.rlike(urls._SIMPLE_URL))
+    rows = df.select("u", url.rlike(urls._SIMPLE_LISTED).alias("one"), (urls.is_reserved_host(url) | urls.is_doc_host(url)).alias("host")).collect()
+    assert [r.u for r in rows if r.one != r.host] == []
+    assert sum(r.one for r in rows) > 100 and sum(not r.one for r in rows) > 200
+    assert not spark.createDataFrame([("http://::1",)], "u string").where(url.rlike(urls._SIMPLE_LISTED)).count()
