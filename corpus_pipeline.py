@@ -32,8 +32,11 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and whether they decode to it."""
-    decoded = bpe.decode(bpe.encode(docs))
+    """Ids of every text, and whether they decode to it.
+
+    The ids are written before they are decoded, so a task has one Python worker at a time.
+    """
+    decoded = bpe.decode(materialize(bpe.encode(docs), "pipeline-ids"))
     return decoded.select(
         "doc_id", "lang", "source", "n_chars", bpe.token_count().alias("n_tokens"), "token_ids",
         (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"),

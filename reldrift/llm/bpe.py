@@ -19,9 +19,9 @@ from .common import add_to_batch, byte_blocks, give_back, ragged_index, small_ba
 
 NONE = np.iinfo(np.int32).max
 BUCKETS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 512)
-MATRIX_CELLS = 1 << 20       # cells of one matrix at most
-REMEMBERED_PIECES = 300_000  # pieces kept between batches of a task
-BATCH_BYTES = 4 << 20
+MATRIX_CELLS = 1 << 18       # cells of one matrix at most
+REMEMBERED_PIECES = 100_000  # pieces kept between blocks of a task
+BATCH_BYTES = 1 << 20
 
 
 def default_path() -> str:
@@ -257,6 +257,8 @@ def encode(docs: DataFrame, text: str = "text", out: str = "token_ids", path: st
                 texts = [bytes(b).decode("utf-8", "replace") for b in block]
                 ids += [i.astype("<u4").tobytes() for i in codec.encode_batch(texts)]
             yield add_to_batch(batch, **{out: pa.array(ids, type=pa.binary())})
+            batch = ids = texts = block = None
+            give_back()
         del codec
         give_back()
 
@@ -276,6 +278,8 @@ def decode(encoded: DataFrame, ids: str = "token_ids", out: str = "decoded", pat
         for batch in stream:
             found = (np.frombuffer(x.as_buffer(), dtype="<u4") if x.is_valid else np.zeros(0, "<u4") for x in batch.column(ids))
             yield add_to_batch(batch, **{out: pa.array([codec.decode(x.astype(np.int64)) for x in found], type=pa.binary())})
+            batch = found = None
+            give_back()
         del codec
         give_back()
 
