@@ -51,3 +51,21 @@ def test_hooks_of_archives(spark):
     assert hooks == {"a": '"install": "sh one\ntwo"', "b": '"install": "whole"', "c": '"install"\n : "x"'}
     assert {r.archive_status for r in rows} == {"ok"} and not [r for r in rows if r.kind == "tail"]
     assert {r.source_url[-1] for r in rows if r.kind == "verdict"} == set(given)
+
+
+def test_many_broken_hooks_take_no_rounds(spark, monkeypatch):
+    """Tables written do not follow the number of broken hooks; a missing text is no file, and what never ends is no hook."""
+    from reldrift.operators import split_hooks
+
+    written = []
+    monkeypatch.setattr(split_hooks, "materialize", lambda df, label, to=split_hooks.materialize: written.append(label) or to(df, label))
+    chain = ['"install": "0'] + [f'{i - 1}", "install": "{i}' for i in range(1, 15)]
+    given = {"chain": [*chain, 'end"'], "null": ['"install": "a', None, "", None, 'b"'], "open": ['"install": "a"', '"install": "b', "c", "d"],
+             "not": ['"install"', " ", '"install": "b"', '"install" :', "x"]}
+    rows = [("npm", "p", v, 2 * i, f"{i}.json", text) for v, files in given.items() for i, text in enumerate(files)]
+    files = spark.createDataFrame(rows, "ecosystem string, name string, version string, file_ord int, path string, content string")
+    found = {v: [] for v in given}
+    for r in sorted(tokens.joined_release_tokens(files).where("kind = 'hook'").collect(), key=lambda r: (r.file_ord, r.pos)):
+        found[r.version].append(r.token)
+    assert found == {v: expected([f for f in files if f is not None]) for v, files in given.items()}
+    assert len(found["chain"]) == 15 and len(written) <= 4
