@@ -36,7 +36,7 @@ from ..session import hadoop_path, materialize
 from . import common
 
 SHARE = 1024  # words of 1 / SHARE of the tokens or more have buckets of their own
-COMMON, NEAR = 60_000, 2048  # contexts whose totals are a vector; those in which frequent words are scored where they stand
+COMMON, NEAR = 60_000, 8192  # contexts whose totals are a vector; those in which frequent words are scored where they stand
 SWEEPS, KEPT = 4, 2
 STRENGTH = (10.0, 5.0, 5.0)  # root, classes, contexts
 BUCKET_TOKENS = 1_000_000
@@ -343,7 +343,7 @@ class Dishes(Seating):
             rest = _Totals(shape, sums)
             if contexts:
                 r = np.where(own, room, 0)
-                have = np.where(has2, (self.n2 - d2 * t2)[at2], 0.0) if len(t2) else 0.0
+                have = np.where(has2, self.n2[at2] - d2 * t2[at2], 0.0) if len(t2) else 0.0
                 p = np.where(own, (have + (STRENGTH[2] + d2 * rest.t2[r]) * p) / (STRENGTH[2] + rest.c2[r]), p)
             out += p
         return out / len(kept)
@@ -364,8 +364,9 @@ class Dishes(Seating):
         parents = self.parents(word, self.shape.class_of[room], kept, totals)
         out = np.zeros(len(word))
         if len(contexts):
+            pair = self._pairs[1][at]
             for (_, t3), tables, p in zip(self.tables(kept), sums[1:], parents):
-                have = np.where(has, (self.rare_n - d2 * t3)[self._pairs[1]][at], 0.0)
+                have = np.where(has, self.rare_n[pair] - d2 * t3[pair], 0.0)
                 out += (have + (STRENGTH[2] + d2 * tables[where]) * p) / (STRENGTH[2] + sums[0][where])
         return out / len(kept), parents, here
 
@@ -459,7 +460,7 @@ def _seat_many(c, base, slope, d, rng) -> np.ndarray:
     return np.clip(np.where(t > 0.3 * c**d, normal, few), 1, c).astype(np.int64)
 
 
-_PAIRS = ("words", "key", "n", "rare_key", "rare", "rare_n")
+_PAIRS = ("words", "size", "room", "n", "rare_size", "rare_room", "rare", "rare_n")
 _SEATING = ("key1", "single1", "room2", "up2", "c2", "up3", "at3", "c3")
 _MOVING = ("contexts3", "dishes3", "seats", "kept", "totals")
 
@@ -468,9 +469,32 @@ def _schema(cells) -> str:
     return "bucket int, " + ", ".join(f"`{c}` binary" for c in cells)
 
 
+def _packed(n: np.ndarray) -> bytes:
+    """Counts in a byte each, those of 255 and more behind them once more."""
+    return np.minimum(n, 255).astype("u1").tobytes() + n[n >= 255].astype("<i8").tobytes()
+
+
+def _unpacked(cell: bytes, size: int) -> np.ndarray:
+    n = np.frombuffer(cell, "u1", size).astype(np.int64)
+    n[n == 255] = np.frombuffer(cell, "<i8", offset=size)
+    return n
+
+
+def _pairs_of(shape: Shape, words, key, n, rare_key, rare, rare_n) -> dict:
+    """The cells of a bucket's dishes: for each word how many there are, then their rooms."""
+    cells = {"words": words, "rare": rare}
+    for part, k, m in (("", key, n), ("rare_", rare_key, rare_n)):
+        cells[part + "size"] = np.bincount(k // shape.rooms, minlength=len(words)).astype("<i4")
+        cells[part + "room"], cells[part + "n"] = (k % shape.rooms).astype(shape.room_type), _packed(m)
+    return {c: cells[c] for c in _PAIRS}
+
+
 def _load(shape: Shape, row: dict) -> Dishes:
-    kinds = {"words": "<u8", "key": "<i8", "n": "<i8", "rare_key": "<i8", "rare": "<u8", "rare_n": "<i8"}
-    return Dishes(shape, *[np.frombuffer(row[c], kind) for c, kind in kinds.items()])
+    words, cells = np.frombuffer(row["words"], "<u8"), []
+    for part in ("", "rare_"):
+        size, room = np.frombuffer(row[part + "size"], "<i4"), np.frombuffer(row[part + "room"], shape.room_type)
+        cells += [np.repeat(np.arange(len(words)), size) * shape.rooms + room, _unpacked(row[part + "n"], len(room))]
+    return Dishes(shape, words, *cells[:3], np.frombuffer(row["rare"], "<u8"), cells[3])
 
 
 def _load_seating(shape: Shape, row: dict) -> Seating:
@@ -519,9 +543,9 @@ def _customers(docs: DataFrame, shape: Shape) -> DataFrame:
             for _, at in found:
                 value, size_of = np.unique(number[at], return_counts=True)
                 left = before[at]
-                blobs.append((words[value], size_of.astype("<i4"), rooms[left].astype(shape.room_type), words[left[rare[left]]], n[at].astype("<i8")))
+                blobs.append((words[value], size_of.astype("<i4"), rooms[left].astype(shape.room_type), words[left[rare[left]]], _packed(n[at])))
             return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in found], pa.int32()), *[pa.array([x[k].tobytes() for x in blobs], pa.binary()) for k in range(5)]],
+                [pa.array([b for b, _ in found], pa.int32()), *[pa.array([bytes(x[k]) for x in blobs], pa.binary()) for k in range(5)]],
                 names=["bucket", "words", "size", "room", "rare", "n"],
             )
 
@@ -541,7 +565,7 @@ def _customers(docs: DataFrame, shape: Shape) -> DataFrame:
             word.append(np.repeat(np.frombuffer(w.as_buffer(), "<u8"), np.frombuffer(s.as_buffer(), "<i4")))
             room.append(np.frombuffer(r.as_buffer(), shape.room_type).astype(np.int32))
             before.append(_contexts(shape, room[-1], np.frombuffer(x.as_buffer(), "<u8")))
-            n.append(np.frombuffer(c.as_buffer(), "<i8"))
+            n.append(_unpacked(c.as_buffer(), len(room[-1])))
         word, room, before, n = (np.concatenate(x) for x in (word, room, before, n))
         order = np.lexsort((before, word))
         word, room, before, n = word[order], room[order], before[order], n[order]
@@ -553,16 +577,12 @@ def _customers(docs: DataFrame, shape: Shape) -> DataFrame:
         # dishes of common contexts ascend by number, as contexts do by hash; the start of a text is behind them
         plain = np.flatnonzero(~rare)
         plain = plain[np.argsort(pair[plain], kind="stable")]
-        cells = dict(zip(_PAIRS, [words, pair[plain], count[plain], pair[rare], before[rare], count[rare]]))
-        dishes = _load(shape, cells)
-        seats = dishes.start()
-        seating = {c: getattr(dishes, c) for c in _SEATING}
-        seating.update({c: seating[c].astype("<i4") for c in ("room2", "up2", "up3", "at3")})
-        moving = dict(zip(_MOVING, [dishes.contexts3, b"", seats, b"", dishes.first_totals(seats)]))
-        return _state_batch(key[0].as_py(), {**cells, **seating, **moving})
+        cells = _pairs_of(shape, words, pair[plain], count[plain], pair[rare], before[rare], count[rare])
+        dishes = Dishes(shape, words, pair[plain], count[plain], pair[rare], before[rare], count[rare])
+        return _state_batch(key[0].as_py(), {**cells, "totals": dishes.first_totals(dishes.start())})
 
     blobs = _binary(docs).mapInArrow(pairs, "bucket int, words binary, size binary, room binary, rare binary, n binary")
-    return materialize(blobs.groupBy("bucket").applyInArrow(merge, _schema(_PAIRS + _SEATING + _MOVING)), "hpylm-start")
+    return materialize(blobs.groupBy("bucket").applyInArrow(merge, _schema((*_PAIRS, "totals"))), "hpylm-start")
 
 
 def _contexts(shape: Shape, room, rare):
@@ -596,8 +616,8 @@ def _told_dishes(state: DataFrame, shape: Shape, kept: int | None) -> DataFrame:
         for batch in stream:
             for i in range(batch.num_rows):
                 row = _row(batch, i)
-                n = np.frombuffer(row["rare_n"], "<i8")
                 contexts, at = np.unique(np.frombuffer(row["rare"], "<u8"), return_inverse=True)
+                n = _unpacked(row["rare_n"], len(at))
                 sums = [np.bincount(at, minlength=len(contexts))]
                 if kept is None:
                     asked = np.bincount(at, weights=n > 1, minlength=len(contexts)) > 0
@@ -661,16 +681,20 @@ def _heard(shape: Shape, contexts, answers, values: int) -> np.ndarray:
 
 
 def _next(df: DataFrame, label: str, *before: DataFrame) -> DataFrame:
-    """Write a state, and drop the tables it takes the place of and the shuffles made for it."""
-    spark = df.sparkSession
+    """Write a state and drop the tables it takes the place of."""
+    _clean(df.sparkSession)
     done = materialize(df, label)
-    for folder in {f.rsplit("/", 1)[0] for old in before for f in old.inputFiles()}:
-        path, files = hadoop_path(spark, folder)
-        files.delete(path, True)
-    _clean(spark)
+    for old in before:
+        _drop(old)
     return done
 
 
+def _drop(table: DataFrame) -> None:
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path, files = hadoop_path(table.sparkSession, folder)
+        files.delete(path, True)
+
+
 def _clean(spark) -> None:
     """Spark drops the files of a shuffle when the driver's JVM has collected its plan."""
     gc.collect()
@@ -710,7 +734,7 @@ def train(docs: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
     counts = materialize(word_counts(docs), "hpylm-words")
     shape = Shape(counts)
     pairs = _customers(docs, shape)
-    _clean(docs.sparkSession)
+    _drop(counts)
     contexts, width = len(shape.contexts), len(shape.contexts) + 2 * len(shape.classes) + 2
     first = _sum_totals(pairs, 2 * contexts + width + 6)
     customers, dishes, now, few = np.split(first, [contexts, 2 * contexts, 2 * contexts + width])
@@ -719,7 +743,7 @@ def train(docs: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
     def whole(now):
         return np.concatenate([customers, dishes + now[:contexts], now[contexts:]])
 
-    state, totals, remembered = pairs.select("bucket", *_SEATING, *_MOVING), whole(now), []
+    state, totals, remembered = pairs.select("bucket", *_PAIRS), whole(now), []
     told = _told_dishes(pairs, shape, None)
     for turn in range(sweeps):
         swept = _sweep(state, _answers(told).where("bucket >= 0"), shape, totals, turn, keep=turn >= sweeps - kept)
@@ -731,15 +755,26 @@ def train(docs: DataFrame, sweeps: int = SWEEPS, kept: int = KEPT) -> Model:
     told = _told_dishes(pairs, shape, kept).unionAll(_told_tables(state, shape, kept=True))
     homes = _next(_answers(told), "hpylm-homes")
     done = _next(_finished(pairs, state, homes, shape, kept), "hpylm-model", pairs, state)
-    return Model(shape, remembered, done, homes.where("bucket < 0").select("home", "contexts", "sums"))
+    rare = _next(homes.where("bucket < 0").select("home", "contexts", "sums"), "hpylm-rare", homes)
+    return Model(shape, remembered, done, rare)
+
+
+def _first_seating(shape: Shape, row: dict) -> dict:
+    """Every dish of a restaurant at one table."""
+    dishes = _load(shape, row)
+    row = {c: getattr(dishes, c) for c in _SEATING}
+    row.update({c: row[c].astype("<i4") for c in ("room2", "up2", "up3", "at3")})
+    return {**row, "contexts3": dishes.contexts3, "dishes3": b"", "seats": dishes.start(), "kept": b"", "totals": b""}
 
 
 def _sweep(state: DataFrame, answers: DataFrame, shape: Shape, totals: np.ndarray, turn: int, keep: bool) -> DataFrame:
     cells = _SEATING + _MOVING
 
     def seated(key, left, right):
-        row = {c: left.column(c)[0].as_py() for c in cells}
+        row = {c: left.column(c)[0].as_py() for c in left.schema.names[1:]}
         bucket = key[0].as_py()
+        if not turn:
+            row = _first_seating(shape, row)
         seating = _load_seating(shape, row)
         heard = _heard(shape, np.frombuffer(row["contexts3"], "<u8"), right, 1)[0]
         if not turn:  # nobody has more than one table a dish
@@ -766,7 +801,7 @@ def _finished(pairs: DataFrame, state: DataFrame, homes: DataFrame, shape: Shape
         row = {c: left.column(c)[0].as_py() for c in _PAIRS}
         heard = _heard(shape, np.unique(np.frombuffer(row["rare"], "<u8")), right, 2 + kept)
         seats = [c for h, c in zip(right.column("home").to_pylist(), right.column("contexts")) if h is None]
-        return _state_batch(key[0].as_py(), {**row, "kept": seats[0].as_py(), "sums": np.concatenate([heard[:1], heard[1] + heard[2:]])})
+        return _state_batch(key[0].as_py(), {**row, "kept": _packed(np.frombuffer(seats[0].as_buffer(), "<i4")), "sums": _packed(np.concatenate([heard[:1], heard[1] + heard[2:]]).ravel())})
 
     seats = state.select(F.lit(None).cast("int").alias("home"), "bucket", F.col("kept").alias("contexts"), F.lit(b"").alias("sums"))
     others = homes.where("bucket >= 0").unionAll(seats)
@@ -774,7 +809,7 @@ def _finished(pairs: DataFrame, state: DataFrame, homes: DataFrame, shape: Shape
 
 
 def _kept(dishes: Dishes, row: dict, n: int) -> list[np.ndarray]:
-    return np.split(np.frombuffer(row["kept"], "<i4"), n)
+    return np.split(_unpacked(row["kept"], n * len(dishes.start())), n)
 
 
 def _frequent(model: Model):
@@ -867,7 +902,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 count = np.diff(np.append(head, hi - lo))
                 part = int(common.mix(np.array([chunk], np.uint64))[0]) % int(shape.parts[b - shape.buckets]) if b >= shape.buckets else 0
                 rows.append((part << 32 | b, chunk, words[word[lo:hi][head]].tobytes(), count.astype("<i4").tobytes(), room[lo:hi].tobytes(), doc[lo:hi].tobytes(),
-                             n[lo:hi].astype("u1").tobytes() if n[lo:hi].max() < 255 else n[lo:hi].astype("<i8").tobytes(), words[before[lo:hi][rare[lo:hi]]].tobytes()))
+                             _packed(n[lo:hi]), words[before[lo:hi][rare[lo:hi]]].tobytes()))
             return rows
 
         for batch in stream:
@@ -904,7 +939,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             row = _row(right, 0)
             dishes = _load(shape, row)
             kept = _kept(dishes, row, len(totals))
-            contexts, sums = np.unique(dishes.rare), np.frombuffer(row["sums"], "<i8").reshape(1 + len(totals), -1)
+            contexts = np.unique(dishes.rare)
+            sums = _unpacked(row["sums"], (1 + len(totals)) * len(contexts)).reshape(1 + len(totals), -1)
         elif bucket >= 0:
             dishes = Dishes(shape, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             kept, contexts, sums = [dishes.start()] * len(totals), dishes.rare, np.zeros((1 + len(totals), 0), np.int64)
@@ -915,8 +951,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 continue
             words, size = np.frombuffer(cells["words"].as_buffer(), "<u8"), np.frombuffer(cells["size"].as_buffer(), "<i4")
             room, doc = (np.frombuffer(cells[c].as_buffer(), kind).astype(np.int64) for c, kind in (("room", shape.room_type), ("doc", "<u2")))
-            raw = cells["n"].as_buffer()
-            n = np.frombuffer(raw, "u1" if len(raw) == len(doc) else "<i8").astype(np.int64)
+            n = _unpacked(cells["n"].as_buffer(), len(doc))
             at, has = _find(dishes.words, words, np.ones(len(words), bool))
             word = np.repeat(np.where(has, at, -1), size)
             seen = dishes.count[np.maximum(word, 0)] * (word >= 0) if len(dishes.count) else np.zeros(len(word), np.int64)
@@ -1008,8 +1043,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         copies = F.when(place >= shape.buckets, F.get(parts, F.col("bucket") - shape.buckets)).otherwise(1)
         place = F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda k: F.shiftleft(k.cast("long"), 32) + place))
     state = model.state.withColumn("bucket", place).groupBy("bucket")
-    judged = materialize(packed.groupBy("bucket").cogroup(state).applyInArrow(judge, judged_schema), "hpylm-judged")
+    judged = _next(packed.groupBy("bucket").cogroup(state).applyInArrow(judge, judged_schema), "hpylm-judged")
+    near_rows, far = judged.where("home IS NULL"), judged.where("home IS NOT NULL")
+    if not far.isEmpty():
+        far = far.groupBy("home").cogroup(model.homes.groupBy("home")).applyInArrow(judge_far, judged_schema)
     _clean(docs.sparkSession)
-    far = judged.where("home IS NOT NULL").groupBy("home").cogroup(model.homes.groupBy("home")).applyInArrow(judge_far, judged_schema)
     result = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return judged.where("home IS NULL").unionAll(far).groupBy("chunk").applyInArrow(finish, result)
+    return near_rows.unionAll(far).groupBy("chunk").applyInArrow(finish, result)
