@@ -97,9 +97,11 @@ class Tokens:
 
     def seated(self, token: np.ndarray, char: np.ndarray):
         """(distinct words, the room after each, each token's number among them, the number of the word before it)."""
-        words, first, number = np.unique(token, return_index=True, return_inverse=True)
+        words, number = np.unique(token, return_inverse=True)
+        last = np.empty(len(words), char.dtype)
+        last[number] = char
         before = np.append(np.searchsorted(words, END), number[:-1])  # texts end with an end, which is before the next one
-        return words, self.rooms(words, char[first]), number, before
+        return words, self.rooms(words, last), number, before
 
 
 def _blocks(batch):
