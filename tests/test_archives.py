@@ -180,3 +180,80 @@ def test_plain_archives_read_like_any():
             if found is not None:
                 assert found == list(archives._files(io.BytesIO(bytes(odd))))
     assert short >= 3
+
+
+def test_small_stretches_do_not_make_more_tasks_than_are_of_use(spark):
+    rows = [(f"file:/a/{i:05}", 500 + i % 1000) for i in range(2000)]
+    listed = spark.createDataFrame(rows, "source_path string, length bigint")
+    cores = spark.sparkContext.defaultParallelism
+    dealt = archives.by_bytes(listed, 100)
+    assert cores < dealt.rdd.getNumPartitions() <= archives._TASKS_A_CORE * cores
+    sizes = [r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum("length").alias("n")).collect()]
+    assert sum(sizes) == sum(n for _, n in rows) and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert sorted(map(tuple, dealt.collect())) == rows
+
+
+def _bundled_archives(folder, given):
+    from crosscheck import packing
+
+    bundle = folder / "some.bundle"
+    bundle.write_bytes(packing._bundle_bytes(list(given.items())))
+    return str(bundle), [(f"{bundle}!{at:012}-{length}/{name}", given[name]) for name, at, length in archives._members(str(bundle))]
+
+
+def test_archives_of_a_bundle_are_read_by_blocks(tmp_path, monkeypatch):
+    import random
+
+    monkeypatch.setattr(archives, "_BLOCK", 4096)
+    rng = random.Random(5)
+    given = {f"{i}.zip": rng.randbytes(rng.choice((1, 30, 700, 4095, 4096, 9000) if i % 9 == 0 else (20, 90))) for i in range(400)}
+    _, addressed = _bundled_archives(tmp_path, given)
+    reads = []
+
+    class Counted:
+        def __init__(self, source):
+            self.source = source
+
+        def __getattr__(self, name):
+            if name == "read":
+                reads.append(1)
+            return getattr(self.source, name)
+
+    def read(some):
+        reads.clear()
+        landed = archives._Landed()
+        for address, data in some:
+            if landed._source is not None and not isinstance(landed._source, Counted):
+                landed._source = Counted(landed._source)
+            with landed.open(address) as source:
+                assert source.read() == data
+        landed.close()
+        return len(reads)
+
+    assert read(addressed) < len(addressed)  # the header and the archive were read apart before
+    assert read(addressed[::40]) <= 2 * len(addressed[::40])
+    read(addressed[::-1])
+    for _ in range(5):
+        read(rng.sample(addressed, 200))
+
+
+def test_listing_of_a_bundle_is_that_of_the_zip(tmp_path):
+    for given in ({"a@1": b"x", "b": b"yy", "c/d": b""}, {"é": b"x", "b": b"y"}, {"a b": b"x"}, {}):
+        bundle, _ = _bundled_archives(tmp_path, given)
+        with zipfile.ZipFile(bundle) as listing:
+            assert archives._members(bundle) == [(m.filename, m.header_offset, m.file_size) for m in listing.infolist()]
+    packed = tmp_path / "packed.bundle"
+    packed.write_bytes(zipped([("a.zip", NOISE * 4)]))
+    with pytest.raises(ValueError, match="packed.bundle"):
+        archives._members(str(packed))
+
+
+def test_texts_of_a_column():
+    import pyarrow as pa
+
+    from crosscheck import packing
+
+    for values in (["a", "", "bc"], ["é", "b"], [], ["a", None], ["x", "yz"] * 3):
+        column = pa.array(values, pa.string())
+        for i in range(len(values) + 1):
+            assert packing._texts(column[i:]) == values[i:] and packing._texts(column[:i]) == values[:i]
